@@ -276,10 +276,14 @@ def issue_other_jobs(jobs: DataFrame, issue: DataFrame, features: list[str] = FE
             "issue_id", "window_start", "window_end", F.map_entries("features").alias("entries")
         ).alias("issue")
     ).scalar()
-    own = F.forall(one["entries"], lambda e: _has_value(features, e["key"], e["value"]))
-    return jobs.filter(
-        F.col("ENDTIME").between(one["window_start"], one["window_end"]) & ~own
-    ).withColumn("issue_id", one["issue_id"])
+    own = F.forall("_issue.entries", lambda e: _has_value(features, e["key"], e["value"]))
+    inside = F.col("ENDTIME").between(F.col("_issue.window_start"), F.col("_issue.window_end"))
+    return (
+        jobs.withColumn("_issue", one)
+        .filter(inside & ~own)
+        .withColumn("issue_id", F.col("_issue.issue_id"))
+        .drop("_issue")
+    )
 
 
 def issue_metrics(jobs: DataFrame, issues: DataFrame, features: list[str] = FEATURES) -> DataFrame:

@@ -203,11 +203,12 @@ def slice_cells(
     ).agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
 
     def segment(time: Column) -> Column:
-        return F.size(F.filter(cuts.scalar(), lambda cut: cut <= time))
+        return F.size(F.filter(F.col("_cuts"), lambda cut: cut <= time))
 
     selected = edges.select(F.col("slice").alias("_signature"))
     relevant = (
-        jobs.withColumn("_segment", segment(F.unix_micros("ENDTIME")))
+        jobs.withColumn("_cuts", cuts.scalar())
+        .withColumn("_segment", segment(F.unix_micros("ENDTIME")))
         .join(selected, F.col("combinederrors") == F.col("_signature"), "left")
         .withColumn("_finished", F.col("JOBSTATUS") == values.FINISHED)
         .filter(F.col("_finished") | F.col("_signature").isNotNull())
@@ -219,7 +220,7 @@ def slice_cells(
         F.min("ENDTIME").alias("first_end"),
         F.max("ENDTIME").alias("last_end"),
     )
-    open_segments = edges.select(
+    open_segments = edges.withColumn("_cuts", cuts.scalar()).select(
         "slice",
         segment(F.col("_from")).alias("_first"),
         segment(F.col("_to") - 1).alias("_last"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultscope.operators import issues as iss
@@ -29,7 +29,8 @@ def find_issues(prepared: DataFrame, settings: JobSettings = JobSettings()) -> D
     """Issues of the top signatures of prepared jobs, all signatures in one plan.
 
     The job table is read for the signature counts, once for the cells and once for the error
-    texts; scores, pairs and metrics come from the cells. Issue ids number the sets by signature.
+    texts; scores, pairs and metrics come from the cells. Issue ids
+    number the sets in the order of signature and set.
     """
     frequency = job.signature_frequency(prepared)
     windows = cut_lineage(job.top_signatures(frequency, settings.top_n))
@@ -45,8 +46,9 @@ def find_issues(prepared: DataFrame, settings: JobSettings = JobSettings()) -> D
     metrics = iss.set_metrics(cells, sets, settings.features)
     errors = job.window_errors(prepared, windows, settings.diag_fields)
     nothing = F.create_map().cast("map<string,map<string,bigint>>")
-    # A hash of signature and set number: stable, and no global numbering is needed.
-    issue_id = F.xxhash64("slice", "number").bitwiseAND(F.lit(2**62 - 1))
+    # The window has no partitions, as its rows are few: at most 2 * top_n signatures with less
+    # than 100 / min_importance values each.
+    issue_id = F.row_number().over(Window.orderBy("slice", "number")).cast("bigint")
     return metrics.join(errors, "slice", "left").select(
         issue_id.alias("issue_id"),
         F.col("slice").alias("signature"),

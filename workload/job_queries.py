@@ -22,6 +22,9 @@ FEATURES = ["COMPUTINGSITE", "DESTINATIONSE", "JEDITASKID"]
 DIAG = ["DDMERRORDIAG", "PILOTERRORDIAG"]
 CODES = ["PILOTERRORCODE"]
 SETTINGS = plan.JobSettings(features=FEATURES, diag_fields=DIAG, code_fields=CODES)
+FINE_SETTINGS = plan.JobSettings(
+    features=FEATURES, diag_fields=DIAG, code_fields=CODES, min_importance=1
+)
 TO = datetime.datetime(2024, 1, 20)
 FROM = datetime.datetime(2024, 1, 10)
 
@@ -76,6 +79,11 @@ def _feature_text(column: str = "features"):
     )
 
 
+def _count_text(counts):
+    entries = F.array_sort(F.map_entries(counts))
+    return F.array_join(F.transform(entries, lambda t: F.concat(t["key"], F.lit("="), t["value"])), "/")
+
+
 def lost_walltime(spark: SparkSession, folder: str) -> DataFrame:
     frame = job.with_lost_walltime(job.with_outcome(fix.jobs(spark, folder)))
     return _lower(frame.select("PANDAID", "ISSUCCESS", "ISFAILED", "LOSTWALLTIME"))
@@ -202,6 +210,14 @@ def find_issues(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def find_issues_fine(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a lower importance limit: more values, and pairs of them."""
+    found = plan.find_issues(_prepared(spark, folder), FINE_SETTINGS)
+    return found.select(
+        "issue_id", "signature", _feature_text().alias("features"), "n_failed", "n_success", "walltime_loss"
+    )
+
+
 def issue_list(spark: SparkSession, folder: str) -> DataFrame:
     return _issues(spark, folder).select("issue_id", _feature_text().alias("features"), "window_start", "window_end")
 
@@ -258,10 +274,11 @@ def merge_issues(spark: SparkSession, folder: str) -> DataFrame:
     )
     full = issues.join(metrics, "issue_id").withColumn("error_strings", texts)
     merged = iss.merge_groups(full, iss.similar_groups(full))
-    errors = F.transform(
-        F.array_sort(F.map_entries("error_strings")),
-        lambda e: F.concat(e["key"], F.lit(":"), F.array_join(
-            F.transform(F.array_sort(F.map_entries(e["value"])), lambda t: F.concat(t["key"], F.lit("="), t["value"])), "/")),
+    errors = F.array_sort(
+        F.transform(
+            F.map_entries("error_strings"),
+            lambda e: F.concat(e["key"], F.lit(":"), _count_text(e["value"])),
+        )
     )
     return merged.select(
         "issue_id", _feature_text().alias("features"), "n_failed", "n_success", "walltime_loss",
@@ -286,18 +303,26 @@ def failure_ticks(spark: SparkSession, folder: str) -> DataFrame:
     return iss.failure_ticks(_prepared(spark, folder), _issues(spark, folder), FEATURES)
 
 
-def job_analysis(spark: SparkSession, folder: str) -> DataFrame:
-    analysis = plan.analyse_jobs(_jobs(spark, folder), SETTINGS)
+def _analysis(spark: SparkSession, folder: str, settings: plan.JobSettings) -> DataFrame:
+    analysis = plan.analyse_jobs(_jobs(spark, folder), settings)
     ticks = analysis.ticks.groupBy("issue_id").agg(
         F.count("*").alias("n_ticks"), F.sum("nfailed_jobs").alias("tick_failures")
     )
     return analysis.issues.join(ticks, "issue_id", "left").select(
-        _feature_text().alias("features"), "n_failed", "n_success", "walltime_loss",
+        "issue_id", _feature_text().alias("features"), "n_failed", "n_success", "walltime_loss",
         F.round("purity", 6).alias("purity"), "window_start", "window_end", "n_merged",
         "payload_type", "n_ticks", "tick_failures",
     )
 
 
+def job_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    return _analysis(spark, folder, SETTINGS)
+
+
+def job_analysis_fine(spark: SparkSession, folder: str) -> DataFrame:
+    return _analysis(spark, folder, FINE_SETTINGS)
+
+
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     """Boosted stumps over the slice of the signature with the most failures."""
     prepared = _prepared(spark, folder)
@@ -312,9 +337,9 @@ QUERIES = {
         lost_walltime, feature_select, job_scan, order_lines, trailing_window, error_hash,
         error_signature, signature_frequency, top_signatures, signature_slice, signature_slice_rows,
         slice_cells, feature_scores, important_values, feature_pairs, feature_sets, error_strings,
-        find_issues, issue_list, issue_rows, issue_antirows, issue_metrics, payload_class,
+        find_issues, find_issues_fine, issue_list, issue_rows, issue_antirows, issue_metrics, payload_class,
         issue_overlap, shared_failed_jobs, issue_reduce, similar_issues, merge_issues, unique_issues,
-        merged_error_counts, failure_ticks, job_analysis, feature_importance,
+        merged_error_counts, failure_ticks, job_analysis, job_analysis_fine, feature_importance,
     )
 }
 
@@ -642,4 +667,58 @@ grid AS (SELECT issue_id, unnest(generate_series(a, b, INTERVAL 15 MINUTE)) AS t
 SELECT g.issue_id, g.tick_time, coalesce(walltime_loss, 0.0) AS walltime_loss, coalesce(nfailed_jobs, 0) AS nfailed_jobs
 FROM grid g LEFT JOIN tick t ON t.issue_id = g.issue_id AND t.tick_time = g.tick_time""",
     ),
+    "job_analysis": oracle(
+        _V,
+        ISSUES
+        + """,
+columns AS (
+  SELECT m.slice, m.number, max(value) FILTER (feature = 'COMPUTINGSITE') AS c1,
+    max(value) FILTER (feature = 'DESTINATIONSE') AS c2, max(value) FILTER (feature = 'JEDITASKID') AS c3
+  FROM members m JOIN important i ON i.slice = m.slice AND i.number = m.member GROUP BY m.slice, m.number),
+issue AS (
+  SELECT row_number() OVER (ORDER BY signature, set_number) AS issue_id, f.*, c1, c2, c3
+  FROM found f JOIN columns c ON c.slice = f.signature AND c.number = f.set_number),
+failing AS (
+  SELECT i.issue_id, s.pandaid FROM signed s JOIN issue i ON (c1 IS NULL OR s.computingsite = c1)
+    AND (c2 IS NULL OR s.destinationse = c2) AND (c3 IS NULL OR s.jeditaskid = c3)
+    AND s.endtime BETWEEN i.window_start AND i.window_end WHERE s.isfailed = 1),
+total AS (SELECT issue_id, count(*) AS n FROM failing GROUP BY issue_id),
+covered AS (
+  SELECT a.issue_id FROM failing a JOIN failing b ON a.pandaid = b.pandaid AND a.issue_id <> b.issue_id
+  JOIN total t ON t.issue_id = a.issue_id JOIN total u ON u.issue_id = b.issue_id
+  GROUP BY a.issue_id, b.issue_id HAVING count(*) / any_value(t.n) > 0.3 AND any_value(t.n) < any_value(u.n)),
+kept AS (SELECT * FROM issue WHERE issue_id NOT IN (SELECT issue_id FROM covered)),
+trait AS (
+  SELECT issue_id, 1 AS k, c1 AS v FROM kept WHERE c1 IS NOT NULL UNION ALL SELECT issue_id, 2, c2 FROM kept WHERE c2 IS NOT NULL
+  UNION ALL SELECT issue_id, 3, c3 FROM kept WHERE c3 IS NOT NULL),
+edge AS (SELECT DISTINCT a.issue_id AS x, b.issue_id AS y FROM trait a JOIN trait b ON a.k = b.k AND a.v = b.v),
+reach AS (SELECT issue_id AS x, issue_id AS y FROM kept UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y),
+groups AS (SELECT x AS issue_id, min(y) AS group_id FROM reach GROUP BY x),
+merged AS (
+  SELECT group_id, first(struct_pack(f := features, c1 := c1, c2 := c2, c3 := c3) ORDER BY n_failed DESC, k.issue_id) AS top,
+    CAST(sum(n_failed) AS BIGINT) AS n_failed, CAST(sum(n_success) AS BIGINT) AS n_success, sum(walltime_loss) AS walltime_loss,
+    min(window_start) AS window_start, max(window_end) AS window_end, count(*) AS n_merged
+  FROM kept k JOIN groups g ON g.issue_id = k.issue_id GROUP BY group_id),
+merged_jobs AS (
+  SELECT m.group_id, s.site, s.isfailed, s.endtime, s.endtime > m.window_start AND s.endtime < m.window_end AS strict
+  FROM merged m JOIN signed s ON (m.top.c1 IS NULL OR s.computingsite = m.top.c1) AND (m.top.c2 IS NULL OR s.destinationse = m.top.c2)
+    AND (m.top.c3 IS NULL OR s.jeditaskid = m.top.c3) AND s.endtime BETWEEN m.window_start AND m.window_end),
+payload AS (
+  SELECT group_id, CASE WHEN bool_or(site <> 'Not specified') AND bool_or(site = 'Not specified') THEN 1
+    WHEN bool_or(site <> 'Not specified') THEN 2 ELSE 0 END AS payload_type FROM merged_jobs GROUP BY group_id),
+ticks AS (
+  SELECT group_id, count(*) AS tick_failures,
+    (epoch_us(time_bucket(INTERVAL 15 MINUTE, max(endtime))) - epoch_us(time_bucket(INTERVAL 15 MINUTE, min(endtime)))) // 900000000 + 1 AS n_ticks
+  FROM merged_jobs WHERE isfailed = 1 AND strict GROUP BY group_id)
+SELECT m.group_id AS issue_id, m.top.f AS features, n_failed, n_success, walltime_loss, round(n_failed / (n_failed + n_success), 6) AS purity,
+  window_start, window_end, n_merged, payload_type, n_ticks, tick_failures
+FROM merged m LEFT JOIN payload p ON p.group_id = m.group_id LEFT JOIN ticks t ON t.group_id = m.group_id""",
+    ),
 }
+SQL["find_issues_fine"] = oracle(
+    _V,
+    ISSUES.replace("importance > 5", "importance > 1")
+    + """ SELECT row_number() OVER (ORDER BY signature, set_number) AS issue_id, signature, features,
+  n_failed, n_success, walltime_loss FROM found""",
+)
+SQL["job_analysis_fine"] = SQL["job_analysis"].replace("importance > 5", "importance > 1")
