@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from faultscope.sources import files
 from workload import fixtures as fix
 from workload.fixtures import oracle
 
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+NOW = datetime.datetime(2024, 2, 1)
 
 
 def _registry(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +78,7 @@ def _by_day(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def upsert_issues(spark: SparkSession, folder: str) -> DataFrame:
-    return tra.upsert_issues(*_by_day(spark, folder), NOW)
+    return tra.upsert_issues(*_by_day(spark, folder), F.lit(NOW))
 
 
 def category_amounts(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +86,7 @@ def category_amounts(spark: SparkSession, folder: str) -> DataFrame:
     categories = stored.groupBy(F.col("message").alias("category")).agg(
         F.sum("amount").alias("amount"), F.max("last_modified").alias("last_modified")
     )
-    return tra.add_category_amounts(categories, incoming.withColumnRenamed("message", "category"), NOW)
+    return tra.add_category_amounts(categories, incoming.withColumnRenamed("message", "category"), F.lit(NOW))
 
 
 def search_issues(spark: SparkSession, folder: str) -> DataFrame:
