@@ -18,9 +18,8 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _centers(spark: SparkSession, folder: str) -> DataFrame:
-    """The mean vector of each label; the numbers are cut to exact decimals."""
-    centers = clu.centroids(_vectors(spark, folder), "embedding", "label")
-    return centers.withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+    """The mean vector of each label."""
+    return clu.centroids(_vectors(spark, folder), "embedding", "label")
 
 
 def _by_dimension(df: DataFrame, key: str, vector: str, digits: int = 5) -> DataFrame:
@@ -102,7 +101,7 @@ def updated_centroids(spark: SparkSession, folder: str) -> DataFrame:
     centers = _centers(spark, folder).filter("cluster < 5")
     _, moved = clu.predict_update(vectors, centers, "embedding", 0.5)
     sized = moved.select("cluster", "size", F.posexplode("centroid").alias("dim", "x"))
-    return sized.withColumn("x", F.round("x", 5))
+    return sized.withColumn("x", F.round("x", 4))
 
 
 SETTINGS = plan.ClusterSettings(
@@ -166,7 +165,7 @@ WITH flat AS (
 _CENTERS = (
     _FLAT
     + """,
-center AS (SELECT label AS cluster, dim, round(avg(x), 6) AS c FROM flat GROUP BY label, dim)"""
+center AS (SELECT label AS cluster, dim, avg(x) AS c FROM flat GROUP BY label, dim)"""
 )
 _COSINE = """,
 scored AS (
@@ -225,7 +224,7 @@ added AS (
   SELECT n.cluster, f.dim, sum(x) AS s, count(*) AS n FROM near n JOIN flat f ON f.vec_id = n.vec_id
   WHERE n.distance <= 0.5 GROUP BY n.cluster, f.dim),
 fresh AS (SELECT dim, avg(x) AS x, count(*) AS size FROM near n JOIN flat f ON f.vec_id = n.vec_id WHERE n.distance > 0.5 GROUP BY dim)
-SELECT c.cluster, size + coalesce(n, 0) AS size, CAST(c.dim AS INTEGER) AS dim, round((c.c * size + coalesce(s, 0)) / (size + coalesce(n, 0)), 5) AS x
+SELECT c.cluster, size + coalesce(n, 0) AS size, CAST(c.dim AS INTEGER) AS dim, round((c.c * size + coalesce(s, 0)) / (size + coalesce(n, 0)), 4) AS x
 FROM center c JOIN sizes z ON z.cluster = c.cluster LEFT JOIN added a ON a.cluster = c.cluster AND a.dim = c.dim
-UNION ALL SELECT 5, size, CAST(dim AS INTEGER), round(x, 5) FROM fresh""",
+UNION ALL SELECT 5, size, CAST(dim AS INTEGER), round(x, 4) FROM fresh""",
 }

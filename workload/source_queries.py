@@ -111,14 +111,17 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_ticks(spark: SparkSession, folder: str) -> DataFrame:
-    """Failed events per type as a stream: the final state of all windows."""
+    """Failed jobs per site as a stream: the final state of all windows."""
     events = _event_stream(spark, folder).selectExpr(
-        "event_type", "ts AS ENDTIME", "event_type AS JOBSTATUS", "CAST(value AS DECIMAL(18,2)) AS LOSTWALLTIME"
+        "concat('SITE_', user_id % 8) AS computingsite",
+        "ts AS ENDTIME",
+        "CASE WHEN event_type = 'error' THEN 'failed' ELSE 'finished' END AS JOBSTATUS",
+        "CAST(value AS DECIMAL(18,2)) AS LOSTWALLTIME",
     )
-    ticks = stw.failure_windows(events, ["event_type"])
+    ticks = stw.failure_windows(stw.failed_jobs(events), ["computingsite"])
     path = scratch_path(spark, "ticks")
     stw.write_updates(ticks, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    final = stw.read_updates(spark, f"{path}/out", ["event_type", "tick_time"])
+    final = stw.read_updates(spark, f"{path}/out", ["computingsite", "tick_time"])
     return final.withColumn("walltime_loss", F.col("walltime_loss").cast("double"))
 
 
@@ -194,8 +197,9 @@ WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00
         "messages site_registry",
         _loaded("t__error_message", "AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00'"),
     ),
-    "stream_ticks": """SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS tick_time,
-  CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS walltime_loss, count(*) AS nfailed_jobs FROM events GROUP BY ALL""",
+    "stream_ticks": """SELECT 'SITE_' || (user_id % 8) AS computingsite, time_bucket(INTERVAL 15 MINUTE, ts) AS tick_time,
+  CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS walltime_loss, count(*) AS nfailed_jobs
+FROM events WHERE event_type = 'error' GROUP BY ALL""",
     "stream_link_efficiency": oracle(
         "transfers",
         """SELECT src_site, dst_site, date_trunc('hour', ts) AS hour, CAST(sum(files_done) AS BIGINT) AS files_done,
