@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from faultscope.functions.stopwords import EMPTY_TOKENS, ENGLISH
 
-# The characters Python's str.split() treats as white space.
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+# The white space of Unicode, with the four separators U+001C to U+001F.
+BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITESPACE = f"[{BLANKS}]+"
+PIECES = f"([{BLANKS}]+|[^{BLANKS}]+)"
 
 # URL schemes whose last path segment may carry ";parameters".
 PARAMETER_SCHEMES = [
@@ -106,9 +108,9 @@ def split_code_prefix(token: Column) -> Column:
     """``500-500-system`` gives ``[500, system]``: the number leading up to the first dash, then
     the token without any ``number-``. Other tokens give an array of themselves."""
     number = F.regexp_extract(token, r"(?U)^(\+?\d+(?:_\d+)*)-", 1)
-    return F.when(number == "", F.array(token)).otherwise(
-        F.array(number, F.replace(token, F.concat(number, F.lit("-")), F.lit("")))
-    )
+    split = F.array(number, F.replace(token, F.concat(number, F.lit("-")), F.lit("")))
+    # Most tokens have no dash and never get to the expression.
+    return F.when(F.contains(token, F.lit("-")) & (number != ""), split).otherwise(F.array(token))
 
 
 def clean_tokens(tokens: Column, split_codes: bool = True) -> Column:

@@ -131,7 +131,7 @@ def mask_rare_words(frame: DataFrame, text_cols: list[str], id_col: str) -> Data
 
 
 def _masked(value: Column, rare_words: Column) -> Column:
-    pieces = F.regexp_extract_all(value, F.lit(r"(?U)([\s\x1c-\x1f]+|[^\s\x1c-\x1f]+)"), F.lit(1))
+    pieces = F.regexp_extract_all(value, F.lit(text.PIECES), F.lit(1))
     masked = F.transform(
         pieces,
         lambda p: F.when(F.array_contains(rare_words, p), F.lit(text.RARE_WORD_MASK)).otherwise(p),

@@ -49,6 +49,13 @@ def read_json_tree(
     return (reader if schema is None else reader.schema(schema)).json(folder)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The rows over all cores, if the input has fewer partitions than the session has cores (one
+    small file, one row group). Larger inputs stay as they are, without a shuffle."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def day_path(base: str, day: datetime.date, today: datetime.date | None = None) -> str:
     """``base/YYYY/MM/DD/``, or ``base/YYYY/MM/DD.tmp/`` for the day still being written."""
     return f"{base.rstrip('/')}/{day:%Y/%m/%d}{'.tmp' if day == today else ''}/"
