@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from faultscope.functions.stopwords import EMPTY_TOKENS, ENGLISH
 
 # The white space of Unicode, with the four separators U+001C to U+001F.
-BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WHITESPACE = f"[{BLANKS}]+"
-PIECES = f"([{BLANKS}]+|[^{BLANKS}]+)"
+OTHER_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+ASCII_BLANKS = "\t\n\x0b\x0c\r"
 
 # URL schemes whose last path segment may carry ";parameters".
 PARAMETER_SCHEMES = [
@@ -32,10 +34,14 @@ NUMBER_MASK = "((*))"
 HOST_PATTERN = r"(?U)^(.*?://)?([\w.-]+).*"
 
 
+def _blanks_to_spaces(text: Column, blanks: str) -> Column:
+    # Splitting at a single blank needs no regular expression.
+    return F.split(F.translate(text, blanks, " " * len(blanks)), " ")
+
+
 def words(text: Column) -> Column:
     """White-space separated words; null and blank text give an empty array."""
-    parts = F.split(F.coalesce(text, F.lit("")), WHITESPACE)
-    return F.filter(parts, lambda w: w != "")
+    return F.filter(_blanks_to_spaces(F.coalesce(text, F.lit("")), OTHER_BLANKS), lambda w: w != "")
 
 
 # -- URLs ---------------------------------------------------------------------------------
@@ -101,7 +107,8 @@ def split_urls(message: Column, keep_bare_host: bool = False) -> Column:
 
 
 def lower_tokens(text: Column) -> Column:
-    return F.split(F.lower(text), r"\s")
+    """The lower-case text split at every blank."""
+    return _blanks_to_spaces(F.lower(text), ASCII_BLANKS)
 
 
 def split_code_prefix(token: Column) -> Column:
@@ -271,5 +278,21 @@ def split_feature_name(name: Column) -> Column:
     )
 
 
+def mask_words(text: Column, listed: Column) -> Column:
+    """The text with the listed words replaced by a fixed mark, white space as it was."""
+
+    def word(value: Column) -> Column:
+        return F.when(F.array_contains(listed, value), F.lit(RARE_WORD_MASK)).otherwise(value)
+
+    def piece(value: Column) -> Column:
+        # Split at blanks first; a piece with any other white space is taken apart by itself.
+        parts = F.regexp_extract_all(value, F.lit(f"([{OTHER_BLANKS}]+|[^{OTHER_BLANKS}]+)"), F.lit(1))
+        mixed = F.array_join(F.transform(parts, word), "")
+        return F.when(value.rlike(f"[{OTHER_BLANKS}]"), mixed).otherwise(word(value))
+
+    masked = F.array_join(F.transform(F.split(text, " "), piece), " ")
+    return F.when(F.size(listed) > 0, masked).otherwise(text)
+
+
 def mask_numbers(text: Column) -> Column:
     return F.regexp_replace(text, r"\b\d+\b", NUMBER_MASK)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultscope.functions import text
@@ -126,14 +126,5 @@ def mask_rare_words(frame: DataFrame, text_cols: list[str], id_col: str) -> Data
         )
     )
     joined = frame.join(rare, frame[id_col] == rare["_id"], "left")
-    masked = {c: _masked(F.col(c), F.col(f"_rare_{i}")) for i, c in enumerate(text_cols)}
+    masked = {c: text.mask_words(F.col(c), F.col(f"_rare_{i}")) for i, c in enumerate(text_cols)}
     return joined.select(*[masked[c].alias(c) if c in masked else frame[c] for c in frame.columns])
-
-
-def _masked(value: Column, rare_words: Column) -> Column:
-    pieces = F.regexp_extract_all(value, F.lit(text.PIECES), F.lit(1))
-    masked = F.transform(
-        pieces,
-        lambda p: F.when(F.array_contains(rare_words, p), F.lit(text.RARE_WORD_MASK)).otherwise(p),
-    )
-    return F.when(F.size(rare_words) > 0, F.array_join(masked, "")).otherwise(value)

@@ -52,20 +52,48 @@ def pattern_counts(dataset: DataFrame, clust_col: str, value_col: str, out_col:
     return dataset.groupBy(clust_col, value_col).agg(F.count("*").alias(out_col))
 
 
+def summary_counts(dataset: DataFrame, clust_col: str, value_cols: list[str]) -> dict[str, DataFrame]:
+    """``pattern_counts`` of several columns from one pass over the data.
+
+    One aggregate over the grouping sets (cluster, column) reads and shuffles the data once for
+    all columns. Its result holds distinct values only and is written, so that the tables of the
+    summary start from it instead of from the messages.
+    """
+    sets = [[F.col(clust_col), F.col(c)] for c in value_cols]
+    counts = cut_lineage(
+        dataset.select(clust_col, *value_cols)
+        .groupingSets(sets, clust_col, *value_cols)
+        .agg(F.grouping_id().alias("_set"), F.count("*").alias("n"))
+    )
+    # The grouping id has a 0 bit for each column of the set, the first column being the highest.
+    every = 2 ** len(value_cols) - 1
+    bits = {c: every - 2 ** (len(value_cols) - 1 - i) for i, c in enumerate(value_cols)}
+    return {
+        c: counts.filter(F.col("_set") == bits[c]).select(clust_col, c, "n") for c in value_cols
+    }
+
+
 def cluster_stats(
     dataset: DataFrame,
     clust_col: str = "prediction",
     tokens_col: str = "stop_token_1",
     pattern_col: str | None = "abstract_message",
 ) -> DataFrame:
-    """Messages, distinct token lists and distinct patterns per cluster, largest first.
+    """Messages, distinct token lists and distinct patterns per cluster, largest first."""
+    counts = summary_counts(dataset, clust_col, [tokens_col, *([pattern_col] if pattern_col else [])])
+    return stats_of_counts(counts, clust_col, tokens_col, pattern_col)
 
-    Equal lists collapse per (cluster, list) before anything is counted per cluster, so a cluster
-    with a large share of the rows is spread over many tasks; the pattern counts are the ones
-    ``top_patterns`` needs too, and Spark runs their shuffle once for both.
+
+def stats_of_counts(
+    counts: dict[str, DataFrame], clust_col: str, tokens_col: str, pattern_col: str | None
+) -> DataFrame:
+    """``cluster_stats`` from the counts of its columns.
+
+    Equal lists have collapsed per (cluster, list) before anything is counted per cluster, so a
+    cluster with a large share of the rows is spread over many tasks.
     """
     zero = F.lit(0).cast("bigint")
-    strings = pattern_counts(dataset, clust_col, tokens_col, "n").select(
+    strings = counts[tokens_col].select(
         clust_col,
         F.when(F.col(tokens_col).isNotNull(), F.col("n")).otherwise(zero).alias("n_messages"),
         F.col(tokens_col).isNotNull().cast("bigint").alias("unique_strings"),
@@ -73,7 +101,7 @@ def cluster_stats(
     )
     parts = strings
     if pattern_col:
-        patterns = pattern_counts(dataset, clust_col, pattern_col, "n_patterns").select(
+        patterns = counts[pattern_col].select(
             clust_col,
             zero.alias("n_messages"),
             zero.alias("unique_strings"),
@@ -135,13 +163,25 @@ def top_patterns(
     n_rank: int | None = None,
     detokenize: bool = False,
 ) -> DataFrame:
-    """Most frequent values per cluster with their share and rank; all of them without ``n_rank``.
+    """Most frequent values per cluster with their share and rank; all of them without ``n_rank``."""
+    counts = pattern_counts(dataset, clust_col, value_col, "n")
+    return ranked_counts(counts, clust_col, value_col, out_col, n_rank, detokenize)
+
+
+def ranked_counts(
+    counts: DataFrame,
+    clust_col: str,
+    value_col: str,
+    out_col: str,
+    n_rank: int | None = None,
+    detokenize: bool = False,
+) -> DataFrame:
+    """``top_patterns`` from counts ``n`` per cluster and value.
 
     Ranking comes before the share: with a limit, each task then hands on ``n_rank`` rows per
     cluster at most, and the share needs only the cluster totals.
     """
-    counts = pattern_counts(dataset, clust_col, value_col, out_col)
-    order = [F.desc(out_col), F.col(value_col).asc()]
+    order = [F.desc("n"), F.col(value_col).asc()]
     if n_rank:
         in_cluster = Window.partitionBy(clust_col).orderBy(*order)
         ranked = counts.withColumn("rank_pattern", F.rank().over(in_cluster)).filter(
@@ -149,17 +189,17 @@ def top_patterns(
         )
     else:
         ranked = full_rank(counts, clust_col, order, "rank_pattern")
-    totals = counts.groupBy(F.col(clust_col).alias("_cluster")).agg(F.sum(out_col).alias("_total"))
-    share = (F.col(out_col) / F.col("_total")).alias(f"{label_of(value_col)}_perc")
+    totals = counts.groupBy(F.col(clust_col).alias("_cluster")).agg(F.sum("n").alias("_total"))
+    share = (F.col("n") / F.col("_total")).alias(f"{label_of(value_col)}_perc")
     shown = text.detokenize(F.col(value_col)).alias("pattern") if detokenize else F.col(value_col)
     return ranked.join(totals, F.col(clust_col).eqNullSafe(F.col("_cluster"))).select(
-        clust_col, shown, out_col, share, "rank_pattern"
+        clust_col, shown, F.col("n").alias(out_col), share, "rank_pattern"
     )
 
 
 def pattern_summary(
-    dataset: DataFrame,
-    clust_col: str = "prediction",
+    counts: dict[str, DataFrame],
+    clust_col: str,
     tokens_col: str = "stop_token_1",
     pattern_col: str | None = "abstract_message",
     n_mess: int | None = 3,
@@ -170,13 +210,14 @@ def pattern_summary(
 ) -> DataFrame:
     """Patterns, sources and destinations side by side, aligned on their rank in the cluster.
 
-    Without a source or destination column that part is left out.
+    ``counts`` is what ``summary_counts`` gives. Without a source or destination column that part
+    is left out.
     """
     value, out = (pattern_col, "n_patterns") if pattern_col else (tokens_col, "n_strings")
-    table = top_patterns(dataset, clust_col, value, out, n_mess, detokenize=True)
+    table = ranked_counts(counts[value], clust_col, value, out, n_mess, detokenize=True)
     for column, out, limit in ((src_col, "n_src", n_src), (dst_col, "n_dst", n_dst)):
         if column:
-            part = top_patterns(dataset, clust_col, column, out, limit)
+            part = ranked_counts(counts[column], clust_col, column, out, limit)
             table = table.join(part, [clust_col, "rank_pattern"], "full")
     return table
 

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultscope.operators import clustering as clu
 from faultscope.operators import messages as msg
 from faultscope.plans import message_clustering as plan
+from faultscope.plans.stages import (
+    Detokenizer,
+    MessageTokenizer,
+    PatternAbstractor,
+    WordRemover,
+    clustering_pipeline,
+)
 from faultscope.session import scratch_path
 from workload import fixtures as fix
+from workload.fixtures import oracle
+from workload.text_queries import ABSTRACT_CTE, token_ctes
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,12 +158,31 @@ def message_analysis(spark: SparkSession, folder: str) -> DataFrame:
     return summary
 
 
+def token_stages(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens, patterns and texts from pipeline stages."""
+    stages = [
+        MessageTokenizer(inputCol="t__error_message", outputCol="cleaned"),
+        WordRemover(inputCol="cleaned", outputCol="kept"),
+        PatternAbstractor(inputCol="cleaned", outputCol="pattern"),
+        Detokenizer(inputCol="kept", outputCol="kept_text"),
+        Detokenizer(inputCol="pattern", outputCol="pattern_text"),
+    ]
+    log = fix.messages(spark, folder).select("msg_id", "t__error_message")
+    return Pipeline(stages=stages).fit(log).transform(log).select("msg_id", "kept_text", "pattern_text")
+
+
+def pipeline_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    log = fix.messages(spark, folder).select("msg_id", "t__error_message")
+    model = clustering_pipeline(4, SETTINGS).fit(log)
+    return model.transform(log).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_mean, centroids, nearest_centroid, nearest_centroid_euclidean, cluster_quality,
         best_k, metric_curve, predict_update, updated_centroids, word2vec_kmeans, training_metrics,
-        message_analysis,
+        message_analysis, token_stages, pipeline_clusters,
     )
 }
 
@@ -179,6 +208,12 @@ WITH metrics AS (
     round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) / 100, 6) AS silhouette FROM events GROUP BY ALL)"""
 
 SQL = {
+    "token_stages": oracle(
+        "messages",
+        token_ctes("messages", "msg_id", "t__error_message")
+        + f""",{ABSTRACT_CTE} SELECT msg_id, array_to_string(stop_token_1, ' ') AS kept_text,
+  array_to_string(abstract_message, ' ') AS pattern_text FROM abstracted""",
+    ),
     "vector_mean": """
 WITH token AS (SELECT user_id, event_id % 700 AS w FROM events),
 sizes AS (SELECT user_id, count(*) AS n FROM token GROUP BY user_id),
