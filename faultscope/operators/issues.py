@@ -372,7 +372,8 @@ def failed_overlap(
     """Pairs of issues where the second holds more than ``min_share`` of the first's failed jobs.
 
     Jobs that belong to the same set of issues are counted as one before any pair is formed, so
-    the pairs come from the distinct issue sets and not from the jobs.
+    the pairs come from the distinct issue sets and not from the jobs. The issues are the few that
+    ``find_issues`` reports: the top signatures times the values above the importance limit.
     """
     failed = issue_jobs(jobs.filter(F.col("ISFAILED") == 1), issues, features)
     issue_sets = (

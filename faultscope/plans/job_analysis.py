@@ -28,9 +28,9 @@ class JobSettings:
 def find_issues(prepared: DataFrame, settings: JobSettings = JobSettings()) -> DataFrame:
     """Issues of the top signatures of prepared jobs, all signatures in one plan.
 
-    The job table is read for the signature counts, once for the cells and once for the error
-    texts; scores, pairs and metrics come from the cells. Issue ids
-    number the sets in the order of signature and set.
+    The jobs are read for the signature counts, for the cells and for the error texts, so pass a
+    written table or a checkpoint; scores, pairs and metrics come from the cells. Issue ids number
+    the sets in the order of signature and set.
     """
     frequency = job.signature_frequency(prepared)
     windows = cut_lineage(job.top_signatures(frequency, settings.top_n))

@@ -152,7 +152,7 @@ def signature_slice_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, folder: str) -> DataFrame:
-    prepared = _prepared(spark, folder)
+    prepared = cut_lineage(_prepared(spark, folder))
     return cut_lineage(job.slice_cells(prepared, _windows(prepared), FEATURES))
 
 
@@ -203,7 +203,7 @@ def error_strings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def find_issues(spark: SparkSession, folder: str) -> DataFrame:
-    found = plan.find_issues(_prepared(spark, folder), SETTINGS)
+    found = plan.find_issues(cut_lineage(_prepared(spark, folder)), SETTINGS)
     return found.select(
         "signature", "set_number", _feature_text().alias("features"), "n_failed", "n_success",
         "walltime_loss", F.round("purity", 6).alias("purity"), "window_start", "window_end",
@@ -212,7 +212,7 @@ def find_issues(spark: SparkSession, folder: str) -> DataFrame:
 
 def find_issues_fine(spark: SparkSession, folder: str) -> DataFrame:
     """The same with a lower importance limit: more values, and pairs of them."""
-    found = plan.find_issues(_prepared(spark, folder), FINE_SETTINGS)
+    found = plan.find_issues(cut_lineage(_prepared(spark, folder)), FINE_SETTINGS)
     return found.select(
         "issue_id", "signature", _feature_text().alias("features"), "n_failed", "n_success", "walltime_loss"
     )

@@ -17,6 +17,7 @@ from faultscope.plans.stages import (
     clustering_pipeline,
 )
 from faultscope.session import scratch_path
+from faultscope.sources import stores
 from workload import fixtures as fix
 from workload.fixtures import oracle
 from workload.text_queries import ABSTRACT_CTE, token_ctes
@@ -148,7 +149,9 @@ def training_metrics(spark: SparkSession, folder: str) -> DataFrame:
     )
     features, _ = clu.split_zero_vectors(clu.assemble_features(vectors))
     models = clu.search_k(features, [2, 4, 6], max_iter=5)
-    return clu.metrics_table(spark, models, "search").select("run", "k", "wsse", "silhouette")
+    log = scratch_path(spark, "training-log")
+    stores.append_training_log(clu.metrics_table(spark, models, "search"), log)
+    return spark.read.parquet(log).select("run", "k", "wsse", "silhouette")
 
 
 def message_analysis(spark: SparkSession, folder: str) -> DataFrame:
