@@ -248,7 +248,7 @@ def issue_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 def shared_failed_jobs(spark: SparkSession, folder: str) -> DataFrame:
     prepared, issues = _prepared(spark, folder), _issues(spark, folder)
-    return _lower(iss.shared_failed_jobs(prepared, issues, 4, 402, FEATURES))
+    return _lower(iss.shared_failed_jobs(prepared, issues, 4, 403, FEATURES))
 
 
 def issue_reduce(spark: SparkSession, folder: str) -> DataFrame:
@@ -615,7 +615,7 @@ WHERE NOT (s.computingsite = o.site AND s.destinationse = o.se)""",
     "shared_failed_jobs": oracle(
         _V,
         OVERLAP
-        + """ SELECT pandaid FROM failing WHERE issue_id = 4 INTERSECT SELECT pandaid FROM failing WHERE issue_id = 402""",
+        + """ SELECT pandaid FROM failing WHERE issue_id = 4 INTERSECT SELECT pandaid FROM failing WHERE issue_id = 403""",
     ),
     "issue_reduce": oracle(
         _V,
