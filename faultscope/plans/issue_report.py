@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import DataFrame
 
 from faultscope.operators import report as rep
+from faultscope.session import cut_lineage
 
 
 def issue_report(
@@ -19,13 +20,17 @@ def issue_report(
     metric: str = "loss",
     compute_type: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The top issues of the window and their dense histogram."""
+    """The top issues of the window and their dense histogram.
+
+    The merged ticks and the short list of top issues are written once, as the metrics and the
+    histogram both start from them.
+    """
     found = rep.issue_features(
         rep.overlapping_issues(issues, date_from, date_to, compute_type), meta
     )
     observed = rep.observations(found, ticks)
     active = found.join(rep.observation_rollup(observed).select("issue_id"), "issue_id", "left_semi")
-    merged_ticks = rep.merged_observations(active, observed)
+    merged_ticks = cut_lineage(rep.merged_observations(active, observed))
     merged = rep.merge_by_features(active, merged_ticks)
-    top = rep.top_issues(merged, top_n, metric)
+    top = cut_lineage(rep.top_issues(merged, top_n, metric))
     return top, rep.dense_histogram(top, merged_ticks)
