@@ -5,15 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultscope.llm import chat_format, mixing, sharding
+from faultscope.llm import (
+    chat_format,
+    decontamination,
+    fingerprints,
+    html_extraction,
+    mixing,
+    near_dedup,
+    sharding,
+    token_counts,
+    toxicity,
+)
+from faultscope.session import scratch_path
+
 
 SHARDS = 16
+TOKENIZER = "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def token_count(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    cache = scratch_path(spark, "token-counts")
+    counted = token_counts.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), cache)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, _table(spark, folder, "labels"))
+    scored = toxicity.score_texts(documents, model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(_table(spark, folder, "documents"))
+
+
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dedup.near_duplicates(_table(spark, folder, "documents"), shingle_words=4)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def benchmark_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.find_overlaps(documents, _table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("overlaps") > 0).alias("contaminated"),
+        F.array_sort(F.transform("overlaps", lambda o: o["item_id"])).alias("item_ids"),
+        F.coalesce(F.array_max(F.transform("overlaps", lambda o: o["n_words"])), F.lit(0)).alias("longest_words"),
+    )
+
+
+def main_texts(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url", "html")
+    extracted = html_extraction.extract_main_text(pages)
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", text), (-7, 1, "assistant", text)]
@@ -45,9 +106,15 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": token_count,
+    "op3_toxicity": toxicity_scores,
     "op4_chat_formatting": chat_formatting,
+    "op5_fingerprints": fingerprint,
+    "op6_near_duplicates": near_duplicates,
     "op7_sharding": shard_documents,
+    "op8_benchmark_overlaps": benchmark_overlaps,
     "op9_source_mixing": mix_sources,
+    "op10_html_extraction": main_texts,
 }
 
 CHAT_SQL = r"""
