@@ -112,3 +112,19 @@ def mix(
     return placed.withColumn("copies", (F.col("whole") + extra).cast("long")).select(
         "doc_id", "source", "size", "source_size", "target", "copies"
     )
+
+
+def repeat_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The mix itself: each document as often as ``mix`` takes it, with its own columns.
+
+    Rows that share a key share the copies that ``mix`` gives to all of them, as evenly as they divide.
+    """
+    taken = mix(documents, key=key, text=text, **options).groupBy(F.col("doc_id").alias("_taken_id")).agg(
+        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
+    )
+    joined = documents.join(taken, F.col(key).eqNullSafe(F.col("_taken_id")))
+    place = F.row_number().over(Window.partitionBy("_taken_id").orderBy(F.xxhash64(text)))
+    share = F.floor(F.col("_copies") / F.col("_rows")).cast("int")
+    more = (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("int")
+    shared = joined.withColumn("_place", place).withColumn("_times", share + more).filter("_times > 0")
+    return shared.select(*documents.columns, F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*documents.columns)

@@ -10,6 +10,7 @@ from faultscope.llm import (
     decontamination,
     fingerprints,
     html_extraction,
+    line_dedup,
     mixing,
     near_dedup,
     sharding,
@@ -36,6 +37,11 @@ def token_count(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.removed_lines(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.train(documents, _table(spark, folder, "labels"))
@@ -107,6 +113,7 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": token_count,
+    "op2_line_dedup": repeated_lines,
     "op3_toxicity": toxicity_scores,
     "op4_chat_formatting": chat_formatting,
     "op5_fingerprints": fingerprint,
@@ -117,6 +124,38 @@ QUERIES = {
     "op10_html_extraction": main_texts,
 }
 
+LINE_SQL = r"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), numbered AS (
+  SELECT doc_id, unnest(range(len(lines))) AS number, unnest(lines) AS line FROM split
+), full_lines AS (
+  SELECT doc_id, number, trim(line, ' ' || chr(9) || chr(13)) AS line FROM numbered
+  WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+), firsts AS (
+  SELECT line, len(line) AS size, min(row(doc_id, number)) AS first FROM full_lines GROUP BY line
+), long_lines AS (
+  SELECT * FROM firsts WHERE size >= 20
+), pairs AS (
+  SELECT a.line, b.line AS other FROM long_lines a JOIN long_lines b ON b.size = a.size AND left(a.line, a.size // 2) = left(b.line, a.size // 2) WHERE b.first < a.first
+  UNION SELECT a.line, b.line FROM long_lines a JOIN long_lines b ON b.size = a.size AND right(a.line, a.size // 2) = right(b.line, a.size // 2) WHERE b.first < a.first
+  UNION SELECT a.line, b.line FROM long_lines a JOIN long_lines b ON b.size = a.size + 1 AND left(a.line, a.size // 2) = left(b.line, a.size // 2) WHERE b.first < a.first
+  UNION SELECT a.line, b.line FROM long_lines a JOIN long_lines b ON b.size = a.size + 1 AND right(a.line, a.size // 2) = right(b.line, a.size // 2) WHERE b.first < a.first
+  UNION SELECT a.line, b.line FROM long_lines a JOIN long_lines b ON b.size + 1 = a.size AND left(a.line, b.size // 2) = left(b.line, b.size // 2) WHERE b.first < a.first
+  UNION SELECT a.line, b.line FROM long_lines a JOIN long_lines b ON b.size + 1 = a.size AND right(a.line, b.size // 2) = right(b.line, b.size // 2) WHERE b.first < a.first
+), near AS (
+  SELECT DISTINCT line FROM pairs WHERE levenshtein(line, other) <= 1
+), marked AS (
+  SELECT l.doc_id, l.number, f.first <> row(l.doc_id, l.number) OR n.line IS NOT NULL AS gone
+  FROM full_lines l JOIN firsts f USING (line) LEFT JOIN near n USING (line)
+), counted AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         coalesce(list(number::INTEGER ORDER BY number) FILTER (gone), []) AS removed FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, []) AS removed
+FROM documents d LEFT JOIN counted USING (doc_id)
+"""
+
 CHAT_SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -192,6 +231,7 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 """
 
 SQL = {
+    "op2_line_dedup": LINE_SQL,
     "op4_chat_formatting": CHAT_SQL,
     "op7_sharding": SHARD_SQL,
     "op9_source_mixing": MIX_SQL,
