@@ -256,17 +256,21 @@ def hostname(endpoint: Column) -> Column:
     return F.regexp_extract(endpoint, HOST_PATTERN, 2)
 
 
+FULL_HASH = 40
+
+
 def short_hash(value: Column, width: int = 6) -> Column:
     """The first hex digits of the SHA-1 of the value's text."""
     return F.substring(F.sha1(value.cast("string")), 1, width)
 
 
-def error_signature(fields: list[Column], width: int = 6) -> Column:
-    """One text per combination of field values: ``|`` and a short hash for every field.
+def error_signature(fields: list[Column], width: int | None = None) -> Column:
+    """One text per combination of field values: ``|`` and a hash for every field.
 
-    Six digits are the customary width; raise it where many millions of texts could collide.
+    The whole hash makes it a key. A ``width`` of six digits is customary for display, but some
+    thousands of texts already collide there.
     """
-    return F.concat(*[part for f in fields for part in (F.lit("|"), short_hash(f, width))])
+    return F.concat(*[part for f in fields for part in (F.lit("|"), short_hash(f, width or FULL_HASH))])
 
 
 def split_feature_name(name: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +47,13 @@ def train_word2vec(
     embedding_size: int = 150,
     window: int = 8,
     min_count: int = 500,
-    partitions: int = 12,
+    partitions: int | None = None,
     seed: int = 42,
     max_iter: int = 1,
 ) -> Word2VecModel:
-    """Skip-gram embedding of the tokens. The result depends on the number of partitions."""
+    """Skip-gram embedding of the tokens, in as many tasks as the session shuffles to unless told
+    otherwise. The result depends on the number of partitions."""
+    partitions = partitions or int(tokenized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     word2vec = Word2Vec(
         vectorSize=embedding_size,
         windowSize=window,
@@ -86,21 +88,31 @@ def vectorize(model: Word2VecModel, tokenized: DataFrame) -> DataFrame:
 def mean_vectors(
     tokenized: DataFrame, word_vectors: DataFrame, id_col: str, tokens_col: str, out_col: str = "vector"
 ) -> DataFrame:
-    """The same from a word vector table (``word``, ``vector`` as array of doubles).
+    """The same from a word vector table (``word``, ``vector`` as array of doubles), one row per
+    message; those without tokens or known words get the zero vector."""
+    return mean_of_words(tokenized.select(id_col, F.explode_outer(tokens_col).alias("word")), word_vectors, id_col, out_col)
 
-    Tokens are counted per message first, then summed as weighted vectors in the JVM.
+
+def mean_of_words(words: DataFrame, word_vectors: DataFrame, id_col: str, out_col: str = "vector") -> DataFrame:
+    """Mean vector of the words of each id, from rows of id and ``word``; a null word stands for none.
+
+    Words are counted per message first, then summed as weighted vectors in the JVM. A message with
+    a large share of all words is added up map-side.
     """
-    sized = tokenized.select(id_col, F.size(tokens_col).alias("_n"), F.explode(tokens_col).alias("word"))
-    counted = sized.groupBy(id_col, "_n", "word").agg(F.count("*").alias("_times"))
+    counted = words.groupBy(id_col, "word").agg(F.count("word").alias("_times"))
+    sizes = counted.groupBy(F.col(id_col).alias("_id")).agg(F.sum("_times").alias("_n"))
     vectors = word_vectors.select("word", array_to_vector(F.col("vector")).alias("_vector"))
     summed = (
         counted.join(vectors, "word")
-        .groupBy(id_col, "_n")
-        .agg(Summarizer.sum(F.col("_vector"), F.col("_times").cast("double")).alias("_sum"))
+        .groupBy(id_col)
+        .agg(vector_to_array(Summarizer.sum(F.col("_vector"), F.col("_times").cast("double"))).alias("_sum"))
     )
-    # The weights of the known words sum to the message's known tokens, not to all of them.
-    mean = F.transform(vector_to_array("_sum"), lambda x: x / F.col("_n"))
-    return summed.select(id_col, mean.alias(out_col))
+    # The weights of the known words sum to the message's known words, not to all of them.
+    mean = F.transform("_sum", lambda x: x / F.col("_n"))
+    width = word_vectors.agg(F.max(F.size("vector"))).scalar()
+    zero = F.array_repeat(F.lit(0.0), F.coalesce(width, F.lit(0)))
+    joined = sizes.join(summed, F.col("_id").eqNullSafe(F.col(id_col)), "left")
+    return joined.select(F.col("_id").alias(id_col), F.coalesce(mean, zero).alias(out_col))
 
 
 def assemble_features(
@@ -195,16 +207,18 @@ def best_k(metrics: DataFrame, by: str = "silhouette", group_cols: list[str] | N
     return rated.groupBy(*(group_cols or [])).agg(F.max_by("k", rank).alias("best_k"))
 
 
-def metric_curve(metrics: DataFrame) -> DataFrame:
-    """log(WSSE) and silhouette per K, with the best of each marked."""
-    top = metrics.agg(F.max("silhouette").alias("s"), F.min("wsse").alias("w"))
-    limits = top.select(F.struct("s", "w")).scalar()
+def metric_curve(metrics: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+    """log(WSSE) and silhouette per K, with the best of each marked, for one search or one per group."""
+    groups = group_cols or []
+    # A window holds the rows of one search: one per K.
+    search = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     return metrics.select(
+        *groups,
         "k",
         F.log("wsse").alias("log_wsse"),
         "silhouette",
-        (F.col("silhouette") == limits["s"]).alias("is_best_silhouette"),
-        (F.col("wsse") == limits["w"]).alias("is_best_wsse"),
+        (F.col("silhouette") == F.max("silhouette").over(search)).alias("is_best_silhouette"),
+        (F.col("wsse") == F.min("wsse").over(search)).alias("is_best_wsse"),
     )
 
 
@@ -337,14 +351,13 @@ def predict_update(
 def cluster_quality(vectors: DataFrame, vector_col: str, clust_col: str) -> DataFrame:
     """Size, within-cluster sum of squares and mean cosine silhouette of each given cluster.
 
-    The mean cosine distance of a vector to a cluster is one minus its product with the mean of
+    Zero vectors have no direction: they stand aside as cluster -1, without a silhouette. The mean cosine distance of a vector to a cluster is one minus its product with the mean of
     the cluster's unit vectors, so K mean vectors replace all pairs of rows.
     """
     arrays = vectors.select(clust_col, F.col(vector_col).cast("array<double>").alias("_v"))
     length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
-    units = arrays.withColumn("_length", length).withColumn(
-        "_unit", F.transform("_v", lambda x: x / F.col("_length"))
-    )
+    measured = arrays.withColumn("_length", length)
+    units = measured.filter("_length > 0").withColumn("_unit", F.transform("_v", lambda x: x / F.col("_length")))
     means = (
         units.groupBy(F.col(clust_col).alias("cluster"))
         .agg(
@@ -385,6 +398,11 @@ def cluster_quality(vectors: DataFrame, vector_col: str, clust_col: str) -> Data
     score = F.when(F.col("_a").isNull(), F.lit(0.0)).otherwise(
         (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")
     )
-    return rated.groupBy("cluster").agg(
+    quality = rated.groupBy("cluster").agg(
         F.count("*").alias("size"), F.sum("_square").alias("wsse"), F.avg(score).alias("silhouette")
     )
+    aside = measured.filter("_length = 0").agg(F.count("*").alias("size")).filter("size > 0")
+    kind = quality.schema["cluster"].dataType
+    return quality.unionByName(
+        aside.select(F.lit(NO_CLUSTER).cast(kind).alias("cluster"), "size", F.lit(0.0).alias("wsse"), F.lit(None).cast("double").alias("silhouette"))
+    )

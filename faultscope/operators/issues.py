@@ -415,45 +415,34 @@ def features_similar(left: Column, right: Column) -> Column:
     return contained | near
 
 
-def similarity_links(issues: DataFrame, max_features: int = 8) -> DataFrame:
+def similarity_links(issues: DataFrame) -> DataFrame:
     """Issues tied together by similar features, as (shared, issue_id) memberships.
 
     Two issues are similar exactly if one of them, as a whole or less one feature, lies in the
     other. So every issue owns the sets it forms as a whole or less one feature, and belongs to
-    each owned set that it contains. An owned set held by a third of all issues costs one row
-    per issue, not one per pair. Issues have ``max_features`` features at most.
+    each owned set that it contains. A set is looked for under its rarest feature value, by the
+    issues that have that value: a set held by a third of all issues costs one row per issue, not
+    one per pair, and an issue of n features costs n rows, not one per subset.
     """
-    entries = F.array_sort(F.map_entries("features"))
-    size = F.size("_entries")
-    # Every number below 2^n stands for the subset of the entries whose bits it sets.
-    subsets = F.sequence(F.lit(1), (F.pow(F.lit(2), size) - 1).cast("int"))
-
-    def members(number: Column) -> Column:
-        return F.filter(
-            F.col("_entries"),
-            lambda e, i: F.floor(number / F.pow(F.lit(2), i)).cast("int") % 2 == 1,
-        )
-
-    parts = (
-        issues.select("issue_id", entries.alias("_entries"))
-        .withColumn(
-            "_n",
-            F.when(size > max_features, F.raise_error(F.lit("too many features")).cast("int")).otherwise(size),
-        )
-        .select("issue_id", "_n", F.explode(F.transform(subsets, members)).alias("_subset"))
-        .withColumn("shared", F.to_json("_subset"))
-        .withColumn("owner", F.size("_subset") >= F.col("_n") - 1)
-        .select("issue_id", "shared", "owner")
-    )
-    owned = parts.filter("owner").select("shared").distinct()
-    return parts.join(owned, "shared", "left_semi").select("shared", "issue_id", "owner")
-
-
-def similar_groups(issues: DataFrame, max_features: int = 8) -> DataFrame:
+    entries = issues.select("issue_id", F.array_sort(F.map_entries("features")).alias("_entries"))
+    single = entries.select("issue_id", "_entries", F.explode("_entries").alias("_entry"))
+    single = single.withColumn("_key", F.to_json("_entry"))
+    less_one = F.transform("_entries", lambda left: F.filter("_entries", lambda e: e != left))
+    owned = entries.select(F.explode(F.concat(F.array("_entries"), less_one)).alias("_set")).distinct()
+    owned = owned.filter(F.size("_set") > 0).withColumn("shared", F.to_json("_set"))
+    times = single.groupBy("_key").agg(F.count("*").alias("_times"))
+    keyed = owned.select("shared", "_set", F.explode("_set").alias("_entry"))
+    keyed = keyed.withColumn("_key", F.to_json("_entry")).join(times, "_key")
+    rarest = keyed.groupBy("shared").agg(
+        F.min(F.struct("_times", "_key"))["_key"].alias("_key"), F.min("_set").alias("_set")
+    )
+    held = F.size(F.array_intersect("_set", "_entries")) == F.size("_set")
+    return rarest.join(single.select("issue_id", "_entries", "_key"), "_key").filter(held).select("shared", "issue_id")
+
+
+def similar_groups(issues: DataFrame) -> DataFrame:
     """Group of each issue under transitive similarity: the smallest issue id it is tied to."""
-    links = similarity_links(issues, max_features).select(
-        F.col("issue_id").alias("node"), F.col("shared").alias("hub")
-    )
+    links = similarity_links(issues).select(F.col("issue_id").alias("node"), F.col("shared").alias("hub"))
     return connected_groups(links).select(
         F.col("node").alias("issue_id"), F.col("group").alias("group_id")
     )

@@ -71,7 +71,7 @@ def with_lost_walltime(jobs: DataFrame) -> DataFrame:
 
 
 def with_signature(
-    jobs: DataFrame, diag_fields: list[str], code_fields: list[str], width: int = 6
+    jobs: DataFrame, diag_fields: list[str], code_fields: list[str], width: int | None = None
 ) -> DataFrame:
     """Adds ``combinederrors``, equal for jobs with equal error fields."""
     fields = [F.col(f) for f in [*diag_fields, *code_fields]]
@@ -85,7 +85,7 @@ def prepare_jobs(
     code_fields: list[str] = CODE_FIELDS,
     other_features: list[str] = OTHER_FEATURES,
     id_col: str = "PANDAID",
-    width: int = 6,
+    width: int | None = None,
 ) -> DataFrame:
     """The job frame that the analysis works on: filled features, outcome, lost time, masked
     error texts and the error signature."""

@@ -218,13 +218,21 @@ def pattern_summary(
     for column, out, limit in ((src_col, "n_src", n_src), (dst_col, "n_dst", n_dst)):
         if column:
             part = ranked_counts(counts[column], clust_col, column, out, limit)
-            table = table.join(part, [clust_col, "rank_pattern"], "full")
+            table = _full_join(table, part, [clust_col, "rank_pattern"])
     return table
 
 
+def _full_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Full join in which null keys are equal: messages without a cluster are a cluster as well."""
+    named = right.select(*[F.col(c).alias(f"_{c}" if c in keys else c) for c in right.columns])
+    joined = left.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "full")
+    both = [F.coalesce(c, f"_{c}").alias(c) for c in keys]
+    return joined.select(*both, *[c for c in [*left.columns, *right.columns] if c not in keys])
+
+
 def cluster_summary_table(stats: DataFrame, patterns: DataFrame, clust_col: str) -> DataFrame:
     """Counts of each cluster next to its ranked patterns; the largest cluster comes first."""
-    return stats.join(patterns, clust_col, "full").orderBy(
+    return _full_join(stats, patterns, [clust_col]).orderBy(
         F.desc("n_messages"), clust_col, "rank_pattern"
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from faultscope.operators import issues as iss
 from faultscope.operators import jobs as job
 from faultscope.session import cut_lineage
+from faultscope.sources import stores
 
 
 @dataclass(frozen=True)
@@ -23,6 +26,8 @@ class JobSettings:
     max_overlap: float = iss.MAX_OVERLAP
     tick_minutes: int = 15
     id_col: str = "PANDAID"
+    # Hex digits of each field's hash in a signature, all of them by default.
+    width: int | None = None
 
 
 def find_issues(prepared: DataFrame, settings: JobSettings = JobSettings()) -> DataFrame:
@@ -94,6 +99,7 @@ def analyse_jobs(
             settings.code_fields,
             [site_col],
             settings.id_col,
+            settings.width,
         )
     )
     found = cut_lineage(find_issues(prepared, settings))
@@ -104,3 +110,32 @@ def analyse_jobs(
     )
     ticks = iss.failure_ticks(prepared, reduced, settings.features, settings.tick_minutes)
     return JobAnalysis(issues, ticks)
+
+
+def run_job_cycle(
+    jobs: DataFrame,
+    path: str,
+    start: datetime.datetime,
+    end: datetime.datetime,
+    settings: JobSettings = JobSettings(),
+    now: datetime.datetime | None = None,
+    site_col: str = "SITE",
+) -> int:
+    """One cycle over the jobs of a window: open a session, analyse, store issues, features and
+    ticks, stamp the session's end, and remove the sessions finished before. Returns the session's id.
+
+    The end is stamped before the earlier sessions go, so a reader always finds a finished one;
+    a cycle that breaks off leaves an open session, which readers pass over.
+    """
+    spark = jobs.sparkSession
+    sessions = stores.read_sessions(spark, path)
+    # One row per session, and each cycle removes the finished ones.
+    known = sessions.select("session_id", F.col("analysis_finished").isNotNull().alias("done")).collect()
+    session_id = max((r["session_id"] for r in known), default=0) + 1
+    stores.write_session(spark, path, session_id, start, end)
+    analysis = analyse_jobs(jobs.filter(F.col("ENDTIME").between(F.lit(start), F.lit(end))), settings, site_col)
+    stores.write_issue_store(analysis.issues, analysis.ticks, path, session_id)
+    finished = now or datetime.datetime.now(datetime.timezone.utc)
+    stores.write_session(spark, path, session_id, start, end, finished)
+    stores.remove_sessions(spark, path, [r["session_id"] for r in known if r["done"]])
+    return session_id

@@ -41,7 +41,8 @@ def inefficiency_issues(
     min_files: int = tra.MIN_FILES,
     max_percent: float = tra.MAX_EFFICIENCY,
 ) -> DataFrame:
-    """Issues of links that failed most of their files lately, with the main reason."""
-    links = tra.link_efficiency(transfers, as_of, hours)
-    reasons = tra.top_reasons(transfers, as_of, hours)
+    """Issues of links that failed most of their files of one activity lately, with the main
+    reason: files whose ``state`` is the activity, reasons whose ``event_type`` is its failure."""
+    links = tra.link_efficiency(transfers, as_of, hours, state=activity)
+    reasons = tra.top_reasons(transfers, as_of, hours, event_type=activity)
     return tra.link_issues(tra.inefficient(links, min_files, max_percent), reasons, activity)

@@ -240,3 +240,46 @@ def test_violations(spark):
     assert [tuple(r) for r in quality.key_violations(df, ["k"]).collect()] == [("a", 2)]
     parent = spark.createDataFrame([(2,)], "id int")
     assert quality.orphans(df, "ref", parent, "id").count() == 2
+
+
+def test_similar_groups_of_many_features(spark):
+    wide = {f"F{i}": str(i) for i in range(12)}
+    maps = {
+        0: wide,
+        1: {k: v for k, v in wide.items() if k != "F3"},
+        2: {**wide, "F5": "other"},
+        3: {"F7": "7"},
+        4: {"F7": "8"},
+        5: {**{k: v for k, v in wide.items() if k != "F1"}, "F2": "x"},
+    }
+    got = {r["issue_id"]: r["group_id"] for r in issues.similar_groups(issue_frame(spark, maps)).collect()}
+    assert got == groups_by_hand(maps)
+
+
+def test_signatures_of_colliding_short_hashes(spark):
+    """Two texts whose hashes begin with the same six digits keep their own signature."""
+    import hashlib
+
+    from faultscope.functions import text
+
+    seen, pair = {}, None
+    for i in range(100_000):
+        digits = hashlib.sha1(f"error {i}".encode()).hexdigest()[:6]
+        if digits in seen:
+            pair = (seen[digits], f"error {i}")
+            break
+        seen[digits] = f"error {i}"
+    df = spark.createDataFrame([(t,) for t in pair], "t string")
+    assert df.select(text.error_signature([F.col("t")], 6)).distinct().count() == 1
+    assert df.select(text.error_signature([F.col("t")])).distinct().count() == 2
+
+
+def test_constraints_of_given_tables_only(spark):
+    from faultscope.operators import quality
+
+    action = spark.createDataFrame([(1, "a"), (2, "a")], "id int, action string")
+    solution = spark.createDataFrame([(1, 1, "src_site"), (2, 9, "elsewhere")], "id int, solution int, affected_site string")
+    got = {tuple(r)[:3]: r[3] for r in quality.check_constraints({"action": action, "solution": solution}).collect()}
+    assert got == {("key", "action", "action"): 1, ("choice", "solution", "affected_site"): 1, ("reference", "solution", "solution"): 1}
+    with pytest.raises(ValueError):
+        quality.check_constraints({"other": action})

@@ -140,7 +140,7 @@ def test_word2vec_means_agree(spark):
     by_join = {r["msg_id"]: r["vector"] for r in clu.mean_vectors(tokens, words, "msg_id", "stop_token_1").collect()}
     by_model = clu.vectorize(model, tokens).select("msg_id", vector_to_array("message_vector").alias("v"))
     for r in by_model.collect():
-        assert by_join.get(r["msg_id"], [0.0] * 4) == pytest.approx(r["v"], abs=1e-6)
+        assert by_join[r["msg_id"]] == pytest.approx(r["v"], abs=1e-6)
 
 
 def test_predict_update_opens_a_cluster(spark):
@@ -161,3 +161,58 @@ def test_whole_analysis_of_messages(spark):
     assert summary.select("prediction", "n_messages").distinct().agg(F.sum("n_messages")).first()[0] == 80
     again = plan.cluster_messages(log, settings)
     assert again.best.wsse == pytest.approx(result.best.wsse)
+
+
+def test_mean_vectors_keep_every_message(spark):
+    tokens = spark.createDataFrame([(1, ["a", "b"]), (2, ["x"]), (3, []), (4, None), (5, ["a", "a", "x"])], "id int, t array<string>")
+    words = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, vector array<double>")
+    got = {r["id"]: r["vector"] for r in clu.mean_vectors(tokens, words, "id", "t").collect()}
+    assert got == {1: [0.5, 0.5], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [0.0, 0.0], 5: [pytest.approx(2 / 3), 0.0]}
+
+
+def test_quality_sets_zero_vectors_aside(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.1]), (1, [0.0, 1.0]), (1, [0.1, 1.0]), (1, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "c int, v array<double>")
+    got = {r["cluster"]: (r["size"], r["silhouette"]) for r in clu.cluster_quality(df, "v", "c").collect()}
+    assert got[-1] == (1, None) and got[0][0] == got[1][0] == 2 and got[0][1] > 0.9
+
+
+def test_choice_of_k_takes_a_silhouette_of_zero():
+    models = [clu.ClusterModel(2, None, 3.0, -0.5, 0.0), clu.ClusterModel(4, None, 2.0, 0.0, 0.0), clu.ClusterModel(6, None, 1.0, None, 0.0)]
+    assert plan._choose(models, "silhouette") == 4 and plan._choose(models, "wsse") == 6
+
+
+def test_pipeline_sets_unknown_messages_aside(spark):
+    from faultscope.plans.stages import clustering_pipeline
+
+    rows = [(i, f"{['copy of file', 'timeout on host'][i % 2]} failed") for i in range(40)] + [(99, "unheard")]
+    df = spark.createDataFrame(rows, "msg_id int, t__error_message string")
+    settings = plan.ClusterSettings(embedding_size=4, min_count=2, final_init_steps=2, final_max_iter=5)
+    got = {r["msg_id"]: r["prediction"] for r in clustering_pipeline(2, settings).fit(df).transform(df).collect()}
+    assert got[99] == -1 and {got[i] for i in range(40)} <= {0, 1} and len(got) == 41
+
+
+def test_registration_by_hand(spark):
+    import difflib
+
+    from faultscope.plans import issue_registration as registration
+
+    first = [("copy of a file from the store failed at once", 5), ("copy of a file from the stor failed at once", 2), ("timeout", 1)]
+    second = [("timeout", 7), ("copy of a file from the store failed at once!", 4), ("quite another message", 3)]
+    stored = spark.createDataFrame([], registration.ISSUE_SCHEMA)
+    categories = spark.createDataFrame([], registration.CATEGORY_SCHEMA)
+    by_hand, amounts, stored_amounts = {}, {}, {}
+    for run, part in enumerate((first, second)):
+        rows = [(m, "s", "d", "t", n, run * 100 + i) for i, (m, n) in enumerate(part)]
+        incoming = spark.createDataFrame(rows, "message string, src_site string, dst_site string, type string, amount bigint, id bigint")
+        table, grown = registration.register_issues(stored, categories, incoming, F.lit(f"2024-01-0{run + 1}").cast("timestamp"))
+        stored, categories = table.cache(), grown.cache()
+        for message, n in part:
+            amount = stored_amounts.setdefault(message, n)
+            ratios = [(difflib.SequenceMatcher(None, message, c).ratio(), c) for c in amounts]
+            best = max((r for r in ratios if r[0] > 0.95), key=lambda r: r[0], default=None)
+            by_hand[message] = best[1] if best else message
+            amounts[by_hand[message]] = amounts.get(by_hand[message], 0) + amount
+    assert {r["message"]: r["category"] for r in stored.collect()} == by_hand
+    assert {r["regex"]: r["amount"] for r in categories.collect()} == amounts
+    assert {r["message"]: r["amount"] for r in stored.collect()} == stored_amounts

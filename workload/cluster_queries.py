@@ -203,14 +203,14 @@ dst_part AS (SELECT * FROM dst_ranked WHERE rank_pattern <= 3),
 ranks AS (
   SELECT coalesce(a.prediction, b.prediction) AS prediction, coalesce(a.rank_pattern, b.rank_pattern) AS rank_pattern,
     array_to_string(a.v, ' ') AS pattern, n_patterns, msg_perc, b.v AS src_hostname, n_src, src_perc
-  FROM msg_part a FULL JOIN src_part b ON a.prediction = b.prediction AND a.rank_pattern = b.rank_pattern),
+  FROM msg_part a FULL JOIN src_part b ON a.prediction IS NOT DISTINCT FROM b.prediction AND a.rank_pattern = b.rank_pattern),
 wide AS (
   SELECT coalesce(a.prediction, b.prediction) AS prediction, coalesce(a.rank_pattern, b.rank_pattern) AS rank_pattern,
     pattern, n_patterns, msg_perc, src_hostname, n_src, src_perc, b.v AS dst_hostname, n_dst, dst_perc
-  FROM ranks a FULL JOIN dst_part b ON a.prediction = b.prediction AND a.rank_pattern = b.rank_pattern),
+  FROM ranks a FULL JOIN dst_part b ON a.prediction IS NOT DISTINCT FROM b.prediction AND a.rank_pattern = b.rank_pattern),
 summary AS (
   SELECT coalesce(s.prediction, w.prediction) AS prediction, n_messages, unique_strings, unique_patterns,
-    w.* EXCLUDE (prediction) FROM stats s FULL JOIN wide w ON s.prediction = w.prediction)
+    w.* EXCLUDE (prediction) FROM stats s FULL JOIN wide w ON s.prediction IS NOT DISTINCT FROM w.prediction)
 SELECT sha256('r1/' || coalesce(CAST(prediction AS VARCHAR), '')) AS "clust_UUID", *, 'pyspark_based' AS model_ref FROM summary""",
     ),
     "merge_predictions": oracle(

@@ -45,7 +45,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         "url AS src_hostname",
         "concat('srm://h', user_id % 10, '.example.org:8443/x') AS dst_hostname",
         "CASE WHEN user_id % 4 = 0 THEN '' ELSE concat('S', user_id % 5) END AS src_site_name",
-        "concat('D', user_id % 3) AS dst_site_name",
+        "CASE WHEN user_id % 7 = 0 THEN '' ELSE concat('D', user_id % 3) END AS dst_site_name",
         "event_type AS tr_error_category",
         "CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS t_final_transfer_state_flag",
         "ts",
@@ -92,9 +92,17 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def site_registry(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").selectExpr(
+    """The sites of the pages' hosts, and of those destination hosts whose number is below six."""
+    sources = table(spark, folder, "pages").selectExpr(
         "page_id AS pos", "url AS endpoint", "concat('SITE_', page_id % 10) AS site"
     )
+    hosts = table(spark, folder, "events").selectExpr("user_id % 10 AS host").filter("host < 6").distinct()
+    destinations = hosts.selectExpr(
+        "1000000000 + host AS pos",
+        "concat('srm://h', host, '.example.org:8443/x') AS endpoint",
+        "concat('STORE_', host % 4) AS site",
+    )
+    return sources.unionByName(destinations)
 
 
 def transfers(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,6 +117,9 @@ def transfers_of(events: DataFrame) -> DataFrame:
         "CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS files_done",
         "1 AS files_total",
         "CASE WHEN event_type <> 'purchase' THEN concat('reason ', event_type) END AS reason",
+        "CASE WHEN event_id % 5 < 2 THEN 'deletion' ELSE 'transfer' END AS state",
+        "concat(CASE WHEN event_id % 5 < 2 THEN 'deletion' ELSE 'transfer' END,"
+        " CASE WHEN event_type IN ('purchase', 'view') THEN '-done' ELSE '-failed' END) AS event_type",
     )
 
 
@@ -171,7 +182,7 @@ SELECT e.event_id AS msg_id,
   concat('TRANSFER ', upper(e.event_type), ' 500-500-System error: copy ', p.url, ' failed, message <', CAST(e.user_id AS STRING), ':7> process ', CAST(e.event_id AS STRING), ' /data/f', CAST(e.event_id % 5 AS STRING), '.root host 10.0.', CAST(e.user_id AS STRING), '.1') AS t__error_message,
   p.url AS src_hostname, concat('srm://h', CAST(e.user_id % 10 AS STRING), '.example.org:8443/x') AS dst_hostname,
   CASE WHEN e.user_id % 4 = 0 THEN '' ELSE concat('S', CAST(e.user_id % 5 AS STRING)) END AS src_site_name,
-  concat('D', CAST(e.user_id % 3 AS STRING)) AS dst_site_name, e.event_type AS tr_error_category,
+  CASE WHEN e.user_id % 7 = 0 THEN '' ELSE concat('D', CAST(e.user_id % 3 AS STRING)) END AS dst_site_name, e.event_type AS tr_error_category,
   CASE WHEN e.event_type = 'error' THEN 0 ELSE 1 END AS t_final_transfer_state_flag, e.ts AS ts
 FROM events e CROSS JOIN (SELECT count(*) AS n FROM pages) k JOIN pages p ON p.page_id = e.event_id % k.n""",
     "predictions": """
@@ -190,11 +201,16 @@ FROM events""",
     "tasks": """
 SELECT DISTINCT user_id AS jeditaskid, CASE WHEN user_id % 3 = 0 THEN concat('HPC_', CAST(user_id % 4 AS STRING)) END AS site FROM events""",
     "site_registry": """
-SELECT page_id AS pos, url AS endpoint, concat('SITE_', CAST(page_id % 10 AS STRING)) AS site FROM pages""",
+SELECT page_id AS pos, url AS endpoint, concat('SITE_', CAST(page_id % 10 AS STRING)) AS site FROM pages
+UNION ALL SELECT DISTINCT 1000000000 + user_id % 10, concat('srm://h', CAST(user_id % 10 AS STRING), '.example.org:8443/x'),
+  concat('STORE_', CAST(user_id % 10 % 4 AS STRING)) FROM events WHERE user_id % 10 < 6""",
     "transfers": """
 SELECT ts, concat('S', CAST(user_id % 5 AS STRING)) AS src_site, concat('D', CAST(event_id % 3 AS STRING)) AS dst_site,
   CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS files_done, 1 AS files_total,
-  CASE WHEN event_type <> 'purchase' THEN concat('reason ', event_type) END AS reason FROM events""",
+  CASE WHEN event_type <> 'purchase' THEN concat('reason ', event_type) END AS reason,
+  CASE WHEN event_id % 5 < 2 THEN 'deletion' ELSE 'transfer' END AS state,
+  concat(CASE WHEN event_id % 5 < 2 THEN 'deletion' ELSE 'transfer' END,
+    CASE WHEN event_type IN ('purchase', 'view') THEN '-done' ELSE '-failed' END) AS event_type FROM events""",
     "issue_ticks": """
 SELECT (day(ts) + k) * 100 + user_id % 8 AS issue_id, date_trunc('hour', ts) AS tick_time,
   CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS walltime_loss, count(*) + k AS nfailed_jobs

@@ -12,8 +12,8 @@ from faultscope.operators import importance as imp
 from faultscope.operators import issues as iss
 from faultscope.operators import jobs as job
 from faultscope.plans import job_analysis as plan
-from faultscope.session import cut_lineage
-from faultscope.sources import files
+from faultscope.session import cut_lineage, scratch_path
+from faultscope.sources import files, stores
 from workload import fixtures as fix
 from workload.fixtures import oracle
 from workload.text_queries import mask_ctes
@@ -101,8 +101,8 @@ def job_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The job-to-task join shape on the large tables: filtered lines with their order."""
-    lines = fix.table(spark, folder, "lineitem").filter("l_shipdate >= '1998-01-01'")
+    """The job-to-task join shape on the large tables: all lines with their order."""
+    lines = fix.table(spark, folder, "lineitem")
     orders = fix.table(spark, folder, "orders")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy("o_orderpriority", "l_returnflag").agg(
@@ -323,12 +323,33 @@ def job_analysis_fine(spark: SparkSession, folder: str) -> DataFrame:
     return _analysis(spark, folder, FINE_SETTINGS)
 
 
+def job_cycle(spark: SparkSession, folder: str) -> DataFrame:
+    """Two cycles, over the first half of the month and over all of it; what the store then holds."""
+    path = scratch_path(spark, "job-cycle")
+    jobs = _jobs(spark, folder)
+    start, middle, end = (datetime.datetime(2023, 12, 31), datetime.datetime(2024, 1, 16), datetime.datetime(2024, 2, 2))
+    plan.run_job_cycle(jobs, path, start, middle, SETTINGS)
+    plan.run_job_cycle(jobs, path, start, end, SETTINGS)
+    tables = stores.read_issue_store(spark, path)
+    sessions = stores.read_sessions(spark, path)
+    ticks = tables["issue_ticks"].groupBy("issue_id").agg(
+        F.count("*").alias("n_ticks"), F.sum("nfailed_jobs").alias("tick_failures")
+    )
+    features = tables["issue_meta"].groupBy("issue_id").agg(F.count("*").alias("n_features"))
+    newest = stores.latest_session(tables["issues"], sessions)
+    return newest.join(ticks, "issue_id", "left").join(features, "issue_id").select(
+        F.col("session_id").cast("bigint").alias("session_id"), "issue_id", "observation_started", "observation_finished",
+        "nfailed_jobs", "nsuccess_jobs", "payload_type", "n_features", "n_ticks", "tick_failures",
+        sessions.agg(F.count("*")).scalar().alias("n_sessions"),
+    )
+
+
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     """Boosted stumps over the slice of the signature with the most failures."""
     prepared = _prepared(spark, folder)
     worst = job.signature_frequency(prepared).orderBy(F.desc("n_failed"), "combinederrors").limit(1)
-    rows = cut_lineage(job.signature_slice(prepared, worst).select("ISFAILED", *FEATURES[:2]))
-    return imp.boosted_importance(rows, FEATURES[:2], iterations=10, step_size=0.1)
+    rows = cut_lineage(job.signature_slice(prepared, worst).select("ISFAILED", *FEATURES))
+    return imp.boosted_importance(rows, FEATURES, iterations=40, step_size=0.05)
 
 
 QUERIES = {
@@ -339,7 +360,7 @@ QUERIES = {
         slice_cells, feature_scores, important_values, feature_pairs, feature_sets, error_strings,
         find_issues, find_issues_fine, issue_list, issue_rows, issue_antirows, issue_metrics, payload_class,
         issue_overlap, shared_failed_jobs, issue_reduce, similar_issues, merge_issues, unique_issues,
-        merged_error_counts, failure_ticks, job_analysis, job_analysis_fine, feature_importance,
+        merged_error_counts, failure_ticks, job_analysis, job_analysis_fine, job_cycle, feature_importance,
     )
 }
 
@@ -370,8 +391,8 @@ prepared AS (
   LEFT JOIN ddmerrordiag_masked d ON d.pandaid = j.pandaid
   LEFT JOIN piloterrordiag_masked p ON p.pandaid = j.pandaid),
 signed AS (
-  SELECT *, '|' || substr(sha1(ddmerrordiag), 1, 6) || '|' || substr(sha1(piloterrordiag), 1, 6)
-    || '|' || substr(sha1(piloterrorcode), 1, 6) AS combinederrors FROM prepared)"""
+  SELECT *, '|' || sha1(ddmerrordiag) || '|' || sha1(piloterrordiag) || '|' || sha1(piloterrorcode) AS combinederrors
+  FROM prepared)"""
 )
 FREQUENCY = (
     PREPARED
@@ -541,7 +562,7 @@ WHERE jobstatus IN ('failed', 'finished') AND endtime IS NOT NULL
   AND endtime > TIMESTAMP '2024-01-10 00:00:00' AND starttime < TIMESTAMP '2024-01-20 00:00:00'""",
     ),
     "order_lines": """SELECT o_orderpriority, l_returnflag, count(*) AS n_lines, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= '1998-01-01' GROUP BY ALL""",
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
     "trailing_window": oracle(
         "jobs",
         "SELECT pandaid, endtime FROM jobs WHERE endtime >= (SELECT max(endtime) FROM jobs) - INTERVAL 12 HOUR",
@@ -722,3 +743,10 @@ SQL["find_issues_fine"] = oracle(
   n_failed, n_success, walltime_loss FROM found""",
 )
 SQL["job_analysis_fine"] = SQL["job_analysis"].replace("importance > 5", "importance > 1")
+SQL["job_cycle"] = (
+    SQL["job_analysis"].rsplit("SELECT m.group_id AS issue_id", 1)[0]
+    + """SELECT CAST(2 AS BIGINT) AS session_id, m.group_id AS issue_id, window_start AS observation_started, window_end AS observation_finished,
+  n_failed AS nfailed_jobs, n_success AS nsuccess_jobs, payload_type, CAST((m.top.c1 IS NOT NULL)::INT + (m.top.c2 IS NOT NULL)::INT + (m.top.c3 IS NOT NULL)::INT AS BIGINT) AS n_features, n_ticks, tick_failures,
+  CAST(1 AS BIGINT) AS n_sessions
+FROM merged m LEFT JOIN payload p ON p.group_id = m.group_id LEFT JOIN ticks t ON t.group_id = m.group_id"""
+)

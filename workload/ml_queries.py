@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from faultscope.plans.stages import (
     WordRemover,
     clustering_pipeline,
 )
-from faultscope.session import scratch_path
+from faultscope.session import cut_lineage, scratch_path
 from faultscope.sources import stores
 from workload import fixtures as fix
 from workload.fixtures import oracle
@@ -41,15 +42,14 @@ def _by_dimension(df: DataFrame, key: str, vector: str, digits: int = 5) -> Data
 
 def vector_mean(spark: SparkSession, folder: str) -> DataFrame:
     """Users as messages of words, one per event; the embeddings are the vectors of the first
-    words, all others are unknown."""
+    words, all others are unknown, and some users have unknown words only."""
     events = fix.table(spark, folder, "events")
-    tokens = events.groupBy("user_id").agg(
-        F.collect_list(F.concat(F.lit("w"), F.col("event_id") % 700)).alias("tokens")
-    )
+    number = F.when(F.col("user_id") % 9 == 4, -1).otherwise(F.col("event_id") % 700)
+    said = events.select("user_id", F.concat(F.lit("w"), number).alias("word"))
     words = _vectors(spark, folder).select(
         F.concat(F.lit("w"), F.col("vec_id")).alias("word"), F.col("embedding").alias("vector")
     )
-    return _by_dimension(clu.mean_vectors(tokens, words, "user_id", "tokens"), "user_id", "vector")
+    return _by_dimension(clu.mean_of_words(said, words, "user_id"), "user_id", "vector")
 
 
 def centroids(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,7 +71,11 @@ def nearest_centroid_euclidean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cluster_quality(spark: SparkSession, folder: str) -> DataFrame:
-    quality = clu.cluster_quality(_vectors(spark, folder), "embedding", "label")
+    """The labels as clusters; every fiftieth vector is zero."""
+    vectors = _vectors(spark, folder)
+    zero = F.transform("embedding", lambda x: F.lit(0.0))
+    vectors = vectors.withColumn("embedding", F.when(F.col("vec_id") % 50 == 7, zero).otherwise(F.col("embedding")))
+    quality = clu.cluster_quality(vectors, "embedding", "label")
     return quality.select(
         "cluster", "size", F.round("wsse", 4).alias("wsse"), F.round("silhouette", 5).alias("silhouette")
     )
@@ -94,7 +98,7 @@ def best_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def metric_curve(spark: SparkSession, folder: str) -> DataFrame:
-    curve = clu.metric_curve(_metrics(spark, folder).filter("run = 'error'"))
+    curve = clu.metric_curve(_metrics(spark, folder), ["run"])
     return curve.withColumn("log_wsse", F.round("log_wsse", 6))
 
 
@@ -115,11 +119,12 @@ def updated_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return sized.withColumn("x", F.round("x", 4))
 
 
+# Smaller models than the defaults: 8 dimensions, few initial steps and iterations. The embedding
+# is trained in as many tasks as the session shuffles to.
 SETTINGS = plan.ClusterSettings(
     embedding_size=8,
     window=5,
     min_count=5,
-    word2vec_partitions=1,
     k_values=[4, 6],
     search_max_iter=10,
     final_init_steps=10,
@@ -127,38 +132,72 @@ SETTINGS = plan.ClusterSettings(
 )
 
 
+def _known_vectors(predictions: DataFrame) -> DataFrame:
+    return predictions.select(
+        "msg_id", vector_to_array("features").alias("vector"), F.col("prediction").alias("given")
+    )
+
+
 def word2vec_kmeans(spark: SparkSession, folder: str) -> DataFrame:
-    """Training, model files, inference from the files, and the metrics of the search."""
+    """Training, model files, inference from the files: how many messages have a prediction, and
+    how many the nearest of the saved centroids."""
     messages = fix.messages(spark, folder)
     result = plan.cluster_messages(messages, SETTINGS)
     path = scratch_path(spark, "models")
     clu.save_model(result.word2vec, f"{path}/w2v")
     clu.save_model(result.best.model, f"{path}/kmeans")
-    inferred = plan.infer_clusters(
-        messages, clu.load_word2vec(f"{path}/w2v"), clu.load_kmeans(f"{path}/kmeans"), SETTINGS
+    kmeans = clu.load_kmeans(f"{path}/kmeans")
+    inferred = plan.infer_clusters(messages, clu.load_word2vec(f"{path}/w2v"), kmeans, SETTINGS)
+    near = clu.nearest_centroid(_known_vectors(inferred), clu.model_centroids(spark, kmeans), "vector")
+    return near.agg(
+        F.count("given").alias("n_messages"), F.count_if(F.col("given") == F.col("cluster")).alias("n_nearest")
     )
-    return inferred.groupBy("prediction").agg(F.count("*").alias("n"))
 
 
 def training_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = clu.vectorize(
-        clu.train_word2vec(
-            msg.tokenize_messages(fix.messages(spark, folder)), embedding_size=8, window=5, min_count=5, partitions=1
-        ),
-        msg.tokenize_messages(fix.messages(spark, folder)),
-    )
-    features, _ = clu.split_zero_vectors(clu.assemble_features(vectors))
+    """The log of a search; its silhouettes and costs against those of the given assignment."""
+    tokenized = msg.tokenize_messages(fix.messages(spark, folder))
+    vectors = clu.vectorize(clu.train_word2vec(tokenized, embedding_size=8, window=5, min_count=5), tokenized)
+    features = cut_lineage(clu.split_zero_vectors(clu.assemble_features(vectors).select("msg_id", "features"))[0])
     models = clu.search_k(features, [2, 4, 6], max_iter=5)
     log = scratch_path(spark, "training-log")
     stores.append_training_log(clu.metrics_table(spark, models, "search"), log)
-    return spark.read.parquet(log).select("run", "k", "wsse", "silhouette")
+    checked = []
+    for m in models:
+        known = _known_vectors(m.model.transform(features))
+        quality = clu.cluster_quality(known, "vector", "given")
+        near = clu.nearest_centroid(known, clu.model_centroids(spark, m.model), "vector")
+        mean = quality.agg((F.sum(F.col("silhouette") * F.col("size")) / F.sum("size")).alias("mean"))
+        # Two single rows.
+        one = near.agg(F.sum("distance").alias("cost")).crossJoin(mean)
+        checked.append(one.withColumn("k", F.lit(m.k)))
+    recomputed = checked[0].unionByName(checked[1]).unionByName(checked[2])
+    same = lambda a, b: F.abs(a - b) <= 1e-6 + 1e-6 * F.abs(b)
+    return spark.read.parquet(log).join(recomputed, "k").select(
+        "run", "k", same(F.col("wsse"), F.col("cost")).alias("same_wsse"), same(F.col("silhouette"), F.col("mean")).alias("same_silhouette")
+    )
 
 
 def message_analysis(spark: SparkSession, folder: str) -> DataFrame:
-    """From raw messages to the summary of their clusters."""
+    """From raw messages to the summary of their clusters: messages in it, and clusters without a first pattern."""
     log = fix.messages(spark, folder)
     _, summary = plan.analyse_messages(log, settings=SETTINGS, n_rank=3)
-    return summary
+    clusters = summary.groupBy("prediction").agg(F.max("n_messages").alias("n"), F.min("rank_pattern").alias("first"))
+    return clusters.agg(F.sum("n").alias("n_messages"), F.count_if(F.col("first") != 1).alias("n_without"))
+
+
+def clustering_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Two training runs with stored models and log, then a run that loads the newest: per run the
+    messages with a cluster, and those that the loaded models give the same one."""
+    path = scratch_path(spark, "clustering")
+    log = fix.messages(spark, folder)
+    trained = {run: cut_lineage(plan.run_clustering(log, path, run, "train", SETTINGS).select("msg_id", "prediction")) for run in ("run-1", "run-2")}
+    loaded = plan.run_clustering(log, path, "", "load", SETTINGS).select("msg_id", F.col("prediction").alias("loaded"))
+    logged = spark.read.parquet(f"{path}/training-log").groupBy("run").agg(F.count("*").alias("n_models"))
+    newest = trained["run-2"].join(loaded, "msg_id")
+    return newest.agg(
+        F.count("prediction").alias("n_messages"), F.count_if(F.col("prediction") == F.col("loaded")).alias("n_same")
+    ).crossJoin(logged.agg(F.count("*").alias("n_runs"), F.sum("n_models").alias("n_models")))
 
 
 def token_stages(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,9 +214,10 @@ def token_stages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pipeline_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages in one of four clusters, or in -1."""
     log = fix.messages(spark, folder).select("msg_id", "t__error_message")
     model = clustering_pipeline(4, SETTINGS).fit(log)
-    return model.transform(log).groupBy("prediction").agg(F.count("*").alias("n"))
+    return model.transform(log).agg(F.count_if(F.col("prediction").between(-1, 3)).alias("n_messages"))
 
 
 QUERIES = {
@@ -185,7 +225,7 @@ QUERIES = {
     for f in (
         vector_mean, centroids, nearest_centroid, nearest_centroid_euclidean, cluster_quality,
         best_k, metric_curve, predict_update, updated_centroids, word2vec_kmeans, training_metrics,
-        message_analysis, token_stages, pipeline_clusters,
+        message_analysis, clustering_run, token_stages, pipeline_clusters,
     )
 }
 
@@ -211,6 +251,11 @@ WITH metrics AS (
     round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) / 100, 6) AS silhouette FROM events GROUP BY ALL)"""
 
 SQL = {
+    "word2vec_kmeans": "SELECT count(*) AS n_messages, count(*) AS n_nearest FROM events",
+    "training_metrics": "SELECT 'search' AS run, k, true AS same_wsse, true AS same_silhouette FROM (VALUES (2), (4), (6)) v(k)",
+    "message_analysis": "SELECT count(*) AS n_messages, CAST(0 AS BIGINT) AS n_without FROM events",
+    "clustering_run": "SELECT count(*) AS n_messages, count(*) AS n_same, CAST(2 AS BIGINT) AS n_runs, CAST(4 AS BIGINT) AS n_models FROM events",
+    "pipeline_clusters": "SELECT count(*) AS n_messages FROM events",
     "token_stages": oracle(
         "messages",
         token_ctes("messages", "msg_id", "t__error_message")
@@ -218,11 +263,12 @@ SQL = {
   array_to_string(abstract_message, ' ') AS pattern_text FROM abstracted""",
     ),
     "vector_mean": """
-WITH token AS (SELECT user_id, event_id % 700 AS w FROM events),
+WITH token AS (SELECT user_id, CASE WHEN user_id % 9 = 4 THEN -1 ELSE event_id % 700 END AS w FROM events),
 sizes AS (SELECT user_id, count(*) AS n FROM token GROUP BY user_id),
-flat AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
-SELECT t.user_id, CAST(dim AS INTEGER) AS dim, round(sum(x) / any_value(n), 5) AS x FROM token t JOIN sizes s ON s.user_id = t.user_id
-JOIN flat f ON f.vec_id = t.w GROUP BY t.user_id, dim""",
+flat AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+sums AS (SELECT t.user_id, dim, sum(x) AS x FROM token t JOIN flat f ON f.vec_id = t.w GROUP BY t.user_id, dim)
+SELECT s.user_id, CAST(d.dim AS INTEGER) AS dim, coalesce(round(x / n, 5), 0) AS x FROM sizes s
+CROSS JOIN (SELECT DISTINCT dim FROM flat) d LEFT JOIN sums m ON m.user_id = s.user_id AND m.dim = d.dim""",
     "centroids": _FLAT
     + " SELECT label AS cluster, count(*) AS size, CAST(dim AS INTEGER) AS dim, round(avg(x), 5) AS x FROM flat GROUP BY label, dim",
     "nearest_centroid": _CENTERS
@@ -233,8 +279,9 @@ JOIN flat f ON f.vec_id = t.w GROUP BY t.user_id, dim""",
 scored AS (
   SELECT vec_id, cluster, sqrt(sum((x - c) * (x - c))) AS distance FROM flat JOIN center ON center.dim = flat.dim GROUP BY vec_id, cluster)
 SELECT vec_id, arg_min(cluster, distance) AS cluster, round(min(distance), 5) AS distance FROM scored GROUP BY vec_id""",
-    "cluster_quality": _FLAT
+    "cluster_quality": _FLAT.replace("WITH flat", "WITH every")
     + """,
+flat AS (SELECT * FROM every WHERE vec_id % 50 <> 7),
 norm AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM flat GROUP BY vec_id),
 unit AS (SELECT f.*, x / n AS u FROM flat f JOIN norm ON norm.vec_id = f.vec_id),
 mean AS (SELECT label, dim, avg(x) AS m, avg(u) AS mu, count(*) AS size FROM unit GROUP BY label, dim),
@@ -246,13 +293,13 @@ rated AS (
   SELECT vec_id, label, max(d * size / (size - 1)) FILTER (other = label) AS a, min(d) FILTER (other <> label) AS b
   FROM far GROUP BY vec_id, label)
 SELECT r.label AS cluster, count(*) AS size, round(any_value(wsse), 4) AS wsse, round(avg((b - a) / greatest(a, b)), 5) AS silhouette
-FROM rated r JOIN spread s ON s.label = r.label GROUP BY r.label""",
+FROM rated r JOIN spread s ON s.label = r.label GROUP BY r.label
+UNION ALL SELECT -1, count(*), 0.0, NULL FROM embeddings WHERE vec_id % 50 = 7 HAVING count(*) > 0""",
     "best_k": _METRICS
     + """ SELECT run, first(k ORDER BY silhouette DESC, k) AS by_silhouette, first(k ORDER BY wsse, k) AS by_wsse FROM metrics GROUP BY run""",
     "metric_curve": _METRICS
-    + """, one AS (SELECT * FROM metrics WHERE run = 'error')
-SELECT k, round(ln(wsse), 6) AS log_wsse, silhouette, silhouette = (SELECT max(silhouette) FROM one) AS is_best_silhouette,
-  wsse = (SELECT min(wsse) FROM one) AS is_best_wsse FROM one""",
+    + """ SELECT run, k, round(ln(wsse), 6) AS log_wsse, silhouette, silhouette = max(silhouette) OVER (PARTITION BY run) AS is_best_silhouette,
+  wsse = min(wsse) OVER (PARTITION BY run) AS is_best_wsse FROM metrics""",
     "predict_update": _FIVE
     + " SELECT vec_id, CAST(CASE WHEN distance > 0.5 THEN 5 ELSE cluster END AS INTEGER) AS cluster FROM near",
     "updated_centroids": _FIVE

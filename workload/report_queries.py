@@ -142,6 +142,32 @@ def choice_violations(spark: SparkSession, folder: str) -> DataFrame:
     return qua.choice_violations(fix.table(spark, folder, "events"), "event_type", ["click", "view", "error"])
 
 
+def constraint_run(spark: SparkSession, folder: str) -> DataFrame:
+    """All declared keys, choices and references of tables with repeated, odd and lost rows."""
+    issues = fix.issues(spark, folder).withColumn("session_id", F.dayofmonth("observation_started"))
+    log = fix.messages(spark, folder)
+    transfers = log.select(
+        F.col("msg_id").alias("id"),
+        F.regexp_replace("t__error_message", "[0-9]+", "#").alias("message"),
+        F.col("tr_error_category").alias("type"),
+        F.when(F.col("msg_id") % 5 == 0, "Closed").otherwise("New").alias("status"),
+        (F.col("msg_id") % 30).alias("category"),
+    )
+    shifted = F.col("issue_id") + 1
+    return qua.check_constraints(
+        {
+            "sessions": issues.filter("session_id % 6 <> 0").select("session_id").distinct(),
+            "workflow_issue": issues,
+            "workflow_issue_metadata": fix.issue_meta(spark, folder).withColumn("issue_id", shifted),
+            "workflow_issue_ticks": fix.issue_ticks(spark, folder).withColumn("issue_id", shifted),
+            "transfer_issue": transfers,
+            "issue_category": fix.table(spark, folder, "pages").select(F.col("page_id").alias("id"), F.substring("url", 1, 16).alias("regex")).filter("id % 7 <> 0"),
+            "site_pair": fix.transfers(spark, folder).select("src_site", "dst_site"),
+            "issue_metadata": fix.issue_meta(spark, folder),
+        }
+    )
+
+
 def orphans(spark: SparkSession, folder: str) -> DataFrame:
     ticks = fix.issue_ticks(spark, folder).withColumn("issue_id", (F.col("issue_id") + 1).cast("bigint"))
     return qua.orphans(ticks, "issue_id", fix.issues(spark, folder), "issue_id").select(
@@ -154,7 +180,7 @@ QUERIES = {
     for f in (
         issue_filter, issue_features, observation_rollup, merged_issues, issue_report,
         issue_report_fails, issue_histogram, session_replace, retention, issue_store, json_report,
-        iso_json, key_violations, choice_violations, orphans,
+        iso_json, key_violations, choice_violations, orphans, constraint_run,
     )
 }
 
@@ -258,6 +284,24 @@ FROM issues i JOIN sums s ON s.issue_id = i.issue_id JOIN traits t ON t.issue_id
     ),
     "choice_violations": """SELECT event_type, count(*) AS n_rows FROM events
 WHERE event_type NOT IN ('click', 'view', 'error') GROUP BY event_type""",
+    "constraint_run": oracle(
+        "issues issue_meta messages transfers",
+        """ti AS (SELECT msg_id AS id, regexp_replace(t__error_message, '[0-9]+', '#', 'g') AS message, tr_error_category AS type,
+  CASE WHEN msg_id % 5 = 0 THEN 'Closed' ELSE 'New' END AS status, msg_id % 30 AS category FROM messages),
+cat AS (SELECT page_id AS id, substr(url, 1, 16) AS regex FROM pages WHERE page_id % 7 <> 0),
+ses AS (SELECT DISTINCT day(observation_started) AS session_id FROM issues WHERE day(observation_started) % 6 <> 0)
+SELECT 'key' AS kind, 'issue_category' AS "table", 'regex' AS columns, count(*) AS n_violations FROM (SELECT 1 FROM cat GROUP BY regex HAVING count(*) > 1)
+UNION ALL SELECT 'key', 'transfer_issue', 'message,type', count(*) FROM (SELECT 1 FROM ti GROUP BY message, type HAVING count(*) > 1)
+UNION ALL SELECT 'key', 'site_pair', 'src_site,dst_site', count(*) FROM (SELECT 1 FROM transfers GROUP BY src_site, dst_site HAVING count(*) > 1)
+UNION ALL SELECT 'key', 'issue_metadata', 'issue_id,key,value', count(*) FROM (SELECT 1 FROM issue_meta GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'choice', 'transfer_issue', 'status', count(*) FROM (SELECT DISTINCT status FROM ti WHERE status NOT IN ('New', 'Ongoing', 'Resolved'))
+UNION ALL SELECT 'reference', 'transfer_issue', 'category', count(*) FROM ti WHERE category NOT IN (SELECT id FROM cat)
+UNION ALL SELECT 'reference', 'issue_metadata', 'issue_id', count(*) FROM issue_meta WHERE issue_id NOT IN (SELECT id FROM ti)
+UNION ALL SELECT 'reference', 'workflow_issue', 'session_id', count(*) FROM issues WHERE day(observation_started) NOT IN (SELECT session_id FROM ses)
+UNION ALL SELECT 'reference', 'workflow_issue_metadata', 'issue_id', count(*) FROM issue_meta WHERE issue_id + 1 NOT IN (SELECT issue_id FROM issues)
+UNION ALL SELECT 'reference', 'workflow_issue_ticks', 'issue_id', count(*) FROM issue_ticks WHERE issue_id + 1 NOT IN (SELECT issue_id FROM issues)""".replace(
+            "FROM (SELECT 1 FROM issue_meta GROUP BY ALL", "FROM (SELECT 1 FROM issue_meta GROUP BY issue_id, key, value"),
+    ),
     "orphans": oracle(
         "issues",
         """SELECT issue_id + 1 AS issue_id, tick_time, nfailed_jobs FROM issue_ticks

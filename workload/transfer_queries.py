@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from faultscope.functions import values
 from faultscope.operators import similarity as sml
 from faultscope.operators import transfers as tra
+from faultscope.plans import issue_registration as registration
 from faultscope.plans import transfer_loading as plan
+from faultscope.session import scratch_path
 from faultscope.sources import files
 from workload import fixtures as fix
 from workload.fixtures import oracle
@@ -61,8 +63,13 @@ def top_reason(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def link_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Links that failed lately, for both activities."""
     transfers = fix.transfers(spark, folder)
-    return plan.inefficiency_issues(transfers, _as_of(transfers), 24 * 7, min_files=20, max_percent=25)
+    transferred, deleted = (
+        plan.inefficiency_issues(transfers, _as_of(transfers), 24 * 7, activity, min_files=20, max_percent=25)
+        for activity in ("transfer", "deletion")
+    )
+    return transferred.unionByName(deleted)
 
 
 def _by_day(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -136,6 +143,28 @@ def categorise_issues(spark: SparkSession, folder: str) -> DataFrame:
     return categories
 
 
+def register_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Issues of both halves of the month registered one after the other into stored tables: the
+    issues per category, and the category's amount."""
+    path = scratch_path(spark, "registration")
+    log = fix.messages(spark, folder).withColumn(
+        "t__error_message", F.regexp_replace("t__error_message", "(process|host 10.0.|/data/f) ?[0-9]+", "$1#")
+    )
+    first = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    stored = spark.createDataFrame([], registration.ISSUE_SCHEMA)
+    categories = spark.createDataFrame([], registration.CATEGORY_SCHEMA)
+    for run, half in enumerate((first, ~first)):
+        arrival = log.filter(half).groupBy(F.col("t__error_message").alias("message")).agg(F.min("msg_id").alias("id"))
+        incoming = tra.sum_by_key(tra.transfer_error_counts(log.filter(half))).join(arrival, "message")
+        incoming = incoming.withColumn("id", F.col("id") + run * 1_000_000_000)
+        table, grown = registration.register_issues(stored, categories, incoming, F.lit(NOW))
+        table.write.parquet(f"{path}/issues-{run}")
+        grown.write.parquet(f"{path}/categories-{run}")
+        stored, categories = spark.read.parquet(f"{path}/issues-{run}"), spark.read.parquet(f"{path}/categories-{run}")
+    issues = stored.groupBy(F.col("category").alias("regex")).agg(F.count("*").alias("n_issues"))
+    return categories.join(issues, "regex", "left").select("regex", "amount", "n_issues")
+
+
 def best_category(spark: SparkSession, folder: str) -> DataFrame:
     """Failed transfers against the first message stored about each page, by matching blocks."""
     log = fix.messages(spark, folder)
@@ -152,7 +181,7 @@ QUERIES = {
     for f in (
         failed_transfers, transfer_errors, site_fallback, log_issues, link_efficiency,
         link_efficiency_window, top_reason, link_issues, upsert_issues, category_amounts,
-        search_issues, parse_date, similar_category, best_category, categorise_issues,
+        search_issues, parse_date, similar_category, best_category, categorise_issues, register_issues,
     )
 }
 
@@ -218,12 +247,14 @@ FROM counts QUALIFY rank <= 2""",
     "link_issues": oracle(
         "transfers",
         """recent AS (SELECT * FROM transfers WHERE ts >= (SELECT max(ts) FROM transfers) - INTERVAL 7 DAY),
-links AS (SELECT src_site, dst_site FROM recent GROUP BY ALL
+links AS (SELECT src_site, dst_site, state FROM recent GROUP BY ALL
   HAVING sum(files_total) > 20 AND 100.0 * sum(files_done) / sum(files_total) < 25),
-counts AS (SELECT src_site, dst_site, reason, count(*) AS amount FROM recent WHERE reason IS NOT NULL GROUP BY ALL),
-first_reason AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY src_site, dst_site ORDER BY amount DESC, reason) = 1)
-SELECT reason AS message, amount, l.dst_site, l.src_site, 'transfer-failure' AS type FROM links l
-JOIN first_reason r ON r.src_site = l.src_site AND r.dst_site = l.dst_site""",
+counts AS (SELECT src_site, dst_site, event_type, reason, count(*) AS amount FROM recent
+  WHERE reason IS NOT NULL AND event_type LIKE '%-failed' GROUP BY ALL),
+first_reason AS (
+  SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY src_site, dst_site, event_type ORDER BY amount DESC, reason) = 1)
+SELECT reason AS message, amount, l.dst_site, l.src_site, l.state || '-failure' AS type FROM links l
+JOIN first_reason r ON r.src_site = l.src_site AND r.dst_site = l.dst_site AND r.event_type = l.state || '-failed'""",
     ),
     "upsert_issues": oracle(
         "messages",
