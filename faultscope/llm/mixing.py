@@ -91,7 +91,7 @@ def mix(
     weights = weights.select(F.col("source").alias("named"), "weight")
     shared = sizes.join(weights, F.col("source").eqNullSafe(F.col("named")), "left").drop("named")
     targets = water_fill(shared, max_epochs)
-    rate = F.col("target") / F.col("source_size")
+    rate = F.try_divide("target", "source_size")
     targets = targets.withColumn("whole", F.coalesce(F.floor(rate), F.lit(0))).withColumn(
         "rest", F.col("target") - F.col("whole") * F.col("source_size")
     )
