@@ -282,20 +282,29 @@ def split_feature_name(name: Column) -> Column:
     )
 
 
-def mask_words(text: Column, listed: Column) -> Column:
-    """The text with the listed words replaced by a fixed mark, white space as it was."""
+def text_parts(text: Column) -> Column:
+    """The words of a text and the white space between them, in turn."""
+    return F.regexp_extract_all(text, F.lit(f"([{OTHER_BLANKS} ]+|[^{OTHER_BLANKS} ]+)"), F.lit(1))
 
-    def word(value: Column) -> Column:
-        return F.when(F.array_contains(listed, value), F.lit(RARE_WORD_MASK)).otherwise(value)
 
-    def piece(value: Column) -> Column:
-        # Split at blanks first; a piece with any other white space is taken apart by itself.
-        parts = F.regexp_extract_all(value, F.lit(f"([{OTHER_BLANKS}]+|[^{OTHER_BLANKS}]+)"), F.lit(1))
-        mixed = F.array_join(F.transform(parts, word), "")
-        return F.when(value.rlike(f"[{OTHER_BLANKS}]"), mixed).otherwise(word(value))
+def mask_places(parts: Column, places: Column) -> Column:
+    """The text of these parts with the words at the sorted ``places`` replaced by a fixed mark, as
+    far as they are in lower case.
 
-    masked = F.array_join(F.transform(F.split(text, " "), piece), " ")
-    return F.when(F.size(listed) > 0, masked).otherwise(text)
+    What lies between two places is cut out as one slice, so the whole is one walk over the parts.
+    """
+    offset = F.when(F.get(parts, F.lit(0)).rlike(f"^[{OTHER_BLANKS} ]"), 1).otherwise(0)
+    at = F.transform(places, lambda p: p * 2 + offset)
+    ends = F.concat(at, F.array(F.size(parts)))
+
+    def stretch(end: Column, i: Column) -> Column:
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+        word = F.get(parts, begin)
+        head = F.when(i == 0, F.lit("")).when(word == F.lower(word), F.lit(RARE_WORD_MASK)).otherwise(word)
+        first = F.when(i == 0, F.lit(0)).otherwise(begin + 1)
+        return F.concat(head, F.array_join(F.slice(parts, first + 1, end - first), ""))
+
+    return F.array_join(F.transform(ends, stretch), "")
 
 
 def mask_numbers(text: Column) -> Column:

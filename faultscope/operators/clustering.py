@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultscope.session import stored
+
 # The name the evaluator has for each distance of the clustering.
 EVALUATOR_DISTANCE = {"cosine": "cosine", "euclidean": "squaredEuclidean"}
 
@@ -323,7 +325,8 @@ def predict_update(
 ) -> tuple[DataFrame, DataFrame]:
     """Online prediction: vectors beyond the threshold open new clusters, the others move the
     centroid of theirs. Returns the assigned vectors and the new centroids."""
-    assigned = nearest_centroid(vectors, centers, vector_col, distance)
+    # Scored once; both results and the search for far vectors read it.
+    assigned = stored(nearest_centroid(vectors, centers, vector_col, distance), "assigned")
     known = updated_centroids(assigned, centers, vector_col, threshold)
     far = (F.col("cluster") != NO_CLUSTER) & (F.col("distance") > threshold)
     beyond = assigned.filter(far).drop("cluster", "distance")

@@ -237,13 +237,19 @@ def set_metrics(cells: DataFrame, sets: DataFrame, features: list[str] = FEATURE
 # -- issues against jobs --------------------------------------------------------------------
 
 
-def issue_jobs(jobs: DataFrame, issues: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+def issue_jobs(
+    jobs: DataFrame, issues: DataFrame, features: list[str] = FEATURES, with_window: bool = False
+) -> DataFrame:
     """Jobs of each issue: inside its window (inclusive) and with all its feature values.
 
     Each issue looks for its jobs under one of its values only, the others are checked on the
     joined row. So the join is an equi-join that yields every (issue, job) pair once, and needs
-    no shuffle of the jobs while the issues are few enough for Spark to broadcast.
+    no shuffle of the jobs while the issues are few enough for Spark to broadcast. Jobs outside
+    all windows are left out before they are copied per feature. ``with_window`` keeps the
+    issue's ``window_start`` and ``window_end``.
     """
+    edges = issues.agg(F.struct(F.min("window_start").alias("low"), F.max("window_end").alias("high")).alias("edges"))
+    jobs = jobs.filter(F.col("ENDTIME").between(edges.select("edges.low").scalar(), edges.select("edges.high").scalar()))
     entries = F.array_sort(F.map_entries("features"))
     keys = issues.select(
         "issue_id",
@@ -261,6 +267,7 @@ def issue_jobs(jobs: DataFrame, issues: DataFrame, features: list[str] = FEATURE
             F.col("ENDTIME").between(F.col("_from"), F.col("_to"))
             & F.forall("_entries", lambda e: _has_value(features, e["key"], e["value"]))
         )
+        .withColumnsRenamed({"_from": "window_start", "_to": "window_end"} if with_window else {})
         .drop("_feature", "_value", "_from", "_to", "_entries")
     )
 
@@ -329,9 +336,7 @@ def failure_ticks(
 ) -> DataFrame:
     """Loss and count of failed jobs strictly inside the window of each issue, per time bin;
     empty bins between the first and the last one are present with 0."""
-    inside = issue_jobs(jobs.filter(F.col("ISFAILED") == 1), issues, features).join(
-        issues.select("issue_id", "window_start", "window_end"), "issue_id"
-    )
+    inside = issue_jobs(jobs.filter(F.col("ISFAILED") == 1), issues, features, with_window=True)
     strict = (F.col("ENDTIME") > F.col("window_start")) & (F.col("ENDTIME") < F.col("window_end"))
     return dense_ticks(inside.filter(strict), ["issue_id"], minutes)
 

@@ -105,26 +105,38 @@ def mask_rare_words(frame: DataFrame, text_cols: list[str], id_col: str) -> Data
     A word is rare if its case-folded form occurs less than three times in its column; only
     lower-case words of more than three characters are replaced. ``id_col`` is an integer id.
 
-    A rare word stands in two rows at most, and these are the smallest and the largest row id
-    of the aggregate that counts the word. Frequent words collapse before the shuffle and never
-    meet a join: the only join is on the unique row id.
+    A rare word stands at two places at most, and these are the smallest and the largest (row id,
+    place) of the aggregate that counts the word. Frequent words collapse before the shuffle and never
+    meet a join: the only join is on the unique row id, and brings each row its sorted places.
     """
-    rare = (
+    places = (
         _field_texts(frame, text_cols, F.col(id_col).alias("_id"))
         .filter(F.col("text") != NOT_SPECIFIED)
-        .select("_id", "field", F.explode(text.words(F.lower("text"))).alias("word"))
+        .select("_id", "field", F.posexplode(text.words(F.lower("text"))).alias("_place", "word"))
         .groupBy("field", "word")
-        .agg(F.count("*").alias("n"), F.min("_id").alias("first"), F.max("_id").alias("last"))
+        .agg(
+            F.count("*").alias("n"),
+            F.min(F.struct("_id", "_place")).alias("first"),
+            F.max(F.struct("_id", "_place")).alias("last"),
+        )
         .filter((F.col("n") < RARE_WORD_COUNT) & (F.length("word") >= RARE_WORD_LENGTH))
-        .select("field", "word", F.explode(F.array_distinct(F.array("first", "last"))).alias("_id"))
-        .groupBy("_id")
+        .select("field", F.explode(F.array_distinct(F.array("first", "last"))).alias("_at"))
+        .groupBy("_at._id")
         .agg(
             *[
-                F.collect_set(F.when(F.col("field") == c, F.col("word"))).alias(f"_rare_{i}")
+                F.sort_array(F.collect_list(F.when(F.col("field") == c, F.col("_at._place")))).alias(f"_places_{i}")
                 for i, c in enumerate(text_cols)
             ]
         )
     )
-    joined = frame.join(rare, frame[id_col] == rare["_id"], "left")
-    masked = {c: text.mask_words(F.col(c), F.col(f"_rare_{i}")) for i, c in enumerate(text_cols)}
-    return joined.select(*[masked[c].alias(c) if c in masked else frame[c] for c in frame.columns])
+    joined = frame.join(places, frame[id_col] == places["_id"], "left")
+    parts = {
+        f"_parts_{i}": F.when(F.size(f"_places_{i}") > 0, text.text_parts(F.col(c).cast("string")))
+        for i, c in enumerate(text_cols)
+    }
+    masked = {
+        c: F.when(F.size(f"_places_{i}") > 0, text.mask_places(F.col(f"_parts_{i}"), F.col(f"_places_{i}"))).otherwise(F.col(c))
+        for i, c in enumerate(text_cols)
+    }
+    split = joined.select(*[frame[c] for c in frame.columns], *[f"_places_{i}" for i in range(len(text_cols))], *[p.alias(n) for n, p in parts.items()])
+    return split.select(*[masked[c].alias(c) if c in masked else F.col(c) for c in frame.columns])

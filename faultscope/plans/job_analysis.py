@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultscope.operators import issues as iss
 from faultscope.operators import jobs as job
-from faultscope.session import cut_lineage
+from faultscope.session import cut_lineage, stored
 from faultscope.sources import stores
 
 
@@ -91,7 +91,7 @@ def analyse_jobs(
 ) -> JobAnalysis:
     """The whole way for a job window (see ``job_scan``): prepared jobs, issues, their payload
     class and their failure ticks. The prepared jobs are written once for the passes over them."""
-    prepared = cut_lineage(
+    prepared = stored(
         job.prepare_jobs(
             jobs,
             settings.features,
@@ -100,7 +100,8 @@ def analyse_jobs(
             [site_col],
             settings.id_col,
             settings.width,
-        )
+        ),
+        "prepared-jobs",
     )
     found = cut_lineage(find_issues(prepared, settings))
     reduced = cut_lineage(reduce_issues(prepared, found, settings))
