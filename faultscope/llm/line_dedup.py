@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultscope.session import scratch_path
+from faultscope.session import stored
 
 # Lines of fewer code points are compared for equality only: one edit changes what they say.
 MIN_NEAR_CHARS = 20
 # Lines whose lengths differ by one share a length class, as a line at the end of a class is in both.
 CLASS = 16
-# Deletions are made within segments of about this many code points.
+# Deletions are made within segments of so many code points at least; more in very long lines.
 SEGMENT = 64
 
 
@@ -23,66 +23,67 @@ def _line_rows(documents: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.struct("doc_id", "digest", "number").alias("at"), "line")
 
 
-def _classes(size: Column) -> Column:
+def _bases(size: Column) -> list[Column]:
     """Lengths that stand for the length classes of a line: its own and, at its beginning, the one before."""
     own = size - size % CLASS
-    return F.when(size % CLASS == 0, F.array(own, own - CLASS)).otherwise(F.array(own))
+    return [own, F.when(size % CLASS == 0, own - CLASS)]
 
 
-def _segment(line: Column, size: Column, base: Column, count: Column, g: Column) -> Column:
-    """Segment ``g`` of ``count``, and a key of all that stands before and after it.
+def _around(line: Column, size: Column, base: Column, begin: Column, after: Column) -> Column:
+    """Key of what stands before place ``begin`` and in the last ``after`` places of a line of a length class."""
+    return F.xxhash64(base, begin, F.left(line, begin), F.substr(line, size - after + 1, after))
 
-    Segments before an edit begin at fixed places from the line's beginning, those after it at fixed
-    places from its end. So lines that one edit apart differ in one segment, whatever its kind.
-    """
-    begin = F.floor(g * base / count).cast("int")
-    after = (base - F.floor((g + 1) * base / count)).cast("int")
-    head = F.substr(line, F.lit(1), begin)
-    tail = F.substr(line, size - after + 1, after)
-    return F.struct(
-        F.xxhash64(base, g, head, tail).alias("key"), F.substr(line, begin + 1, size - after - begin).alias("segment")
-    )
 
+def _segments(line: Column, size: Column) -> Column:
+    """The segments of a line for all its length classes: key of their surroundings, place and length.
 
-def _segments(line: Column, size: Column, counts: Column | None = None) -> Column:
-    """Segments of a line for all its length classes; ``counts`` is the number of segments for a class's length."""
+    Segments before an edit begin at fixed places from the line's beginning, those after it at fixed
+    places from its end. So lines that are one edit apart differ in one segment, whatever the edit.
+    """
 
     def of_class(base: Column) -> Column:
-        count = F.lit(2) if counts is None else F.greatest(F.lit(2), F.floor(base / SEGMENT).cast("int"))
-        return F.transform(F.sequence(F.lit(0), count - 1), lambda g: _segment(line, size, base, count, g))
-
-    return F.flatten(F.transform(_classes(size), of_class))
+        # Surroundings cost the count times the line, deletions its length times that of a segment.
+        count = F.greatest(F.lit(1), F.least(F.floor(base / SEGMENT), F.floor(F.sqrt(base))).cast("int"))
+
+        def segment(g: Column) -> Column:
+            begin = F.floor(g * base / count).cast("int")
+            after = base - F.floor((g + 1) * base / count).cast("int")
+            return F.struct(
+                _around(line, size, base, begin, after).alias("key"),
+                begin.alias("begin"),
+                (size - after - begin).alias("length"),
+                (size - base).alias("over"),
+            )
 
+        return F.transform(F.sequence(F.lit(0), count - 1), segment)
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    classes = F.filter(F.array(*_bases(size)), lambda b: b.isNotNull())
+    return F.flatten(F.transform(classes, of_class))
 
 
 def _distinct_lines(rows: DataFrame) -> DataFrame:
-    """``line_id, first, size`` of each different line, and the keys of its halves."""
-    size = F.length("line")
-    halves = F.when(size >= MIN_NEAR_CHARS, F.transform(_segments(F.col("line"), size), lambda s: s["key"]))
-    keyed = rows.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("line_id"), "at", size.alias("size"), halves.alias("halves"))
-    keyed = keyed.select("line_id", "at", "size", *[F.get("halves", F.lit(i)).alias(f"half{i}") for i in range(4)])
-    return keyed.groupBy("line_id").agg(
-        F.min("at").alias("first"), F.min("size").alias("size"), *[F.min(f"half{i}").alias(f"half{i}") for i in range(4)]
+    """``line_id, first`` of each different line, and the keys of its two halves for both length classes."""
+    line, size = F.col("line"), F.length("line")
+    halves = []
+    for base in _bases(size):
+        half = F.floor(base / 2).cast("int")
+        for begin, after in ((F.lit(0), base - half), (half, F.lit(0))):
+            near = (size >= MIN_NEAR_CHARS) & base.isNotNull()
+            halves.append(F.when(near, _around(line, size, base, begin, after)))
+    keyed = rows.select(
+        F.unhex(F.md5(line.cast("binary"))).alias("line_id"), "at", *[h.alias(f"half{i}") for i, h in enumerate(halves)]
     )
-
-
-def _sharing(rows: DataFrame) -> DataFrame:
-    """The rows (key, line_id, …) whose key another line has as well."""
-    shared = rows.groupBy("key").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high"))
-    return rows.join(shared.filter("low != high").select("key"), "key")
+    return keyed.groupBy("line_id").agg(F.min("at").alias("first"), *[F.min(f"half{i}").alias(f"half{i}") for i in range(4)])
 
 
 def _likely_lines(documents: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
     """(line_id, first, line) of the lines that share a half with another line; no other can be one edit away."""
     halves = F.filter(F.array(*[f"half{i}" for i in range(4)]), lambda h: h.isNotNull())
     rows = distinct.select("line_id", F.explode(halves).alias("key"))
-    ids = _sharing(rows).select("line_id").distinct()
+    # The hash tells the lines of one key apart; ids stay whole everywhere else.
+    mark = F.xxhash64("line_id")
+    shared = rows.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low != high")
+    ids = rows.join(shared.select("key"), "key").select("line_id").distinct()
     wanted = distinct.select("line_id", "first").join(ids, "line_id")
     wanted = wanted.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.digest").alias("_digest")).agg(
         F.collect_list(F.struct("line_id", F.col("first.number").alias("number"))).alias("wanted")
@@ -109,47 +110,96 @@ def _likely_lines(documents: DataFrame, distinct: DataFrame, key: str, text: str
     return found.select("x.line_id", F.struct("doc_id", "digest", "x.number").alias("first"), "x.line")
 
 
-def _variants(key: Column, segment: Column) -> Column:
-    """Hashed deletion neighbourhood of a segment: (hash, kind).
+def _variants(line: Column, segment: Column) -> Column:
+    """Hashed deletion neighbourhood of a segment: (hash, kind), as far as it can meet another line's.
 
     Kind 0: a place and what is left without its letter; lines that share it differ by a substitution
     at that place. Kind 1: what is left without some letter; kind 2: the whole segment. A line of
     kind 1 and a line of kind 2 that share a hash differ by one inserted letter.
     """
-    places = F.sequence(F.lit(1), F.length(segment))
-    head = lambda i: F.substr(segment, F.lit(1), i - 1)
-    tail = lambda i: F.substr(segment, i + 1)
-    swapped = F.transform(places, lambda i: F.struct(F.xxhash64(key, i, head(i), tail(i)).alias("hash"), F.lit(0).alias("kind")))
-    deleted = F.transform(
-        places, lambda i: F.struct(F.xxhash64(key, F.lit(0), F.concat(head(i), tail(i))).alias("hash"), F.lit(1).alias("kind"))
-    )
-    whole = F.array(F.struct(F.xxhash64(key, F.lit(0), segment).alias("hash"), F.lit(2).alias("kind")))
-    return F.when(F.length(segment) > 0, F.concat(swapped, deleted, whole)).otherwise(whole)
+    key, length = segment["key"], segment["length"]
+    places = F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.array().cast("array<int>"))
+    head = lambda text, i: F.substr(text, F.lit(1), i - 1)
+    tail = lambda text, i: F.substr(text, i + 1)
+    made = lambda h, kind: F.struct(h.alias("hash"), F.lit(kind).alias("kind"))
+    none = F.array().cast("array<struct<hash:bigint,kind:int>>")
+
+    def of_text(text: Column) -> Column:
+        swapped = F.transform(places, lambda i: made(F.xxhash64(key, i, head(text, i), tail(text, i)), 0))
+        deleted = F.transform(places, lambda i: made(F.xxhash64(key, F.lit(0), F.concat(head(text, i), tail(text, i))), 1))
+        return F.concat(
+            F.when(segment["equal"], swapped).otherwise(none),
+            F.when(segment["shorter"], deleted).otherwise(none),
+            F.when(segment["longer"], F.array(made(F.xxhash64(key, F.lit(0), text), 2))).otherwise(none),
+        )
+
+    # The segment is cut out of the line once, as the only element of an array.
+    return F.flatten(F.transform(F.array(F.substr(line, segment["begin"] + 1, length)), of_text))
 
 
 def _near_earlier(lines: DataFrame) -> DataFrame:
     """``line_id`` of each line that is one edit away from a line that comes first earlier.
 
-    Lines that share a variant of kind 0 are all one edit apart, and one of kind 2 is one edit from
+    A segment is looked at only if another line has the same surroundings and the same length, or one more or
+    less. Lines that share a variant of kind 0 are all one edit apart, and one of kind 2 is one edit from
     each of kind 1. So the earliest line of a hash and kind is the one candidate needed for all
     lines that share the hash: groups are added up, never paired. Candidates are verified by edit distance.
     """
-    size = F.length("line")
-    rows = lines.select("line_id", "first", F.explode(_segments(F.col("line"), size, size)).alias("s"))
-    rows = _sharing(rows.select("line_id", "first", "s.key", "s.segment"))
-    rows = rows.select("line_id", "first", F.explode(_variants(F.col("key"), F.col("segment"))).alias("v"))
-    rows = rows.select("line_id", "first", "v.hash", "v.kind").distinct()
+    segments = lines.select("line_id", F.explode(_segments(F.col("line"), F.length("line"))).alias("s"))
+    segments = segments.select("line_id", "s.*")
+    mark = F.xxhash64("line_id")
+    sizes = segments.groupBy("key", "over").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    bit = F.expr("shiftleft(1, over)")
+    # One bit per length within the class: that there is a line of it, and that there are two.
+    sizes = sizes.groupBy("key").agg(
+        F.bit_or(bit).alias("some"), F.bit_or(F.when(F.col("low") != F.col("high"), bit).otherwise(0)).alias("two")
+    )
+    sizes = sizes.filter("two != 0 or (some & shiftleft(some, 1)) != 0")
+    has = lambda mask, over: F.bit_get(mask, over) == 1
+    over = F.col("over")
+    met = segments.join(sizes, "key").select(
+        "line_id",
+        F.struct(
+            "key",
+            "begin",
+            "length",
+            has(F.col("two"), over).alias("equal"),
+            ((over > 0) & has(F.col("some"), F.greatest(over - 1, F.lit(0)))).alias("shorter"),
+            has(F.col("some"), over + 1).alias("longer"),
+        ).alias("s"),
+    )
+    met = met.filter("s.equal or s.shorter or s.longer").groupBy(F.col("line_id").alias("_met")).agg(F.collect_list("s").alias("s"))
+    # A document that stands there twice gives each of its lines twice: equal rows.
+    rows = lines.join(met, F.col("line_id") == F.col("_met")).select("line_id", "first", "line", F.explode("s").alias("s"))
+    after = F.length("line") - F.col("s.begin") - F.col("s.length")
+    rows = rows.select(
+        "line_id", "first", "s.begin", after.alias("after"), F.explode(_variants(F.col("line"), F.col("s"))).alias("v")
+    ).select("line_id", "first", "begin", "after", "v.*")
     place = F.struct("first", "line_id")
     earliest = rows.groupBy("hash").agg(
-        *[F.min(F.when(F.col("kind") == k, place)).alias(f"kind{k}") for k in range(3)], F.count(F.lit(1)).alias("n")
+        *[F.min(F.when(F.col("kind") == k, place)).alias(f"kind{k}") for k in range(3)],
+        F.min(mark).alias("low"),
+        F.max(mark).alias("high"),
     )
-    met = rows.join(earliest.filter("n > 1"), "hash")
+    meeting = rows.join(earliest.filter("low != high").drop("low", "high"), "hash")
     other = F.when(F.col("kind") == 0, F.col("kind0")).when(F.col("kind") == 1, F.col("kind2")).otherwise(F.col("kind1"))
-    met = met.select("line_id", "first", other.alias("other"))
-    pairs = met.filter(F.col("other")["first"] < F.col("first")).select("line_id", F.col("other")["line_id"].alias("other_id")).distinct()
+    meeting = meeting.select("line_id", "first", "begin", "after", other.alias("other"))
+    earlier = F.col("other")["first"] < F.col("first")
+    other_id = F.col("other")["line_id"].alias("other_id")
+    pairs = meeting.filter(earlier).select("line_id", other_id, "begin", "after").distinct()
     texts = lines.groupBy("line_id").agg(F.min("line").alias("line"))
     both = pairs.join(texts, "line_id").join(texts.toDF("other_id", "other"), "other_id")
-    return both.filter(F.levenshtein("line", "other", 1) >= 0).select("line_id").distinct()
+    return both.filter(_one_edit_inside("line", "other")).select("line_id").distinct()
+
+
+def _one_edit_inside(line: str, other: str) -> Column:
+    """Whether two lines are equal up to ``begin`` and in their last ``after`` places, and at most one edit
+    apart between. The edit distance is that of a segment, so a long line costs its length only."""
+    a, b = F.col(line), F.col(other)
+    tail = lambda x: F.substr(x, F.length(x) - F.col("after") + 1, F.col("after"))
+    inner = lambda x: F.substr(x, F.col("begin") + 1, F.length(x) - F.col("begin") - F.col("after"))
+    same = (F.left(a, F.col("begin")) == F.left(b, F.col("begin"))) & (tail(a) == tail(b))
+    return same & (F.levenshtein(inner(a), inner(b), 1) >= 0)
 
 
 def removed_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,8 +218,8 @@ def removed_lines(documents: DataFrame, key: str = "doc_id", text: str = "text")
     that repeat key and text are one document and get equal results.
     """
     rows = _line_rows(documents, key, text)
-    distinct = _distinct_lines(rows)
-    likely = _stored(_likely_lines(documents, distinct, key, text), "likely-lines")
+    distinct = stored(_distinct_lines(rows), "distinct-lines")
+    likely = stored(_likely_lines(documents, distinct, key, text), "likely-lines")
     near = _near_earlier(likely)
     kept = distinct.select("line_id", "first").join(near, "line_id", "left_anti")
     kept = kept.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.digest").alias("_digest")).agg(
