@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from faultscope.llm.arrow_columns import with_text_columns
 from faultscope.llm.words import ascii_words, mixed, odd_constants, shingle_set
 from faultscope.operators.components import connected_groups
-from faultscope.session import scratch_path
+from faultscope.session import stored
 
 TREES = 16
 # Hashes that two sets must share at least to be candidates, of 16 bits each: one long.
@@ -213,14 +213,6 @@ def remaining_links(members: DataFrame, groups: DataFrame, sets: DataFrame, simi
     return ordered.mapInArrow(_tiles(similarity), "a binary, b binary")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as Parquet to the shared folder and read back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _groups(links: DataFrame) -> DataFrame:
     """(node, group) of all nodes that a link (a, b) touches."""
     low = F.least("a", "b")
@@ -248,16 +240,16 @@ def near_duplicates(
     shingle. Documents without words or text have ``n_shingles`` 0 and are alone, as are null ids,
     whose component_id is null. Rows that repeat an id are rows of their own.
     """
-    signed = _stored(with_signatures(documents, key, text, shingle_words), "signatures")
+    signed = stored(with_signatures(documents, key, text, shingle_words), "signatures")
     known = signed.filter("doc_id is not null and n_shingles > 0")
     nodes = known.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("first"), F.first("labels").alias("labels"))
     ordered = forest(nodes.select("node", "labels"))
     schema = "tree int, label long, node binary, before binary"
-    members = _stored(ordered.select("tree", "label", "node").mapInArrow(_neighbours, schema), "regions")
+    members = stored(ordered.select("tree", "label", "node").mapInArrow(_neighbours, schema), "regions")
 
     firsts = known.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("first"))
     wanted = members.groupBy("node").agg(F.count("before").alias("n")).join(firsts, "node").select("node", "first")
-    sets = _stored(_full_sets(documents, wanted, key, text, shingle_words), "sets")
+    sets = stored(_full_sets(documents, wanted, key, text, shingle_words), "sets")
 
     near = members.filter("before is not null").select(F.greatest("node", "before").alias("a"), F.least("node", "before").alias("b"))
     near = near.groupBy("a", "b").agg((F.count(F.lit(1)) < OFTEN).alias("seldom"))
