@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -86,9 +87,13 @@ class SeedTable:
             sieve[hashes >> np.uint64(64 - SIEVE_BITS)] = True
             self.tables.append((hashes[order], item[order], place[order], sieve))
 
-    def diagonals(self, values: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place of the text less place of the item) of all equal hashes."""
-        found: set[tuple[int, int]] = set()
+    def diagonals(self, values: np.ndarray, starts: np.ndarray) -> dict[int, set[tuple[int, int]]]:
+        """For each text with equal hashes: (item, place of the text less place of the item).
+
+        ``values`` are the words of several texts in a row, ``starts`` where each begins and the last
+        ends. Places whose mask reaches into the next text are left out.
+        """
+        found: dict[int, set[tuple[int, int]]] = {}
         for mask, (hashes, items, places, sieve) in zip(self.masks, self.tables):
             seeds = masked_hashes(values, mask)
             likely = np.flatnonzero(sieve[seeds >> np.uint64(64 - SIEVE_BITS)])
@@ -96,14 +101,18 @@ class SeedTable:
                 continue
             left = np.searchsorted(hashes, seeds[likely], "left")
             right = np.searchsorted(hashes, seeds[likely], "right")
-            for at, lo, hi in zip(likely[right > left], left[right > left], right[right > left]):
-                found.update((int(items[k]), int(at) - int(places[k])) for k in range(lo, hi))
+            text = np.searchsorted(starts, likely, "right") - 1
+            met = (right > left) & (likely + len(mask) <= starts[text + 1])
+            for t, at, lo, hi in zip(*(x[met].tolist() for x in (text, likely - starts[text], left, right))):
+                found.setdefault(t, set()).update((int(items[k]), at - int(places[k])) for k in range(lo, hi))
         return found
 
-    def overlaps(self, values: np.ndarray, min_words: int, short_words: int, similarity: float) -> list[dict]:
+    def overlaps(
+        self, values: np.ndarray, diagonals: set[tuple[int, int]], min_words: int, short_words: int, similarity: float
+    ) -> list[dict]:
         """The best overlap of the text with each item, where it is long enough."""
         best: dict[int, tuple[int, int, int]] = {}
-        for item, shift in self.diagonals(values):
+        for item, shift in diagonals:
             own = self.words[item]
             if len(own) < short_words:
                 continue
@@ -124,7 +133,14 @@ def _searcher(table: SeedTable, min_words: int, short_words: int, similarity: fl
     """Function from texts to their overlaps."""
 
     def search(texts: list[str | None]) -> list[list]:
-        return [[table.overlaps(hashed(text_words(t)), min_words, short_words, similarity) for t in texts]]
+        words = [text_words(t) for t in texts]
+        starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        values = hashed(list(chain.from_iterable(words)))
+        found: list[list[dict]] = [[] for _ in texts]
+        for text, diagonals in table.diagonals(values, starts).items():
+            own = values[starts[text] : starts[text + 1]]
+            found[text] = table.overlaps(own, diagonals, min_words, short_words, similarity)
+        return [found]
 
     return search
 
