@@ -50,6 +50,8 @@ FOR = re.compile(
     r"(?:^|[\s_-])(?:article\w*|main|content|post|entry|story|text|body|prose|blog|page-?content|post-?content|articlebody)(?=$|[\s_-])",
     re.I,
 )
+OWN_HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:article|post|entry|story|content|title)?[_-]?header(?=$|[\s_-])", re.I)
+INLINE_AGAINST = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|share|sharing|hidden|sr-only)(?=$|[\s_-])", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -92,12 +94,16 @@ def _opened(name: str, rest: str, parent: Element, number: int) -> Element:
         if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
             e.dropped = True
         named = " ".join(found.get(k, "") for k in ("class", "id", "role", "itemprop")).strip()
-        if named and name not in ("html", "body", *INLINE):
+        if named and name in INLINE:
+            e.dropped = e.dropped or bool(INLINE_AGAINST.search(named))
+        elif named and name not in ("html", "body"):
             if name in ("article", "main"):
                 # The reader's own articles are comments.
                 e.against = e.against or bool(re.search(r"comment|reply|teaser|related|promo|sponsor|advert", named, re.I))
             elif AGAINST.search(named):
-                e.against = True
+                # The header of an article or a post holds its title.
+                own = (e.main or e.named_main) and not AGAINST.search(OWN_HEADER.sub(" ", named))
+                e.against = e.against or not own
             elif FOR.search(named):
                 e.named_main = True
     return e
@@ -210,7 +216,7 @@ def evidence(block: Block) -> float:
     else:
         score -= 0.3
     score += min(2.0, size / 100.0) - 0.6
-    score -= (4.0 if not e.main or linked > 0.9 and e.name == "li" else 1.0) * linked
+    score -= (1.0 if e.main else 4.0) * linked
     return score
 
 
@@ -254,7 +260,9 @@ def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list
     augmenting paths; a part of the graph in which all gains have one sign needs none.
     """
     n = len(gains)
-    if all(g >= 0 for g in gains) or all(g <= 0 for g in gains) or not edges:
+    if all(g <= 0 for g in gains) or all(g >= 0 for g in gains):
+        return [any(g > 0 for g in gains)] * n
+    if not edges:
         return [g > 0 for g in gains]
     capacity: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, weight in edges:
