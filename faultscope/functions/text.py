@@ -287,22 +287,26 @@ def text_parts(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"([{OTHER_BLANKS} ]+|[^{OTHER_BLANKS} ]+)"), F.lit(1))
 
 
-def mask_places(parts: Column, places: Column) -> Column:
-    """The text of these parts with the words at the sorted ``places`` replaced by a fixed mark, as
-    far as they are in lower case.
+def place_ends(parts: Column, places: Column) -> Column:
+    """Where in the parts the words at the sorted ``places`` stand, and the number of parts."""
+    offset = F.when(F.get(parts, F.lit(0)).rlike(f"^[{OTHER_BLANKS} ]"), 1).otherwise(0)
+    return F.concat(F.transform(places, lambda p: p * 2 + offset), F.array(F.size(parts)))
+
+
+def mask_places(parts: Column, ends: Column) -> Column:
+    """The text of these parts with the words at the places of ``ends`` (see ``place_ends``) replaced by
+    a fixed mark, as far as they are in lower case.
 
     What lies between two places is cut out as one slice, so the whole is one walk over the parts.
+    Both arguments must be columns, not expressions: they are looked into at every step.
     """
-    offset = F.when(F.get(parts, F.lit(0)).rlike(f"^[{OTHER_BLANKS} ]"), 1).otherwise(0)
-    at = F.transform(places, lambda p: p * 2 + offset)
-    ends = F.concat(at, F.array(F.size(parts)))
 
     def stretch(end: Column, i: Column) -> Column:
-        begin = F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+        begin = F.get(ends, i - 1)
         word = F.get(parts, begin)
-        head = F.when(i == 0, F.lit("")).when(word == F.lower(word), F.lit(RARE_WORD_MASK)).otherwise(word)
-        first = F.when(i == 0, F.lit(0)).otherwise(begin + 1)
-        return F.concat(head, F.array_join(F.slice(parts, first + 1, end - first), ""))
+        head = F.when(word == F.lower(word), F.lit(RARE_WORD_MASK)).otherwise(word)
+        rest = F.concat(head, F.array_join(F.slice(parts, begin + 2, end - begin - 1), ""))
+        return F.when(i == 0, F.array_join(F.slice(parts, F.lit(1), end), "")).otherwise(rest)
 
     return F.array_join(F.transform(ends, stretch), "")
 

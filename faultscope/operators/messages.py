@@ -135,8 +135,11 @@ def mask_rare_words(frame: DataFrame, text_cols: list[str], id_col: str) -> Data
         for i, c in enumerate(text_cols)
     }
     masked = {
-        c: F.when(F.size(f"_places_{i}") > 0, text.mask_places(F.col(f"_parts_{i}"), F.col(f"_places_{i}"))).otherwise(F.col(c))
+        c: F.when(F.size(f"_places_{i}") > 0, text.mask_places(F.col(f"_parts_{i}"), F.col(f"_ends_{i}"))).otherwise(F.col(c))
         for i, c in enumerate(text_cols)
     }
-    split = joined.select(*[frame[c] for c in frame.columns], *[f"_places_{i}" for i in range(len(text_cols))], *[p.alias(n) for n, p in parts.items()])
+    found = [f"_places_{i}" for i in range(len(text_cols))]
+    split = joined.select(*[frame[c] for c in frame.columns], *found, *[p.alias(n) for n, p in parts.items()])
+    ends = [text.place_ends(F.col(f"_parts_{i}"), F.col(n)).alias(f"_ends_{i}") for i, n in enumerate(found)]
+    split = split.select("*", *ends)
     return split.select(*[masked[c].alias(c) if c in masked else F.col(c) for c in frame.columns])
