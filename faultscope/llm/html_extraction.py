@@ -35,7 +35,7 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
         "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 KEEPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
 # Elements whose text is never main text.
-NEVER = frozenset("head title button form fieldset dialog menu nav input legend datalist optgroup option".split())
+NEVER = frozenset("head title button fieldset dialog menu nav input legend datalist optgroup option".split())
 PAGE_PARTS = frozenset("footer header aside".split())
 # Words of class, id and role that speak against an element, and those that speak for it.
 AGAINST = re.compile(
@@ -52,7 +52,12 @@ FOR = re.compile(
 )
 OWN_HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:article|post|entry|story|content|title)?[_-]?header(?=$|[\s_-])", re.I)
 INLINE_AGAINST = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|share|sharing|hidden|sr-only)(?=$|[\s_-])", re.I)
+# Names of boxes that hold articles of their own.
+BOX = re.compile(r"comment|repl(?:y|ies)|teaser|related|recommend|promo|sponsor|advert", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Log odds against the text of an element that AGAINST or its kind speaks against, and the weight of article text beside it.
+COST = 7.0
+MAIN_WEIGHT = 3
 
 
 @dataclass(slots=True)
@@ -67,6 +72,11 @@ class Element:
     against: bool = False
     main: int = 0
     named_main: bool = False
+    # The innermost doubtful element and the innermost article, itself or above; what a doubtful one costs.
+    doubtful: "Element | None" = None
+    article: "Element | None" = None
+    box: bool = False
+    cost: float = 0.0
 
 
 @dataclass(slots=True)
@@ -81,7 +91,9 @@ class Block:
 
 def _opened(name: str, rest: str, parent: Element, number: int) -> Element:
     """An element below ``parent``, judged by its name and attributes."""
-    e = Element(name, parent, number, parent.depth + 1, parent.dropped, parent.against, parent.main, parent.named_main)
+    e = Element(
+        name, parent, number, parent.depth + 1, parent.dropped, parent.against, parent.main, parent.named_main, parent.doubtful, parent.article
+    )
     if name in NEVER:
         e.dropped = True
     elif name in PAGE_PARTS:
@@ -89,6 +101,9 @@ def _opened(name: str, rest: str, parent: Element, number: int) -> Element:
         e.against = e.against or name != "header" or not e.main
     elif name in ("article", "main"):
         e.main += 1
+        e.article = e
+    elif name == "form":
+        e.doubtful = e
     if rest and "=" in rest or rest and "hidden" in rest:
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)}
         if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
@@ -99,11 +114,14 @@ def _opened(name: str, rest: str, parent: Element, number: int) -> Element:
         elif named and name not in ("html", "body"):
             if name in ("article", "main"):
                 # The reader's own articles are comments.
-                e.against = e.against or bool(re.search(r"comment|reply|teaser|related|promo|sponsor|advert", named, re.I))
+                if BOX.search(named):
+                    e.doubtful = e
             elif AGAINST.search(named):
                 # The header of an article or a post holds its title.
-                own = (e.main or e.named_main) and not AGAINST.search(OWN_HEADER.sub(" ", named))
-                e.against = e.against or not own
+                if not ((e.main or e.named_main) and not AGAINST.search(OWN_HEADER.sub(" ", named))):
+                    e.doubtful = e
+                    e.box = bool(BOX.search(named))
+                    e.named_main = e.named_main or bool(FOR.search(named))
             elif FOR.search(named):
                 e.named_main = True
     return e
@@ -196,13 +214,76 @@ def _add_text(text: str, element: Element, blocks: list[Block], current: Block |
     return current
 
 
+def weigh_doubts(blocks: list[Block]) -> None:
+    """Set the cost of doubtful elements: the less, the more of the page's text they hold.
+
+    A wrapper is told from a box by what it holds. One with an article inside is measured by its largest
+    article against the largest of the page; an article that is doubtful itself by its share of the text of
+    all articles; any other by its share of all text, where a single block is no wrapper. Text that is called
+    main beside the element, with no other doubt than the element's own surroundings, counts against it.
+    """
+    doubts = {b.element.doubtful.number: b.element.doubtful for b in blocks if b.element.doubtful}
+    for e in list(doubts.values()):
+        while (e := e.parent.doubtful) is not None and e.number not in doubts:
+            doubts[e.number] = e
+    if not doubts:
+        return
+    articles: dict[int, int] = {}
+    homes: dict[int, Element | None] = {}
+    inside, count, beside = ({n: 0 for n in [0, *doubts]} for _ in range(3))
+    for b in blocks:
+        e = b.element
+        if e.against:
+            continue
+        size = max(0, len(b.text) - b.link_chars)
+        home = e.doubtful.number if e.doubtful else 0
+        inside[home] += size
+        count[home] += 1
+        if e.main or e.named_main:
+            beside[home] += size * (MAIN_WEIGHT if e.main else 1)
+        if e.article:
+            articles[e.article.number] = articles.get(e.article.number, 0) + size
+            homes[e.article.number] = e.article.doubtful
+    best, every = max(articles.values(), default=0), sum(articles.values())
+    largest = {n: 0 for n in [0, *doubts]}
+    for number, size in articles.items():
+        home = homes[number].number if homes[number] else 0
+        largest[home] = max(largest[home], size)
+    order = sorted(doubts)
+    around = {0: beside[0]}
+    for n in order:
+        above = doubts[n].parent.doubtful
+        around[n] = around[above.number if above else 0] + beside[n]
+    for n in reversed(order):
+        above = doubts[n].parent.doubtful
+        home = above.number if above else 0
+        inside[home] += inside[n]
+        count[home] += count[n]
+        largest[home] = max(largest[home], largest[n])
+    for n in order:
+        e = doubts[n]
+        clean = around[n] - beside[n]
+        if e.article is e:
+            own, rivals = articles.get(n, 0), every - articles.get(n, 0)
+        elif largest[n]:
+            own, rivals = largest[n], 0 if largest[n] == best else best * (MAIN_WEIGHT if e.box else 1)
+        else:
+            own, rivals = inside[n], inside[0] - inside[n]
+            own *= 1 - 1 / max(1, count[n]) ** 2
+        share = own / (own + rivals + clean) if own else 0.0
+        e.cost = max(COST * (1 - share**2), e.parent.doubtful.cost if e.parent.doubtful else 0.0)
+
+
+def against(element: Element) -> float:
+    """Log odds against the text of an element from its kind and names, and those of its ancestors."""
+    return COST if element.against else element.doubtful.cost if element.doubtful else 0.0
+
+
 def evidence(block: Block) -> float:
     """Log odds that a block is main text, from its place, its kind and its share of linked text."""
     e, size = block.element, len(block.text)
     linked = min(1.0, block.link_chars / size)
-    score = 0.0
-    if e.against:
-        score -= 6.0
+    score = -against(e)
     if e.main:
         score += 4.0
     elif e.named_main:
@@ -223,10 +304,11 @@ def evidence(block: Block) -> float:
 def _proximity(a: Block, b: Block) -> float:
     """Smoothness between two blocks: the closer their elements in the tree, the larger; 0 across page parts."""
     x, y = a.element, b.element
-    if x.against != y.against or bool(x.main) != bool(y.main):
+    if bool(x.main) != bool(y.main):
         return 0.0
     if x is y:
         return 1.0
+    alike = 1.0 - abs(against(x) - against(y)) / COST
     steps = 0
     while x is not y:
         if x.depth >= y.depth:
@@ -234,7 +316,7 @@ def _proximity(a: Block, b: Block) -> float:
         else:
             y = y.parent
         steps += 1
-    return 1.0 / steps if x.depth > 0 else 0.0
+    return alike / steps if x.depth > 0 else 0.0
 
 
 def smoothness_edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -319,6 +401,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     blocks = page_blocks(html)
+    weigh_doubts(blocks)
     costs = [terminal_costs(evidence(b)) for b in blocks]
     kept = minimum_cut([lost - taken for lost, taken in costs], smoothness_edges(blocks))
     return "\n".join(b.text for b, keep in zip(blocks, kept) if keep)
@@ -329,7 +412,8 @@ def extract_main_text(pages: DataFrame, html: str = "html", name: str = "text")
 
     Each page is a graph of its own: blocks are nodes, the classifier's costs are their terminal
     capacities, neighbourhood on the page and in the tree are smoothness edges, and the minimum cut
-    labels the blocks. Null, empty and markup-only pages give the empty text; repeated rows give equal texts.
+    labels the blocks. Forms and names such as sidebar are costs, which fall with the share of the page's articles, or
+    without articles of its text, that an element holds: a wrapper of the whole page costs next to nothing. Null, empty and markup-only pages give the empty text; repeated rows give equal texts.
     """
     extracted = with_text_columns(
         pages, html, [T.StructField(name, T.StringType())], lambda: lambda part: [[main_text(h) for h in part]]

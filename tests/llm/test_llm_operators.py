@@ -430,6 +430,29 @@ def test_pages(spark):
     assert html_extraction.extract_main_text(df.limit(0)).count() == 0
 
 
+SENTENCES = [f"Paragraph {i} of a text that is as long as a sentence or two, to be read by all who like." for i in range(5)]
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ["div class='content no-sidebar'", "div class='layout has-sidebar'", "div id=x class='overflow-hidden'", "div class='page-with-header'", "form action='/'"],
+)
+def test_wrappers(wrapper):
+    """A wrapper of the page's text is no box, whatever its name; boxes in it and beside it are."""
+    end = wrapper.split()[0]
+    paragraphs = "".join(f"<p>{s}</p>" for s in SENTENCES)
+    boxes = f"<aside>{paragraphs}</aside><div class=sidebar><p>{'Text in a box. ' * 60}</p></div>"
+    comments = "<div class=comments>" + f"<article><p>{'I liked it. ' * 20}</p></article>" * 20 + "</div>"
+    for inner in (f"<article>{paragraphs}</article>", f"<main>{paragraphs}</main>", paragraphs):
+        for within, beside in (("", ""), (boxes, ""), ("", boxes), (comments, ""), ("", comments)):
+            if inner == paragraphs and within + beside:
+                continue
+            html = f"<nav><a>x</a></nav><{wrapper}>{inner}{within}</{end}>{beside}<footer>{paragraphs}</footer>"
+            assert html_extraction.main_text(html).split("\n") == SENTENCES
+    assert html_extraction.main_text(f"<{wrapper}><article><p>Short.</p></article></{end}>") == "Short."
+    assert html_extraction.main_text(f"<article>{paragraphs}</article><{wrapper}><p>{'Box. ' * 30}</p></{end}>").split("\n") == SENTENCES
+
+
 def test_long_page():
     body = "".join(f"<p>Paragraph number {i} of a long text.</p>" for i in range(5000))
     assert html_extraction.main_text(f"<nav>{'<a>x</a>' * 1000}</nav><article>{body}</article>").count("\n") == 4999
