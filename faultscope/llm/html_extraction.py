@@ -16,7 +16,7 @@ from faultscope.llm.arrow_columns import with_text_columns
 # A comment, an element whose content is no markup, a tag, or a declaration.
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|select|object|canvas|audio|video|xmp|noembed|noframes)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|select|object|canvas|audio|video|xmp|noembed|noframes)"
     r"(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)"
@@ -35,7 +35,15 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
         "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 KEEPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
 # Elements whose text is never main text.
-NEVER = frozenset("head title button fieldset dialog menu nav input legend datalist optgroup option".split())
+NEVER = frozenset("head title button fieldset dialog menu nav input legend datalist optgroup option svg annotation annotation-xml".split())
+# Roots of drawings and formulas: what they hold is part of a line, and a slash at the end of a tag closes it. Elements in
+# them that hold HTML again, and HTML elements that end them where they are left open.
+FOREIGN = frozenset(("svg", "math"))
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var article section main aside header footer nav form".split()
+)
 PAGE_PARTS = frozenset("footer header aside".split())
 # Words of class, id and role that speak against an element, and those that speak for it.
 AGAINST = re.compile(
@@ -77,6 +85,9 @@ class Element:
     article: "Element | None" = None
     box: bool = False
     cost: float = 0.0
+    # An element of a drawing or formula, and any element in one, which is part of a line.
+    foreign: bool = False
+    line: bool = False
 
 
 @dataclass(slots=True)
@@ -94,6 +105,8 @@ def _opened(name: str, rest: str, parent: Element, number: int) -> Element:
     e = Element(
         name, parent, number, parent.depth + 1, parent.dropped, parent.against, parent.main, parent.named_main, parent.doubtful, parent.article
     )
+    e.foreign = name in FOREIGN or parent.foreign and parent.name not in HOLDS_HTML
+    e.line = name in FOREIGN or parent.line
     if name in NEVER:
         e.dropped = True
     elif name in PAGE_PARTS:
@@ -111,7 +124,7 @@ def _opened(name: str, rest: str, parent: Element, number: int) -> Element:
         named = " ".join(found.get(k, "") for k in ("class", "id", "role", "itemprop")).strip()
         if named and name in INLINE:
             e.dropped = e.dropped or bool(INLINE_AGAINST.search(named))
-        elif named and name not in ("html", "body"):
+        elif named and name not in ("html", "body") and not e.foreign:
             if name in ("article", "main"):
                 # The reader's own articles are comments.
                 if BOX.search(named):
@@ -141,26 +154,41 @@ def page_blocks(html: str) -> list[Block]:
             links -= e.name == "a"
         del stack[to:]
 
-    for token in TOKEN.finditer(html):
+    while token := TOKEN.search(html, at):
         if token.start() > at:
             current = _add_text(html[at : token.start()], stack[-1], blocks, current, links)
         at = token.end()
         name = (token["name"] or token["name2"] or "").lower()
+        top = stack[-1]
+        within = top.foreign and top.name not in HOLDS_HTML
         if not name:
+            if within and token["raw"] and (tag := html[token.start() : html.find(">", token.start()) + 1]).endswith("/>"):
+                at = token.start() + len(tag)
+                continue
             if token["raw"] and token["raw"].lower() not in INLINE:
                 current = None if token["raw"].lower() in ("iframe", "object", "video", "textarea", "select") else current
             continue
-        inline = name in INLINE
+        end = token["end"] or token["end2"]
+        rest = token["rest"] or token["rest2"] or ""
+        if within and name in (("p", "br") if end else ENDS_FOREIGN):
+            k = len(stack) - 1
+            while stack[k - 1].foreign and stack[k - 1].name not in HOLDS_HTML:
+                k -= 1
+            close(k)
+            within = False
+        inline = name in INLINE or name in FOREIGN or (_holds(stack, name) if end else stack[-1].line)
         if not inline:
             current = None
-        if token["end"] or token["end2"]:
+        if end:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     close(k)
                     break
-                if inline and stack[k].name not in INLINE:
+                if inline and not (stack[k].name in INLINE or stack[k].line):
                     break
             continue
+        if (within or name in FOREIGN) and rest.endswith("/"):
+            continue
         if name == "br" and current is not None:
             current.parts.append(" ")
         if name in VOID:
@@ -168,7 +196,7 @@ def page_blocks(html: str) -> list[Block]:
         if not inline:
             _end_implied(name, stack, close)
         number += 1
-        stack.append(_opened(name, token["rest"] or token["rest2"] or "", stack[-1], number))
+        stack.append(_opened(name, rest, stack[-1], number))
         links += name == "a"
     if at < len(html):
         _add_text(html[at:], stack[-1], blocks, current, links)
@@ -177,6 +205,14 @@ def page_blocks(html: str) -> list[Block]:
     return [b for b in blocks if b.text]
 
 
+def _holds(stack: list[Element], name: str) -> bool:
+    """Whether an end tag closes an element of the drawing or formula that is open."""
+    for e in reversed(stack):
+        if e.name == name or not e.line:
+            return e.line
+    return False
+
+
 def _end_implied(name: str, stack: list[Element], close) -> None:
     """Close what a new block element ends: an open paragraph or heading, and items of its own kind."""
     for k in range(len(stack) - 1, 0, -1):
@@ -197,7 +233,7 @@ def _end_implied(name: str, stack: list[Element], close) -> None:
 
 def _add_text(text: str, element: Element, blocks: list[Block], current: Block | None, links: int) -> Block | None:
     holder = element
-    while holder.name in INLINE and holder.parent is not None:
+    while (holder.name in INLINE or holder.line) and holder.parent is not None:
         if holder.dropped:
             return current
         holder = holder.parent
@@ -413,7 +449,8 @@ def extract_main_text(pages: DataFrame, html: str = "html", name: str = "text")
     Each page is a graph of its own: blocks are nodes, the classifier's costs are their terminal
     capacities, neighbourhood on the page and in the tree are smoothness edges, and the minimum cut
     labels the blocks. Forms and names such as sidebar are costs, which fall with the share of the page's articles, or
-    without articles of its text, that an element holds: a wrapper of the whole page costs next to nothing. Null, empty and markup-only pages give the empty text; repeated rows give equal texts.
+    without articles of its text, that an element holds: a wrapper of the whole page costs next to nothing. The text of
+    formulas is kept but for their annotations, which no reader sees; drawings are dropped up to their end. Null, empty and markup-only pages give the empty text; repeated rows give equal texts.
     """
     extracted = with_text_columns(
         pages, html, [T.StructField(name, T.StringType())], lambda: lambda part: [[main_text(h) for h in part]]

@@ -453,6 +453,20 @@ def test_wrappers(wrapper):
     assert html_extraction.main_text(f"<article>{paragraphs}</article><{wrapper}><p>{'Box. ' * 30}</p></{end}>").split("\n") == SENTENCES
 
 
+def test_drawings_and_formulas():
+    for page, texts in {
+        '<p>One</p><p><svg class="i"/> Two</p><p>Three</p>': ["One", "Two", "Three"],
+        "<p>One <svg class='i' /> two</p><p>Three</p><p><svg><path d='M0'/><text>no</text></svg>Four</p>": ["One two", "Three", "Four"],
+        "<p>a <svg><title>no</title><foreignObject><div>no</div></foreignObject><script/><svg/><style/></svg> b</p><p>c": ["a b", "c"],
+        "<div><svg class=i><g></div><p>One</p><p><svg><path>no</p><p>Two": ["One", "Two"],
+        "<p>So <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></math> is.</p><p><math/>End": ["So x=2 is.", "End"],
+        "<p><math><semantics><mrow><mtext>if <b>so</b></mtext></mrow><annotation>no</annotation></semantics></math>, y": ["if so, y"],
+        "<math><mrow>x<p>One</p></math><p>Two</p>": ["x", "One", "Two"],
+        "<SVG Class='i'/>One<p>Two": ["One", "Two"],
+    }.items():
+        assert html_extraction.main_text(f"<article>{page}</article><footer>no</footer>").split("\n") == texts
+
+
 def test_long_page():
     body = "".join(f"<p>Paragraph number {i} of a long text.</p>" for i in range(5000))
     assert html_extraction.main_text(f"<nav>{'<a>x</a>' * 1000}</nav><article>{body}</article>").count("\n") == 4999
