@@ -351,6 +351,37 @@ def test_overlaps_like_the_plain_version(spark):
     assert same >= 0.97 * hits and all(want[i].get(k) == n for i, f in found[30].items() for k, n in f.items())
 
 
+def test_short_items(spark):
+    """Items of 6 to 12 words with any fifth of their inner words changed, shorter ones as a whole only."""
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(1, 13)}
+    rows, want = [], []
+    for n, item in items.items():
+        for changed in range(n // 5 + 1 if n >= 6 else 1):
+            for places in itertools.combinations(range(1, n - 1), changed):
+                rows.append(["some", *["other" if k in places else w for k, w in enumerate(item)], *item[: n // 2], "more"])
+                want.append((n, 1, n, n - changed))
+        if 1 < n < 6:
+            rows.append(["some", *item[:-1], "other"])
+            want.append(None)
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    df = documents(spark, [(i, " ".join(words), "a") for i, words in enumerate(rows)])
+    got = decontamination.find_overlaps(df, bench).orderBy("doc_id").collect()
+    assert [[tuple(o) for o in r.overlaps] for r in got] == [[w] if w else [] for w in want]
+
+
+def test_items_in_scripts_without_spaces(spark):
+    chinese = "\u4eba\u5de5\u667a\u80fd\u662f\u7814\u7a76\u8ba1\u7b97\u673a\u6a21\u62df\u4eba\u7684\u601d\u7ef4\u8fc7\u7a0b"
+    thai = "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22\u0e40\u0e1b\u0e47\u0e19\u0e20\u0e32\u0e29\u0e32\u0e17\u0e35\u0e48"
+    assert len(decontamination.text_words(chinese)) == 18 and "".join(decontamination.text_words(thai)) == thai
+    assert decontamination.text_words("One, two_3 \uc815\ubcf4 \u4eba\u5de5\u3002") == ["one", "two_3", "\uc815\ubcf4", "\u4eba", "\u5de5"]
+    bench = spark.createDataFrame([(1, chinese), (2, thai), (3, "\u5929\u6c14")], "item_id long, text string")
+    texts = [f"\u524d{chinese[:7]}\u4e0d{chinese[8:]}\u540e", f"x{thai}x", "\u4eca\u5929\u6c14\u6e29", "\u5929\u7a7a\u6c14", chinese[:9]]
+    df = documents(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    for block_words in (500_000, 20):
+        got = decontamination.find_overlaps(df, bench, block_words=block_words).orderBy("doc_id").collect()
+        assert [[o.item_id for o in r.overlaps] for r in got] == [[1], [2], [3], [], []]
+
+
 def test_overlaps_of_odd_documents(spark):
     bench = spark.createDataFrame([(1, " ".join(LONG.split()[100:140])), (2, None), (3, "")], "item_id long, text string")
     df = documents(spark, ODD)
