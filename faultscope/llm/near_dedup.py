@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,7 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 
 def with_signatures(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, labels`` of each row; no digest and no labels for empty sets."""
+    """``doc_id, text_hash, n_shingles, digest, labels`` of each row; no digest and no labels for empty sets."""
 
     def start():
         def signed(texts: list[str | None]) -> list[list]:
@@ -65,8 +65,8 @@ def with_signatures(documents: DataFrame, key: str, text: str, size: int) -> Dat
         T.StructField("digest", T.BinaryType()),
         T.StructField("labels", T.ArrayType(T.LongType())),
     ]
-    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return with_text_columns(rows, "text", fields, start).select("doc_id", "n_shingles", "digest", "labels")
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    return with_text_columns(rows, "text", fields, start).select("doc_id", "text_hash", "n_shingles", "digest", "labels")
 
 
 def forest(nodes: DataFrame) -> DataFrame:
@@ -240,6 +240,15 @@ def near_duplicates(
     shingle. Documents without words or text have ``n_shingles`` 0 and are alone, as are null ids,
     whose component_id is null. Rows that repeat an id are rows of their own.
     """
+    found = _grouped(documents, key, text, shingle_words, similarity)
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    return found.select(
+        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+
+
+def _grouped(documents: DataFrame, key: str, text: str, shingle_words: int, similarity: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, whole, component_id`` per row: ``whole`` is the group itself, as groups may share an id."""
     signed = stored(with_signatures(documents, key, text, shingle_words), "signatures")
     known = signed.filter("doc_id is not null and n_shingles > 0")
     nodes = known.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("first"), F.first("labels").alias("labels"))
@@ -262,12 +271,9 @@ def near_duplicates(
     node_groups = firsts.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     node_groups = node_groups.join(merged, "group", "left").withColumn("whole", F.coalesce("whole", "group"))
     smallest = node_groups.groupBy("whole").agg(F.min("first").alias("component_id"))
-    named = node_groups.join(smallest, "whole").select(F.col("node").alias("digest"), "component_id")
-    result = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return result.select(
-        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    named = node_groups.join(smallest, "whole").select(F.col("node").alias("digest"), "whole", "component_id")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
+    return rows.select("doc_id", "text_hash", "n_shingles", "whole", "component_id")
 
 
 def _full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -286,14 +292,36 @@ def _full_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str, siz
     return found.filter("digest = node").select("node", "shingles")
 
 
-def drop_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(
+    documents: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle_words: int = 5,
+    similarity: int = SIMILARITY,
+) -> DataFrame:
     """One document of each group of near-copies, the one with the smallest id, with its own columns.
 
-    Of rows that repeat an id, one stays, the one with the first text; rows with a null id all stay.
+    Only rows of one group replace each other, also if they share an id: of a group's rows with its
+    smallest id the one with the least hash of its text stays, and of equal texts one row. Rows with a null id
+    and rows without words all stay.
     """
-    found = near_duplicates(documents, key, text, **options)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = documents.filter(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"))
-    order = F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64(text), text))
-    one = one.withColumn("_order", order).filter("_order = 1").select(*documents.columns)
-    return one.unionByName(documents.filter(F.col(key).isNull()))
+    found = _grouped(documents, key, text, shingle_words, similarity).filter("doc_id is not null")
+    texts = found.groupBy("doc_id", "text_hash").agg(
+        F.max("whole").alias("whole"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n")
+    )
+    texts = stored(texts, "texts")
+    least = texts.filter("n_shingles > 0").groupBy("whole").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("least"))
+    least = stored(least.select("least.*"), "survivors")
+    wordless = texts.filter("n_shingles = 0").select("doc_id", "text_hash")
+    single = least.filter("n = 1").select("doc_id", "text_hash").unionByName(wordless)
+
+    named = documents.filter(F.col(key).isNotNull())
+    own = [F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_hash")]
+    keys = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    kept = named.select("*", *own).join(keys(single), ["_id", "_hash"]).select(*documents.columns)
+    # Equal texts of one id are few as a rule; they collapse before they meet, however many rows one text has.
+    plain = [f.name for f in documents.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    repeated = named.select("*", *own).join(keys(least.filter("n > 1")), ["_id", "_hash"])
+    first = F.min_by(F.struct(*documents.columns), F.struct(*plain)).alias("row")
+    one = repeated.groupBy("_id", "_hash").agg(first).select("row.*")
+    return kept.unionByName(one).unionByName(documents.filter(F.col(key).isNull()))

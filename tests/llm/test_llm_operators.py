@@ -284,6 +284,20 @@ def test_near_duplicates_of_odd_documents(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id_replace_only_copies(spark):
+    rng = random.Random(12)
+    alone, copied, third, fourth = (" ".join(words(rng, 40)) for _ in range(4))
+    rows = [(3, copied, "a"), (5, alone, "a"), (5, copied, "b"), (5, third, "b"), (6, third, "a"), (7, fourth, "b"),
+            (7, fourth, "a"), (7, fourth.upper(), "a"), (8, "", "a"), (8, "", "a"), (8, None, "a"), (9, fourth + " end", "a")]
+    df = documents(spark, rows)
+    left = near_dedup.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    got = sorted((r.doc_id, (r.text or "").lower()) for r in left.collect())
+    assert got == sorted([(3, copied), (5, alone), (5, third), (7, fourth), (8, ""), (8, ""), (8, "")])
+    many = documents(spark, [(1, f"{' '.join(words(rng, 12))}", "a") for _ in range(60)] + [(1, alone, "a")] * 30)
+    assert near_dedup.drop_near_duplicates(many).count() == 61
+
+
 # --- shards
 
 
