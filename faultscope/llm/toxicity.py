@@ -122,7 +122,8 @@ def held_out(key: Column) -> Column:
 def training_sample(documents: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """(doc_id, label, text) of labelled rows that may be learned from, ``max_rows`` in expectation.
 
-    The sample's ids go to all tasks, as their number is bounded; the texts stay where they are.
+    The sample's ids go to all tasks, as their number is bounded. Of rows that share an id one teaches, the
+    one with the least hash of its text; they collapse before they meet, so the bound holds for rows.
     """
     named = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     named = named.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("label"))
@@ -132,7 +133,9 @@ def training_sample(documents: DataFrame, labels: DataFrame, settings: Settings)
         draw = F.pmod(F.xxhash64("labelled", F.lit(settings.seed)), F.lit(1_000_000)) / 1_000_000
         named = named.filter(draw < settings.max_rows / n)
     texts = documents.select("doc_id", "text")
-    return texts.join(F.broadcast(named), F.col("doc_id") == F.col("labelled")).select("doc_id", "label", "text")
+    met = texts.join(F.broadcast(named), F.col("doc_id") == F.col("labelled"))
+    first = F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"), "text")).alias("text")
+    return met.groupBy("doc_id").agg(F.max("label").alias("label"), first).select("doc_id", "label", "text")
 
 
 def select_features(sample: DataFrame, settings: Settings) -> list[tuple[int, str]]:

@@ -298,6 +298,19 @@ def test_rows_that_share_an_id_replace_only_copies(spark):
     assert near_dedup.drop_near_duplicates(many).count() == 61
 
 
+# --- sample
+
+
+def test_sample_has_one_row_per_id(spark):
+    rows = [(i, f"text {i}", "a") for i in range(40)] + [(7, f"other {k}", "a") for k in range(50)] + [(7, None, "a")] * 3
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    orders = [toxicity.training_sample(documents(spark, r), labels, toxicity.Settings()).collect() for r in (rows, rows[::-1])]
+    first, again = (sorted((r.doc_id, r.label, r.text) for r in order) for order in orders)
+    held = {r.i for r in spark.range(40).withColumnRenamed("id", "i").filter(toxicity.held_out(F.col("i"))).collect()}
+    assert 7 not in held and first == again
+    assert [(i, y) for i, y, _ in first] == [(i, i % 2) for i in range(40) if i not in held]
+
+
 # --- shards
 
 
