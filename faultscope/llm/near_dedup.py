@@ -1,4 +1,4 @@
-"""MinHash near-duplicates by an LSH forest, with links confirmed on the full sets of shingles."""
+"""MinHash near-duplicates by bands of a fixed depth, with links confirmed on the full sets of shingles."""
 
 from __future__ import annotations
 
@@ -72,8 +72,7 @@ def with_signatures(documents: DataFrame, key: str, text: str, size: int) -> Dat
 def forest(nodes: DataFrame) -> DataFrame:
     """One row per node and tree, dealt by ranges of (tree, label) and in that order.
 
-    The label of a tree is its own hashes, followed by those of the next tree: a sorted order goes
-    on to compare as deep as a region needs, and a region that holds a large group of copies is dealt
+    The label of a tree is its own hashes; those of the next tree only order the rows of a region, so that one that holds a large group of copies is dealt
     to as many tasks as its rows fill.
     """
     rows = nodes.select("node", "labels", F.posexplode("labels").alias("tree", "label"))
@@ -230,8 +229,8 @@ def near_duplicates(
     """Group of near-copies of each document: ``doc_id, n_shingles, component_id``, one row per row.
 
     Documents with the same set of shingles are one node, held by the smallest id. Nodes stand in
-    ``TREES`` sorted orders of their signatures. Neighbours in an order share the longest prefixes; those that share
-    ``DEPTH`` hashes at least are candidates, as deep as their region goes. Each node is first compared
+    ``TREES`` sorted orders of their signatures. Rows with all ``DEPTH`` hashes of an order equal are a region; its rows are
+    candidates. Each node is first compared
     with one smaller neighbour, if possible one that is its neighbour in several orders, on the full sets. Then all other pairs that share ``DEPTH`` hashes in
     some tree are compared, unless links already tie them, so no cap on partners loses a link. A pair with
     Jaccard 0.8 shares no four hashes in any of 16 trees with probability 0.0002, one with 0.9 with 1e-7.
