@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from faultscope.llm import (
     chat_format,
     decontamination,
+    fill_middle,
     fingerprints,
     html_extraction,
+    lexical_search,
     line_dedup,
     mixing,
     near_dedup,
+    packing,
     sharding,
     token_counts,
     toxicity,
@@ -23,6 +26,7 @@ from faultscope.session import scratch_path
 SHARDS = 16
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
+PACKING_TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -111,6 +115,22 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ranked_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def filled_middles(spark: SparkSession, folder: str) -> DataFrame:
+    done = fill_middle.restore(fill_middle.fill_in_middle(_table(spark, folder, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def packed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
+
+
 QUERIES = {
     "op1_token_counts": token_count,
     "op2_line_dedup": repeated_lines,
@@ -122,6 +142,9 @@ QUERIES = {
     "op8_benchmark_overlaps": benchmark_overlaps,
     "op9_source_mixing": mix_sources,
     "op10_html_extraction": main_texts,
+    "op11_lexical_search": ranked_documents,
+    "op12_fill_in_middle": filled_middles,
+    "op13_packing": packed_documents,
 }
 
 LINE_SQL = r"""
@@ -230,9 +253,72 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies FROM copied
 """
 
+SEARCH_SQL = r"""
+WITH said AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), counted AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM said GROUP BY doc_id, term
+), lengths AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id
+), corpus AS (
+  SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM lengths
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM counted GROUP BY term), corpus
+), scored AS (
+  SELECT a.item_id, c.doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT AS score
+  FROM asked a JOIN counted c USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), corpus
+  GROUP BY a.item_id, c.doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+MIDDLE_SQL = r"""
+WITH given AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), counted AS (
+  SELECT *, length(text) - length(replace(text, chr(10), '')) AS ends FROM given
+), lined AS (
+  SELECT *, ends + (text <> '' AND NOT ends_with(text, chr(10)))::BIGINT AS n FROM counted
+), chosen AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS one, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS two,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM lined
+), cut AS (
+  SELECT *, string_split(text, chr(10)) AS lines, least(one, two) AS low, greatest(one, two) AS high FROM chosen
+), placed AS (
+  SELECT *, CASE WHEN low = 0 THEN 0 WHEN low > ends THEN length(text)
+                 ELSE length(array_to_string(lines[1:low], chr(10))) + 1 END AS first,
+         CASE WHEN high = 0 THEN 0 WHEN high > ends THEN length(text)
+                 ELSE length(array_to_string(lines[1:high], chr(10))) + 1 END AS second FROM cut
+), parts AS (
+  SELECT *, substring(text, 1, first) AS prefix, substring(text, first + 1, second - first) AS middle,
+         substring(text, second + 1) AS suffix FROM placed
+)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
 SQL = {
     "op2_line_dedup": LINE_SQL,
     "op4_chat_formatting": CHAT_SQL,
     "op7_sharding": SHARD_SQL,
     "op9_source_mixing": MIX_SQL,
+    "op11_lexical_search": SEARCH_SQL,
+    "op12_fill_in_middle": MIDDLE_SQL,
 }
