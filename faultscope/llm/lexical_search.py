@@ -23,9 +23,9 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else
 CHUNK = 1 << 20
 # Distinct terms of the items that go to the tasks at a time, and of those that share one tree.
 BLOCK_TERMS = 250_000
-GROUP_TERMS = 8_192
+GROUP_TERMS = 4_096
 # Texts and their entries that one tree is built of, and texts in a leaf.
-SEGMENT_ROWS, SEGMENT_ENTRIES = 8_192, 2_000_000
+SEGMENT_ROWS, SEGMENT_ENTRIES = 2_048, 250_000
 LEAF = 32
 SAMPLE = 1 / 64
 
@@ -300,8 +300,8 @@ def search_vectors(vectors: DataFrame, index: Index) -> DataFrame:
         held: list[pa.RecordBatch] = []
         n_rows = entries = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 held.append(part)
                 n_rows += part.num_rows
                 entries += len(part.column("terms").flatten())
