@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,50 +65,89 @@ class WordEncoder:
         # Word 0 is the empty one, word 1 the end of a line.
         self.known = {"": 0, "\n": 1}
         self.ids, self.ends = _Lists(np.uint32), _Lists(np.int64)
-        self.ids.extend([[], []])
-        self.ends.extend([[], [0]])
+        self.ids.extend(np.empty(0, np.uint32), np.zeros(2, np.int64))
+        self.ends.extend(np.zeros(1, np.int64), np.array([0, 1]))
 
-    def _encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each word, and the numbers of ids after which a sentence ends in it; the words hold no spaces."""
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All words' ids, their number per word, all numbers of ids after which a sentence ends, their number per word."""
         joined = " ".join(words)
         found = self.tokenizer.encode(joined, add_special_tokens=False)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        begin = np.fromiter((b for b, _ in found.offsets), np.int64, len(found.offsets))
-        upto = np.searchsorted(begin, starts[1:]).tolist()
-        bounds = list(zip([0, *upto], [*upto, len(begin)]))
-        all_ids = found.ids
-        ids = [all_ids[a:b] for a, b in bounds]
-        ends = [[len(own)] if w.rstrip(CLOSING).endswith(WORD_END) else [] for w, own in zip(words, ids)]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        offsets = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(found.offsets)).reshape(-1, 2)
+        first = np.searchsorted(offsets[:, 0], starts)
+        first[0] = 0
+        sizes = np.diff(first, append=len(offsets))
+        ended = np.fromiter((w.rstrip(CLOSING).endswith(WORD_END) for w in words), bool, len(words))
+        stops = np.zeros(len(offsets) + 1, bool)
+        stops[(first + sizes)[ended & (sizes > 0)]] = True
         if any(mark in joined for mark in ANYWHERE):
             # A character may be several ids; the sentence ends after the last of them.
-            following = [*begin[1:].tolist(), len(joined)]
-            last = [e > 0 and joined[e - 1] in ANYWHERE and e <= b for (_, e), b in zip(found.offsets, following)]
-            for k, (a, b) in enumerate(bounds):
-                ends[k] = sorted({n for n, at in enumerate(range(a, b), 1) if last[at]}.union(ends[k]))
-        return ids, ends
+            following = np.append(offsets[1:, 0], len(joined))
+            mark = np.fromiter((e > 0 and joined[e - 1] in ANYWHERE for e in offsets[:, 1]), bool, len(offsets))
+            stops[1:] |= mark & (offsets[:, 1] <= following)
+        ends = np.flatnonzero(stops)
+        word = np.searchsorted(first + sizes, ends)
+        return np.array(found.ids, np.uint32), sizes, ends - first[word], np.bincount(word, minlength=len(words))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids and the sorted places (numbers of ids) where a sentence ends."""
-        if len(self.known) > self.most:
+        parts: list[list[tuple]] = [[] for _ in texts]
+        held, size = [], 0
+        for number, text in enumerate(texts):
+            for chunk in _chunks(text):
+                held.append((number, chunk))
+                size += len(chunk)
+                if size >= CHUNK:
+                    self._encode_chunks(held, parts)
+                    held, size = [], 0
+        self._encode_chunks(held, parts)
+        return [_joined(p) for p in parts]
+
+    def _learn(self, words: list, encode: Callable) -> None:
+        if words:
+            ids, sizes, ends, n_ends = encode(words)
+            first = self.ids.n_lists
+            self.known.update(zip(words, range(first, first + len(words))))
+            self.ids.extend(ids, sizes)
+            self.ends.extend(ends, n_ends)
+
+    def _encode_chunks(self, chunks: list[tuple[int, str]], parts: list[list[tuple]]) -> None:
+        """Append (ids, sentence ends) of each chunk to the parts of its text."""
+        if len(self.known) > self.most or self.ids.n > 8 * self.most:
             self._clear()
-        return [_joined([self._encode_chunk(chunk) for chunk in _chunks(text)]) for text in texts]
-
-    def _encode_chunk(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if SPECIAL in text:
-            ids, ends = self._encode([text])
-            return np.array(ids[0], np.uint32), np.array(ends[0], np.int64)
-        words = text.replace("\n", " \n ").split(" ")
-        misses = list(set(words).difference(self.known))
-        if misses:
-            ids, ends = self._encode(misses)
-            self.known.update(zip(misses, range(len(self.known), len(self.known) + len(misses))))
-            self.ids.extend(ids)
-            self.ends.extend(ends)
+        words: list = []
+        bounds, special = [0], []
+        for _, chunk in chunks:
+            if SPECIAL in chunk:
+                # A key that no word has, for this call only.
+                special.append((chunk,))
+                words.append(special[-1])
+            else:
+                words += chunk.replace("\n", " \n ").split(" ")
+            bounds.append(len(words))
+        self._learn(list(set(words).difference(self.known, special)), self._encode)
+        for key in special:
+            self._learn([key], lambda keys: self._encode(list(keys[0])))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        for key in special:
+            self.known.pop(key, None)
         ids, sizes = self.ids.take(at)
+        before = np.concatenate([[0], np.cumsum(sizes)])
         ends, n_ends = self.ends.take(at)
-        return ids, np.unique(ends + np.repeat(np.cumsum(sizes) - sizes, n_ends))
+        ends += np.repeat(before[:-1], n_ends)
+        id_bounds = before[bounds].tolist()
+        end_bounds = np.concatenate([[0], np.cumsum(n_ends)])[bounds].tolist()
+        for k, (number, _) in enumerate(chunks):
+            own = ends[end_bounds[k] : end_bounds[k + 1]] - id_bounds[k]
+            own = own[np.diff(own, prepend=-1) > 0]
+            parts[number].append((ids[id_bounds[k] : id_bounds[k + 1]], own))
+
+
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> WordEncoder:
+    """The encoder of a Python worker, with the words that its earlier tasks have met."""
+    return WordEncoder(vocabulary)
 
 
 def _chunks(text: str) -> Iterator[str]:
@@ -135,16 +176,15 @@ class _Lists:
         self.flat, self.n = np.empty(1024, kind), 0
         self.starts, self.sizes, self.n_lists = np.empty(1024, np.int64), np.empty(1024, np.int64), 0
 
-    def extend(self, lists: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(sizes.sum())
-        self.flat = _grown(self.flat, self.n, total)
-        self.flat[self.n : self.n + total] = np.fromiter((x for one in lists for x in one), self.flat.dtype, total)
-        self.starts, self.sizes = (_grown(x, self.n_lists, len(lists)) for x in (self.starts, self.sizes))
-        here = slice(self.n_lists, self.n_lists + len(lists))
+    def extend(self, numbers: np.ndarray, sizes: np.ndarray) -> None:
+        """Append lists of these sizes, whose numbers follow each other."""
+        self.flat = _grown(self.flat, self.n, len(numbers))
+        self.flat[self.n : self.n + len(numbers)] = numbers
+        self.starts, self.sizes = (_grown(x, self.n_lists, len(sizes)) for x in (self.starts, self.sizes))
+        here = slice(self.n_lists, self.n_lists + len(sizes))
         self.sizes[here] = sizes
         self.starts[here] = self.n + np.cumsum(sizes) - sizes
-        self.n, self.n_lists = self.n + total, self.n_lists + len(lists)
+        self.n, self.n_lists = self.n + len(numbers), self.n_lists + len(sizes)
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of these lists in a row, and the size of each list."""
@@ -333,7 +373,7 @@ def pack_documents(
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = _encoder(vocabulary)
         packer = Packer(costs, run_tokens, TaskContext.get().partitionId() << 40)
         tail = np.array([end_id], np.uint32)
         found: list[tuple] = []
