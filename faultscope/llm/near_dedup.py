@@ -1,4 +1,4 @@
-"""MinHash near-duplicates by bands of a fixed depth, with links confirmed on the full sets of shingles."""
+"""MinHash near-duplicates by an LSH forest, with links confirmed on the full sets of shingles."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultscope.llm.arrow_columns import with_text_columns
+from faultscope.llm.names import fresh
 from faultscope.llm.words import ascii_words, mixed, odd_constants, shingle_set
 from faultscope.operators.components import connected_groups
 from faultscope.session import stored
@@ -22,7 +23,12 @@ DEPTH = 4
 SIMILARITY = 80
 # Neighbours in so many orders are compared first.
 OFTEN = 3
-BLOCK = 256
+# Rows of a region up to which it keeps the least depth; each further hash stands for so many times more.
+REGION, FANOUT = 64, 16
+# How often groups are compared with the leading one of their regions before the exact filter takes the rest.
+ROUNDS = 2
+# Buckets in which shingles are counted for the order of the filter.
+BUCKET_BITS = 18
 STEP = 2048
 
 OFFSETS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64))
@@ -70,10 +76,10 @@ def with_signatures(documents: DataFrame, key: str, text: str, size: int) -> Dat
 
 
 def forest(nodes: DataFrame) -> DataFrame:
-    """One row per node and tree, dealt by ranges of (tree, label) and in that order.
+    """One row per node and tree, dealt by ranges of its sequence of hashes and in that order.
 
-    The label of a tree is its own hashes; those of the next tree only order the rows of a region, so that one that holds a large group of copies is dealt
-    to as many tasks as its rows fill.
+    The sequence of a tree is its own ``DEPTH`` hashes (the label) and those of the next tree (deeper). A region
+    that holds a large group of copies is dealt to as many tasks as its rows fill.
     """
     rows = nodes.select("node", "labels", F.posexplode("labels").alias("tree", "label"))
     deeper = F.element_at("labels", (F.col("tree") + 1) % TREES + 1)
@@ -84,30 +90,37 @@ def forest(nodes: DataFrame) -> DataFrame:
     )
 
 
+MEMBERS = [("tree", pa.int32()), ("label", pa.int64()), ("deeper", pa.int64()), ("node", pa.binary()), ("before", pa.binary()), ("depth", pa.int32())]
+
+
+def common_prefix(a: int, b: int) -> int:
+    """Leading hashes of 16 bits that two numbers of ``DEPTH`` hashes share."""
+    apart = (a ^ b) & 0xFFFFFFFFFFFFFFFF
+    return (64 - apart.bit_length()) // 16
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose region has other rows, with the row before; the ends of a task's rows are always kept."""
-    names = ["tree", "label", "node", "before"]
+    """Rows whose region has other rows, with the row before, their neighbour of the longest common prefix on that side,
+    and that prefix's depth; the ends of a task's rows are always kept."""
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out), MEMBERS)], names=[n for n, _ in MEMBERS])
+
     held: tuple | None = None
     for batch in batches:
-        tree, label = (batch.column(c).to_pylist() for c in ("tree", "label"))
-        node = batch.column("node").to_pylist()
         out: list[tuple] = []
-        for row in zip(tree, label, node):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("tree", "label", "deeper", "node"))):
             if held is None:
-                held = (*row, None, True)
+                held = (*row, None, 0, True)
                 continue
-            same = held[0] == row[0] and held[1] == row[1]
-            if same or held[4]:
-                out.append(held[:4])
-            held = (*row, held[2] if same else None, same)
+            same = held[:2] == row[:2]
+            if same or held[6]:
+                out.append(held[:6])
+            held = (*row, held[3], DEPTH + common_prefix(held[2], row[2]), same) if same else (*row, None, 0, same)
         if out:
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            yield rows(out)
     if held is not None:
-        yield pa.RecordBatch.from_pylist(
-            [dict(zip(names, held[:4]))],
-            pa.schema([("tree", pa.int32()), ("label", pa.int64()), ("node", pa.binary()), ("before", pa.binary())]),
-        )
+        yield rows([held[:6]])
 
 
 def _alike(shared, a, b, similarity: int):
@@ -122,94 +135,130 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     x, y = F.size("x"), F.size("y")
     both = both.filter(_alike(F.least(x, y), x, y, similarity))
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(_alike(shared, x, y, similarity)).select("a", "b")
-
-
-def _root(parent: dict, x):
-    while parent.setdefault(x, x) != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
-def _tile_links(left: list[tuple], right: list[tuple], similarity: int) -> list[tuple]:
-    """Links between groups that are not yet tied; ``left`` and ``right`` hold (node, group, set)."""
-    parent: dict = {}
-    links = []
-    sizes = np.array([len(s) for *_, s in right])
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    joined = np.concatenate([s for *_, s in right])
-    for node, group, own in left:
-        inside = np.searchsorted(own, joined)
-        inside[inside == len(own)] = 0
-        shared = np.add.reduceat((own[inside] == joined).astype(np.int64), starts[:-1])
-        for k in np.flatnonzero(_alike(shared, sizes, len(own), similarity)):
-            a, b = _root(parent, group), _root(parent, right[k][1])
-            if a != b:
-                parent[a] = b
-                links.append((group, right[k][1]))
-    return links
-
-
-def _tiles(similarity: int):
-    """Function from rows, in order of their tiles, to the links found in each tile."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(sides: tuple[dict, dict]) -> list[tuple]:
-            left, right = (list(side.values()) for side in sides)
-            return _tile_links(left, right, similarity) if left and right else []
-
-        tile, sides, found = None, ({}, {}), []
+    return both.filter(_alike(shared, x, y, similarity)).select(*pairs.columns)
+
+
+def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys under which several groups meet, with the largest group there and its smallest node."""
+    counted = rows.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    largest = F.max(F.struct("n", "group", "first")).alias("largest")
+    found = counted.groupBy(*keys).agg(largest, F.count(F.lit(1)).alias("n_groups")).filter("n_groups > 1")
+    return found.select(*keys, F.col("largest.group").alias("main"), F.col("largest.first").alias("leader"))
+
+
+def regions(members: DataFrame) -> DataFrame:
+    """(tree, label, deeper, node): regions of adaptive depth, ``deeper`` cut to the hashes that a region of its size takes."""
+    sizes = members.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"))
+    extra = F.least(F.lit(4), F.ceil(F.log(F.col("n") / REGION) / np.log(FANOUT))).cast("int")
+    cut = F.when(F.col("n") <= REGION, F.lit(0)).otherwise(F.expr("shiftrightunsigned(deeper, 16 * (4 - extra))"))
+    placed = members.join(sizes, ["tree", "label"]).withColumn("extra", extra)
+    return placed.select("tree", "label", cut.cast("long").alias("deeper"), "node")
+
+
+def leader_pairs(placed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each node beside the smallest node of its region's largest group, where it is not of that group: one pair per row."""
+    keys = ["tree", "label", "deeper"]
+    rows = placed.join(groups, "node")
+    met = rows.join(_mixed(rows, keys), keys).filter("group != main")
+    return met.select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("group").alias("ga"), F.col("main").alias("gb")).distinct()
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def shingle_frequency(sets: DataFrame) -> np.ndarray:
+    """Occurrences per bucket of shingles; their number is fixed, whatever the sets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            places = zip(*[batch.column(c).to_pylist() for c in ("tree", "label", "i", "j")])
-            nodes, groups, lefts = (batch.column(c).to_pylist() for c in ("node", "group", "minor_side"))
-            shingles = batch.column("shingles")
-            for k, (place, node, group, is_left) in enumerate(zip(places, nodes, groups, lefts)):
-                if place != tile:
-                    found += linked(sides)
-                    tile, sides = place, ({}, {})
-                own = shingles[k].values.to_numpy().view(np.uint64)
-                sides[0 if is_left else 1][node] = (node, group, own)
-        found += linked(sides)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["a", "b"])
-
-    return run
-
-
-def remaining_links(members: DataFrame, groups: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links between groups (a, b) that meet in a region, found by comparing all their sets.
-
-    Two nodes of one group need no comparison. So in each region with several groups, every row
-    that is not of the region's largest group is compared with all rows. Both are dealt into blocks
-    by hash; a tile of two blocks is one unit of work of bounded size, and gives at most one link
-    for each group in it.
+            flat = batch.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            np.add.at(total, _bucket(flat), 1)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["bucket", "n"])
+
+    counts = sets.select("shingles").mapInArrow(count, "bucket long, n long")
+    rows = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(1 << BUCKET_BITS, np.int64)
+    frequency[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return frequency
+
+
+def rarest(shingles: np.ndarray, frequency: np.ndarray, similarity: int) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in an order of all by frequency, and how many of them it shows to larger sets.
+
+    A set of n shingles shares at least ``similarity`` percent of n with one it is alike, and 2 s / (100 + s) of n if that one
+    is as large or larger. So the first they share stands within the n - share + 1 first of both.
     """
-    placed = members.select("tree", "label", "node").join(groups, "node", "left")
-    placed = placed.withColumn("group", F.coalesce("group", "node"))
-    counted = placed.groupBy("tree", "label", "group").agg(F.count(F.lit(1)).alias("n"))
-    region = counted.groupBy("tree", "label").agg(
-        F.max(F.struct("n", "group")).alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_groups")
+    n = len(shingles)
+    kept = n - -(-similarity * n // 100) + 1
+    shown = n - -(-2 * similarity * n // (100 + similarity)) + 1
+    order = np.lexsort((shingles, frequency[_bucket(shingles)]))
+    return shingles[order[:kept]], shown
+
+
+def open_prefixes(placed: DataFrame, groups: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``shingle, node, group, size, place, shown``: the rarest shingles of all nodes in regions with several groups."""
+    keys = ["tree", "label"]
+    rows = placed.join(groups, "node")
+    nodes = rows.join(_mixed(rows, keys), keys, "left_semi").select("node", "group").distinct()
+    own = stored(sets.join(nodes, "node").select("node", "group", "shingles"), "open-sets")
+    shared = own.sparkSession.sparkContext.broadcast(shingle_frequency(own))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = shared.value
+        for batch in batches:
+            lists = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.column("shingles")]
+            found = [rarest(x, frequency, similarity) for x in lists]
+            if not found:
+                continue
+            counts = [len(f) for f, _ in found]
+            row = np.repeat(np.arange(len(found)), counts)
+            place = np.concatenate([np.arange(n) for n in counts])
+            shown = place < np.repeat([k for _, k in found], counts)
+            flat = np.concatenate([f for f, _ in found]).view(np.int64)
+            sizes = np.array([len(x) for x in lists])[row]
+            nodes, own_groups = (batch.column(c).take(pa.array(row)) for c in ("node", "group"))
+            columns = [pa.array(flat), nodes, own_groups, pa.array(sizes), pa.array(place), pa.array(shown)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "node", "group", "size", "place", "shown"])
+
+    schema = "shingle long, node binary, group binary, size long, place long, shown boolean"
+    return stored(own.mapInArrow(prefixes, schema), "prefixes")
+
+
+def rare_pairs(prefixes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of different groups that can be alike, by an exact prefix filter with sizes and places.
+
+    Nodes meet under their rarest shingles, a larger one with those that the smaller shows to it. Where all of a shingle's nodes are of
+    one group there is nothing to do; elsewhere one of a pair is not of the largest group there.
+    """
+    met = prefixes.join(_mixed(prefixes, ["shingle"]), "shingle")
+    names = ["shingle", "node", "group", "size", "place", "main"]
+    larger = met.select(*(F.col(c).alias(f"x_{c}") for c in names))
+    smaller = met.filter("shown").select(*(F.col(c).alias(f"y_{c}") for c in names))
+    least = F.col("y_size") - F.col("y_place"), F.col("x_size") - F.col("x_place")
+    fits = (
+        (F.col("x_shingle") == F.col("y_shingle"))
+        & (F.col("x_group") != F.col("y_group"))
+        & (F.col("y_size") <= F.col("x_size"))
+        & (100 * F.col("y_size") >= similarity * F.col("x_size"))
+        & ((100 + similarity) * F.least(*least) >= similarity * (F.col("x_size") + F.col("y_size")))
     )
-    region = region.filter("n_groups > 1").select(
-        "tree", "label", F.col("largest.group").alias("largest"), "n", (F.col("n") - F.col("largest.n")).alias("n_minor")
+    apart = larger.filter("x_group != x_main").join(smaller, fits)
+    apart = apart.unionByName(larger.filter("x_group = x_main").join(smaller.filter("y_group != y_main"), fits))
+    ends = [F.struct(F.col(f"{c}_node").alias("node"), F.col(f"{c}_group").alias("group")) for c in "xy"]
+    pairs = apart.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()
+    return pairs.select(
+        F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.group").alias("ga"), F.col("q.group").alias("gb")
     )
-    mixed_rows = placed.join(region, ["tree", "label"])
-    blocks, minor_blocks = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_minor") / BLOCK)
-    own = F.xxhash64("node")
-    right = mixed_rows.select(
-        "tree", "label", "node", "group", F.lit(False).alias("minor_side"),
-        F.explode(F.sequence(F.lit(0).cast("long"), minor_blocks - 1)).alias("i"), F.pmod(own, blocks).alias("j"),
-    )
-    left = mixed_rows.filter("group != largest").select(
-        "tree", "label", "node", "group", F.lit(True).alias("minor_side"),
-        F.pmod(own, minor_blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"),
-    )
-    rows = left.unionByName(right).join(sets.select("node", "shingles"), "node")
-    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.repartition(parts, "tree", "label", "i", "j").sortWithinPartitions("tree", "label", "i", "j")
-    ordered = ordered.select("tree", "label", "i", "j", "node", "group", "minor_side", "shingles")
-    return ordered.mapInArrow(_tiles(similarity), "a binary, b binary")
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, group) after links between the groups ``ga`` and ``gb``."""
+    ties = _groups(links.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+    ties = ties.select(F.col("node").alias("group"), F.col("group").alias("whole"))
+    return groups.join(ties, "group", "left").select("node", F.coalesce("whole", "group").alias("group"))
 
 
 def _groups(links: DataFrame) -> DataFrame:
@@ -229,11 +278,12 @@ def near_duplicates(
     """Group of near-copies of each document: ``doc_id, n_shingles, component_id``, one row per row.
 
     Documents with the same set of shingles are one node, held by the smallest id. Nodes stand in
-    ``TREES`` sorted orders of their signatures. Rows with all ``DEPTH`` hashes of an order equal are a region; its rows are
-    candidates. Each node is first compared
-    with one smaller neighbour, if possible one that is its neighbour in several orders, on the full sets. Then all other pairs that share ``DEPTH`` hashes in
-    some tree are compared, unless links already tie them, so no cap on partners loses a link. A pair with
-    Jaccard 0.8 shares no four hashes in any of 16 trees with probability 0.0002, one with 0.9 with 1e-7.
+    ``TREES`` sorted orders of their minimum hashes. Rows that share ``DEPTH`` hashes in an order are a region. A node's
+    candidates are its neighbours there, with which it has the longest common prefix: it is compared with the one that is
+    its neighbour in most orders, by the longest prefix. Then nodes are compared with the leading node of the region's largest group, where large
+    regions are split by as many further hashes as their size takes. What no link ties yet in a region
+    of the least depth goes through an exact prefix filter, so no cap on partners loses a link. A pair with
+    Jaccard 0.8 shares no ``DEPTH`` hashes in any of 16 trees with probability 0.0002, one with 0.9 with 1e-7.
 
     Words are runs without white space, A-Z in lower case; fewer words than a shingle are one
     shingle. Documents without words or text have ``n_shingles`` 0 and are alone, as are null ids,
@@ -252,23 +302,29 @@ def _grouped(documents: DataFrame, key: str, text: str, shingle_words: int, simi
     known = signed.filter("doc_id is not null and n_shingles > 0")
     nodes = known.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("first"), F.first("labels").alias("labels"))
     ordered = forest(nodes.select("node", "labels"))
-    schema = "tree int, label long, node binary, before binary"
-    members = stored(ordered.select("tree", "label", "node").mapInArrow(_neighbours, schema), "regions")
+    schema = "tree int, label long, deeper long, node binary, before binary, depth int"
+    members = stored(ordered.mapInArrow(_neighbours, schema), "regions")
 
     firsts = known.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("first"))
     wanted = members.groupBy("node").agg(F.count("before").alias("n")).join(firsts, "node").select("node", "first")
     sets = stored(_full_sets(documents, wanted, key, text, shingle_words), "sets")
 
-    near = members.filter("before is not null").select(F.greatest("node", "before").alias("a"), F.least("node", "before").alias("b"))
-    near = near.groupBy("a", "b").agg((F.count(F.lit(1)) < OFTEN).alias("seldom"))
-    nearest = near.groupBy("a").agg(F.min(F.struct("seldom", "b"))["b"].alias("b"))
-    links = confirmed(nearest, sets, similarity)
-    groups = _groups(links)
-    rest = remaining_links(members, groups, sets, similarity)
-    merged = _groups(rest).select(F.col("node").alias("group"), F.col("group").alias("whole"))
-
-    node_groups = firsts.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    node_groups = node_groups.join(merged, "group", "left").withColumn("whole", F.coalesce("whole", "group"))
+    near = members.filter("before is not null").select(F.greatest("node", "before").alias("a"), F.least("node", "before").alias("b"), "depth")
+    near = near.groupBy("a", "b").agg((F.count(F.lit(1)) < OFTEN).alias("seldom"), (-F.max("depth")).alias("depth"))
+    nearest = near.groupBy("a").agg(F.min(F.struct("seldom", "depth", "b"))["b"].alias("b"))
+    linked = _groups(confirmed(nearest, sets, similarity))
+    groups = wanted.select("node").join(linked, "node", "left").select("node", F.coalesce("group", "node").alias("group"))
+    groups = stored(groups, "groups")
+    placed = stored(regions(members), "placed")
+    for _ in range(ROUNDS):
+        found = stored(confirmed(leader_pairs(placed, groups), sets, similarity), "links")
+        if found.isEmpty():
+            break
+        groups = stored(merged(groups, found), "groups")
+    found = stored(confirmed(rare_pairs(open_prefixes(placed, groups, sets, similarity), similarity), sets, similarity), "links")
+    groups = merged(groups, found)
+
+    node_groups = firsts.join(groups, "node", "left").withColumn("whole", F.coalesce("group", "node"))
     smallest = node_groups.groupBy("whole").agg(F.min("first").alias("component_id"))
     named = node_groups.join(smallest, "whole").select(F.col("node").alias("digest"), "whole", "component_id")
     rows = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
@@ -315,12 +371,13 @@ def drop_near_duplicates(
     single = least.filter("n = 1").select("doc_id", "text_hash").unionByName(wordless)
 
     named = documents.filter(F.col(key).isNotNull())
-    own = [F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_hash")]
-    keys = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    kept = named.select("*", *own).join(keys(single), ["_id", "_hash"]).select(*documents.columns)
+    number, digest, row = fresh(documents, "number", "digest", "row")
+    own = [F.col(key).cast("long").alias(number), F.xxhash64(text).alias(digest)]
+    keys = lambda df: df.select(F.col("doc_id").alias(number), F.col("text_hash").alias(digest))
+    kept = named.select("*", *own).join(keys(single), [number, digest]).select(*documents.columns)
     # Equal texts of one id are few as a rule; they collapse before they meet, however many rows one text has.
     plain = [f.name for f in documents.schema.fields if isinstance(f.dataType, T.AtomicType)]
-    repeated = named.select("*", *own).join(keys(least.filter("n > 1")), ["_id", "_hash"])
-    first = F.min_by(F.struct(*documents.columns), F.struct(*plain)).alias("row")
-    one = repeated.groupBy("_id", "_hash").agg(first).select("row.*")
+    repeated = named.select("*", *own).join(keys(least.filter("n > 1")), [number, digest])
+    first = F.min_by(F.struct(*documents.columns), F.struct(*plain)).alias(row)
+    one = repeated.groupBy(number, digest).agg(first).select(f"{row}.*")
     return kept.unionByName(one).unionByName(documents.filter(F.col(key).isNull()))

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,17 +261,68 @@ def test_groups_like_all_pairs(spark):
     assert {r.doc_id: r.component_id for r in got} == _components(word_sets(texts, 5))
 
 
-def test_all_rows_of_a_tile_are_compared(monkeypatch, spark):
-    """With tiny blocks and without the first comparison, the rest finds the same groups."""
+def test_filter_finds_all_links(monkeypatch, spark):
+    """Without the comparisons of neighbours and leaders, the filter of the rarest shingles finds the same groups."""
     rng = random.Random(7)
     base = words(rng, 80)
     texts = {i: " ".join(base[: 80 - i % 3] + [f"own{i}"] * (i % 2)) for i in range(60)}
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, sets, similarity: pairs.limit(0).select("a", "b"))
+    for i in range(60, 140):
+        own = words(rng, rng.choice([8, 40]), 60)
+        texts[i] = " ".join(own)
+        texts[i + 80] = " ".join(own[: rng.randrange(len(own) - 3, len(own) + 1)] + ["x"] * rng.randrange(3))
+    true = near_dedup.confirmed
+    monkeypatch.setattr(
+        near_dedup, "confirmed", lambda pairs, *rest: pairs.limit(0).select("a", "b") if pairs.columns == ["a", "b"] else true(pairs, *rest)
+    )
+    leaders = near_dedup.leader_pairs
+    monkeypatch.setattr(near_dedup, "leader_pairs", lambda *given: leaders(*given).limit(0))
     got = near_dedup.near_duplicates(documents(spark, [(i, t, "a") for i, t in texts.items()])).collect()
     assert {r.doc_id: r.component_id for r in got} == _components(word_sets(texts, 5))
 
 
+@pytest.mark.parametrize("similarity", [50, 80, 95])
+def test_sets_that_are_alike_share_a_rare_shingle(similarity):
+    rng = np.random.default_rng(similarity)
+    frequency = rng.integers(0, 50, 1 << near_dedup.BUCKET_BITS)
+    met = 0
+    for _ in range(3000):
+        pool = rng.integers(0, 1 << 63, rng.integers(2, 40), np.uint64) * np.uint64(2)
+        x, y = (np.unique(rng.choice(pool, rng.integers(1, len(pool) + 1))) for _ in "xy")
+        x, y = (x, y) if len(x) >= len(y) else (y, x)
+        shared = len(np.intersect1d(x, y))
+        if 100 * shared < similarity * (len(x) + len(y) - shared):
+            continue
+        met += 1
+        long, _ = near_dedup.rarest(x, frequency, similarity)
+        short, shown = near_dedup.rarest(y, frequency, similarity)
+        common = [(i, j) for i, a in enumerate(long) for j, b in enumerate(short[:shown]) if a == b]
+        assert any((100 + similarity) * min(len(x) - i, len(y) - j) >= similarity * (len(x) + len(y)) for i, j in common)
+    assert met > 20
+
+
+def test_texts_that_share_a_passage_make_no_pairs(monkeypatch, spark):
+    """Different texts around one passage stand in common regions; twice as many make twice the rows, not four times."""
+    rng = random.Random(17)
+    passage = words(rng, 60)
+    counted = []
+    true = near_dedup.rare_pairs
+    monkeypatch.setattr(near_dedup, "rare_pairs", lambda met, similarity: counted.append((met.count(), true(met, similarity).count())) or true(met, similarity))
+    for n in (150, 300):
+        texts = {i: " ".join(passage + [f"own{i}x{k}" for k in range(10)]) for i in range(n)}
+        got = near_dedup.near_duplicates(documents(spark, [(i, t, "a") for i, t in texts.items()])).collect()
+        assert all(r.component_id == r.doc_id for r in got)
+    (few, few_pairs), (many, many_pairs) = counted
+    assert many <= 2.3 * few and few > 0 and few_pairs == many_pairs == 0
+
+
+def test_regions_deepen_with_their_size(spark):
+    rows = [(1, 7, i << 40, bytes([i % 256, i // 256])) for i in range(600)] + [(1, 8, i << 40, bytes([i, 9])) for i in range(5)]
+    members = spark.createDataFrame(rows, "tree int, label long, deeper long, node binary")
+    depth = near_dedup.regions(members).groupBy("label").agg(F.countDistinct("deeper").alias("n")).collect()
+    assert {r.label: r.n for r in depth} == {8: 1, 7: len({i << 40 >> 48 >> 0 for i in range(600)})}
+    assert near_dedup.common_prefix(5, 5) == 4 and near_dedup.common_prefix(-1, 1) == 0 and near_dedup.common_prefix(1 << 47, 0) == 1
+
+
 def test_near_duplicates_of_odd_documents(spark):
     df = documents(spark, ODD + [(7, "ONE", "a"), (8, LONG + " end", "a")])
     rows = near_dedup.near_duplicates(df).collect()
