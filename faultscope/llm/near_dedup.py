@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,9 @@ ROUNDS = 2
 # Buckets in which shingles are counted for the order of the filter.
 BUCKET_BITS = 18
 STEP = 2048
+SLICE_ROWS = 256
+# A power of two: numbers of 64 bits in the parity of a set.
+PARITY_LONGS = 8
 
 OFFSETS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64))
 FACTORS = odd_constants(TREES * DEPTH, 6)
@@ -142,8 +146,8 @@ def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys under which several groups meet, with the largest group there and its smallest node."""
     counted = rows.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
     largest = F.max(F.struct("n", "group", "first")).alias("largest")
-    found = counted.groupBy(*keys).agg(largest, F.count(F.lit(1)).alias("n_groups")).filter("n_groups > 1")
-    return found.select(*keys, F.col("largest.group").alias("main"), F.col("largest.first").alias("leader"))
+    found = counted.groupBy(*keys).agg(largest, F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n")).filter("n_groups > 1")
+    return found.select(*keys, F.col("largest.group").alias("main"), F.col("largest.first").alias("leader"), "n")
 
 
 def regions(members: DataFrame) -> DataFrame:
@@ -159,7 +163,7 @@ def leader_pairs(placed: DataFrame, groups: DataFrame) -> DataFrame:
     """Each node beside the smallest node of its region's largest group, where it is not of that group: one pair per row."""
     keys = ["tree", "label", "deeper"]
     rows = placed.join(groups, "node")
-    met = rows.join(_mixed(rows, keys), keys).filter("group != main")
+    met = rows.join(_mixed(rows, keys).drop("n"), keys).filter("group != main")
     return met.select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("group").alias("ga"), F.col("main").alias("gb")).distinct()
 
 
@@ -173,8 +177,9 @@ def shingle_frequency(sets: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            flat = batch.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            np.add.at(total, _bucket(flat), 1)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                flat = batch.column("shingles").slice(at, SLICE_ROWS).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                total += np.bincount(_bucket(flat), minlength=len(total))
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["bucket", "n"])
 
@@ -198,21 +203,31 @@ def rarest(shingles: np.ndarray, frequency: np.ndarray, similarity: int) -> tupl
     return shingles[order[:kept]], shown
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """``PARITY_LONGS`` numbers whose bits say of each class of shingles whether the set holds an odd number of them.
+
+    Each shingle that only one of two sets holds changes one bit, so the sets differ in as many shingles at least as the bits do.
+    """
+    classes = np.bincount((shingles & np.uint64(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS)
+    return np.packbits((classes & 1).astype(np.uint8)).view(np.int64)
+
+
 def open_prefixes(placed: DataFrame, groups: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """``shingle, node, group, size, place, shown``: the rarest shingles of all nodes in regions with several groups."""
+    """``shingle, node, group, size, place, shown, bits``: the rarest shingles of all nodes in regions with several groups.
+
+    Two nodes that are alone in a region have met there as leader and other, and need no more.
+    """
     keys = ["tree", "label"]
     rows = placed.join(groups, "node")
-    nodes = rows.join(_mixed(rows, keys), keys, "left_semi").select("node", "group").distinct()
+    nodes = rows.join(_mixed(rows, keys).filter("n > 2"), keys, "left_semi").select("node", "group").distinct()
     own = stored(sets.join(nodes, "node").select("node", "group", "shingles"), "open-sets")
     shared = own.sparkSession.sparkContext.broadcast(shingle_frequency(own))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = shared.value
-        for batch in batches:
+        for batch in chain.from_iterable((b.slice(at, SLICE_ROWS) for at in range(0, b.num_rows, SLICE_ROWS)) for b in batches):
             lists = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.column("shingles")]
             found = [rarest(x, frequency, similarity) for x in lists]
-            if not found:
-                continue
             counts = [len(f) for f, _ in found]
             row = np.repeat(np.arange(len(found)), counts)
             place = np.concatenate([np.arange(n) for n in counts])
@@ -220,30 +235,33 @@ def open_prefixes(placed: DataFrame, groups: DataFrame, sets: DataFrame, similar
             flat = np.concatenate([f for f, _ in found]).view(np.int64)
             sizes = np.array([len(x) for x in lists])[row]
             nodes, own_groups = (batch.column(c).take(pa.array(row)) for c in ("node", "group"))
-            columns = [pa.array(flat), nodes, own_groups, pa.array(sizes), pa.array(place), pa.array(shown)]
-            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "node", "group", "size", "place", "shown"])
+            bits = pa.array([parity(x) for x in lists], pa.list_(pa.int64())).take(pa.array(row))
+            columns = [pa.array(flat), nodes, own_groups, pa.array(sizes), pa.array(place), pa.array(shown), bits]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "node", "group", "size", "place", "shown", "bits"])
 
-    schema = "shingle long, node binary, group binary, size long, place long, shown boolean"
+    schema = "shingle long, node binary, group binary, size long, place long, shown boolean, bits array<long>"
     return stored(own.mapInArrow(prefixes, schema), "prefixes")
 
 
 def rare_pairs(prefixes: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of different groups that can be alike, by an exact prefix filter with sizes and places.
+    """Pairs of different groups that can be alike, by an exact prefix filter with sizes, places and parities.
 
     Nodes meet under their rarest shingles, a larger one with those that the smaller shows to it. Where all of a shingle's nodes are of
     one group there is nothing to do; elsewhere one of a pair is not of the largest group there.
     """
-    met = prefixes.join(_mixed(prefixes, ["shingle"]), "shingle")
-    names = ["shingle", "node", "group", "size", "place", "main"]
+    met = prefixes.join(_mixed(prefixes, ["shingle"]).select("shingle", "main"), "shingle")
+    names = ["shingle", "node", "group", "size", "place", "bits", "main"]
     larger = met.select(*(F.col(c).alias(f"x_{c}") for c in names))
     smaller = met.filter("shown").select(*(F.col(c).alias(f"y_{c}") for c in names))
     least = F.col("y_size") - F.col("y_place"), F.col("x_size") - F.col("x_place")
+    apart_by = sum(F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("y_bits", F.lit(i)))) for i in range(PARITY_LONGS))
     fits = (
         (F.col("x_shingle") == F.col("y_shingle"))
         & (F.col("x_group") != F.col("y_group"))
         & (F.col("y_size") <= F.col("x_size"))
         & (100 * F.col("y_size") >= similarity * F.col("x_size"))
         & ((100 + similarity) * F.least(*least) >= similarity * (F.col("x_size") + F.col("y_size")))
+        & ((100 + similarity) * apart_by <= (100 - similarity) * (F.col("x_size") + F.col("y_size")))
     )
     apart = larger.filter("x_group != x_main").join(smaller, fits)
     apart = apart.unionByName(larger.filter("x_group = x_main").join(smaller.filter("y_group != y_main"), fits))
