@@ -374,58 +374,92 @@ def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list
     """Which nodes are on the source's side of a minimum cut.
 
     A node's gain is the capacity from the source if positive, and to the sink if negative (the
-    common part of both terminal capacities flows straight through). Maximum flow by shortest
-    augmenting paths; a part of the graph in which all gains have one sign needs none.
+    common part of both terminal capacities flows straight through). The maximum flow is found in phases of
+    shortest paths: each phase numbers the nodes by their distance to the sink once and saturates all shortest paths, which
+    are as short on a page as the few blocks that one block's gain can outweigh.
     """
     n = len(gains)
     if all(g <= 0 for g in gains) or all(g >= 0 for g in gains):
         return [any(g > 0 for g in gains)] * n
     if not edges:
         return [g > 0 for g in gains]
-    capacity: list[dict[int, float]] = [{} for _ in range(n)]
+    # Arcs 2k and 2k + 1 are edge k in both directions.
+    room: list[float] = []
+    ends: list[int] = []
+    arcs: list[list[int]] = [[] for _ in range(n)]
     for a, b, weight in edges:
-        capacity[a][b] = capacity[a].get(b, 0.0) + weight
-        capacity[b][a] = capacity[b].get(a, 0.0) + weight
+        arcs[a].append(len(ends))
+        arcs[b].append(len(ends) + 1)
+        ends += (b, a)
+        room += (weight, weight)
     left = list(gains)
     tiny = 1e-9
-    for source in range(n):
-        while left[source] > tiny:
-            came = {source: source}
-            queue = deque([source])
-            sink = -1
-            while queue and sink < 0:
-                a = queue.popleft()
-                for b, room in capacity[a].items():
-                    if room > tiny and b not in came:
-                        came[b] = a
-                        if left[b] < -tiny:
-                            sink = b
-                            break
-                        queue.append(b)
-            if sink < 0:
-                break
-            path, b = [], sink
-            while b != source:
-                path.append((came[b], b))
-                b = came[b]
-            flow = min(left[source], -left[sink], *(capacity[a][b] for a, b in path))
-            for a, b in path:
-                capacity[a][b] -= flow
-                capacity[b][a] += flow
-            left[source] -= flow
-            left[sink] += flow
+    while True:
+        distance = _distances(left, arcs, ends, room, tiny)
+        sources = [v for v in range(n) if left[v] > tiny and distance[v] >= 0]
+        if not sources:
+            break
+        following = [0] * n
+        for source in sources:
+            _push(source, left, arcs, ends, room, distance, following, tiny)
     # The source's side: all that can still be reached from nodes with capacity left.
     side = [g > tiny for g in left]
     queue = deque(i for i in range(n) if side[i])
     while queue:
-        a = queue.popleft()
-        for b, room in capacity[a].items():
-            if room > tiny and not side[b]:
+        for arc in arcs[queue.popleft()]:
+            b = ends[arc]
+            if room[arc] > tiny and not side[b]:
                 side[b] = True
                 queue.append(b)
     return side
 
 
+def _distances(left: list[float], arcs: list[list[int]], ends: list[int], room: list[float], tiny: float) -> list[int]:
+    """Steps from each node to one with capacity to the sink, over arcs with room; -1 where there is no way."""
+    distance = [0 if g < -tiny else -1 for g in left]
+    queue = deque(v for v, d in enumerate(distance) if not d)
+    while queue:
+        b = queue.popleft()
+        for arc in arcs[b]:
+            # The arc from the other end to this node is the twin.
+            a = ends[arc]
+            if distance[a] < 0 and room[arc ^ 1] > tiny:
+                distance[a] = distance[b] + 1
+                queue.append(a)
+    return distance
+
+
+def _push(source: int, left: list[float], arcs: list[list[int]], ends: list[int], room: list[float], distance: list[int], following: list[int], tiny: float) -> None:
+    """Send what the source has left along shortest paths; ``following`` skips the arcs of a node that lead nowhere in this phase."""
+    path: list[int] = []
+    node = source
+    while left[source] > tiny:
+        if distance[node] == 0 and left[node] < -tiny:
+            flow = min(left[source], -left[node], *(room[arc] for arc in path))
+            left[source] -= flow
+            left[node] += flow
+            for arc in path:
+                room[arc] -= flow
+                room[arc ^ 1] += flow
+            path, node = [], source
+            continue
+        # A sink that has taken all it can leads nowhere.
+        own = arcs[node] if distance[node] else []
+        while following[node] < len(own):
+            arc = own[following[node]]
+            if room[arc] > tiny and distance[ends[arc]] == distance[node] - 1:
+                break
+            following[node] += 1
+        if following[node] < len(own):
+            path.append(own[following[node]])
+            node = ends[path[-1]]
+        elif path:
+            node = ends[path.pop() ^ 1]
+            following[node] += 1
+        else:
+            return
+
+
 def terminal_costs(score: float) -> tuple[float, float]:
     """Cost of calling a block boilerplate, and of calling it main text: its losses under the classifier."""
     boilerplate = math.log1p(math.exp(min(score, 30.0)))
@@ -433,18 +467,19 @@ def terminal_costs(score: float) -> tuple[float, float]:
 
 
 def main_text(html: str | None) -> str:
-    """The main text of a page: its blocks on the content side of the cut, joined by newlines."""
+    """The main text of a page: its blocks on the content side of the cut, joined by two newlines."""
     if not html:
         return ""
     blocks = page_blocks(html)
     weigh_doubts(blocks)
     costs = [terminal_costs(evidence(b)) for b in blocks]
     kept = minimum_cut([lost - taken for lost, taken in costs], smoothness_edges(blocks))
-    return "\n".join(b.text for b, keep in zip(blocks, kept) if keep)
+    return "\n\n".join(b.text for b, keep in zip(blocks, kept) if keep)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
-    """Add the main text of every page; all other columns but ``html`` pass unchanged. No shuffle.
+    """Add the main text of every page, its blocks joined by two newlines; all other columns but ``html`` pass unchanged, a
+    column named as the text is replaced. No shuffle.
 
     Each page is a graph of its own: blocks are nodes, the classifier's costs are their terminal
     capacities, neighbourhood on the page and in the tree are smoothness edges, and the minimum cut

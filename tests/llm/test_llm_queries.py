@@ -127,4 +127,4 @@ def test_main_texts(spark):
         article = re.search(r"<article>(.*?)(</article>|$)", pages[r["page_id"]], re.S)[1]
         blocks = re.split(r"</?(?:p|h1)>", article.replace("<br>", " "))
         plain = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
-        assert r["text"] == "\n".join(b for b in plain if b) and r["n_chars"] == len(r["text"])
+        assert r["text"] == "\n\n".join(b for b in plain if b) and r["n_chars"] == len(r["text"])
