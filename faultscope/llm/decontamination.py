@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultscope.llm.arrow_columns import with_text_columns
+from faultscope.llm.names import fresh
 from faultscope.llm.words import hashed, mixed, odd_constants
 
 # A mask says which of the words in a row are hashed (1) and which may differ (0).
@@ -176,8 +177,9 @@ def find_overlaps(
     short_words: int = SHORT_WORDS,
     similarity: float = SIMILARITY,
     block_words: int = BLOCK_WORDS,
+    name: str = "overlaps",
 ) -> DataFrame:
-    """Add ``overlaps``: for each benchmark item that a text overlaps, the longest overlap (words from 0).
+    """Add ``overlaps``, or a column of another ``name``, in place of one of that name: for each benchmark item that a text overlaps, the longest overlap (words from 0).
 
     An overlap is a run of words of the text beside as many words of an item, place by place, of
     which at least the share ``similarity`` is equal, and which has ``min_words`` words, or the
@@ -196,7 +198,6 @@ def find_overlaps(
     sized = items.filter("text is not null").withColumn("size", F.size(F.split("text", r"\s+")) + unspaced)
     total = sized.agg(F.sum("size")).first()[0] or 0
     n_blocks = -(-total // block_words)
-    name = "overlaps"
     found = documents.drop(name).withColumn(name, F.array().cast(T.ArrayType(OVERLAP)))
     for block in range(n_blocks):
         here = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
@@ -207,17 +208,19 @@ def find_overlaps(
 
 def _pass(found: DataFrame, rows: list, text: str, masks: tuple[str, ...], limits: tuple, name: str) -> DataFrame:
     shared = found.sparkSession.sparkContext.broadcast(rows)
-    field = T.StructField("_more", T.ArrayType(OVERLAP))
+    [own] = fresh(found, "more")
+    field = T.StructField(own, T.ArrayType(OVERLAP))
 
     def start():
         return _searcher(SeedTable(shared.value, masks, *limits[:2]), *limits)
 
     more = with_text_columns(found, text, [field], start)
-    joined = F.array_sort(F.concat(name, "_more"))
-    return more.withColumn(name, joined).drop("_more")
+    joined = F.array_sort(F.concat(name, own))
+    return more.withColumn(name, joined).drop(own)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that overlap no benchmark item, with their own columns."""
-    found = find_overlaps(documents, benchmark, text, **options)
-    return found.filter(F.size("overlaps") == 0).select(*documents.columns)
+    [name] = fresh(documents, "overlaps")
+    found = find_overlaps(documents, benchmark, text, name=name, **options)
+    return found.filter(F.size(name) == 0).select(*documents.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultscope.llm.names import fresh
 from faultscope.session import stored
 
 # Lines of fewer code points are compared for equality only: one edit changes what they say.
@@ -237,14 +238,15 @@ def removed_lines(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
 def drop_repeated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with ``text`` less its removed lines; all other columns and blank lines stay, null texts stay null."""
+    doc, digest, removed = fresh(documents, "doc", "digest", "removed")
     gone = removed_lines(documents, key, text).select(
-        F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("removed").alias("_removed")
+        F.col("doc_id").alias(doc), F.col("digest").alias(digest), F.col("removed").alias(removed)
     )
-    gone = gone.filter(F.size("_removed") > 0).distinct()
-    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    joined = documents.join(gone, F.col(key).eqNullSafe(F.col("_doc")) & (digest == F.col("_digest")), "left")
+    gone = gone.filter(F.size(removed) > 0).distinct()
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    joined = documents.join(gone, F.col(key).eqNullSafe(F.col(doc)) & (own == F.col(digest)), "left")
     lines = F.split(F.col(text), "\n")
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
     left = F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
-    left = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(left)
+    left = F.when(F.col(removed).isNull(), F.col(text)).otherwise(left)
     return joined.select(*[left.alias(text) if c == text else F.col(c) for c in documents.columns])

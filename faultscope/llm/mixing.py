@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultscope.llm.names import fresh
 from faultscope.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -119,12 +120,13 @@ def repeat_documents(documents: DataFrame, key: str = "doc_id", text: str = "tex
 
     Rows that share a key share the copies that ``mix`` gives to all of them, as evenly as they divide.
     """
-    taken = mix(documents, key=key, text=text, **options).groupBy(F.col("doc_id").alias("_taken_id")).agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
+    named, copies, rows, place, times = fresh(documents, "named", "copies", "rows", "place", "times")
+    taken = mix(documents, key=key, text=text, **options).groupBy(F.col("doc_id").alias(named)).agg(
+        F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)
     )
-    joined = documents.join(taken, F.col(key).eqNullSafe(F.col("_taken_id")))
-    place = F.row_number().over(Window.partitionBy("_taken_id").orderBy(F.xxhash64(text)))
-    share = F.floor(F.col("_copies") / F.col("_rows")).cast("int")
-    more = (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("int")
-    shared = joined.withColumn("_place", place).withColumn("_times", share + more).filter("_times > 0")
-    return shared.select(*documents.columns, F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*documents.columns)
+    joined = documents.join(taken, F.col(key).eqNullSafe(F.col(named)))
+    order = F.row_number().over(Window.partitionBy(named).orderBy(F.xxhash64(text)))
+    share = F.floor(F.col(copies) / F.col(rows)).cast("int")
+    more = (F.col(place) <= F.col(copies) % F.col(rows)).cast("int")
+    shared = joined.withColumn(place, order).withColumn(times, share + more).filter(F.col(times) > 0)
+    return shared.select(*documents.columns, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*documents.columns)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultscope.llm.names import fresh
+
 # 13 hex digits are 52 bits: a uniform number strictly between 0 and 1 without rounding.
 DIGITS = 13
 SLICE_DIGITS = 3
@@ -46,11 +48,12 @@ def assign_shards(
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
     columns = [c for c in records.columns if c not in ("shard", "grown_shard")]
-    placed = records.select(*columns, best_shard(F.col(key), weights).alias("_best"))
-    out = [*columns, F.col("_best.shard").cast("int").alias("shard")]
+    [best] = fresh(records, "best")
+    placed = records.select(*columns, best_shard(F.col(key), weights).alias(best))
+    out = [*columns, F.col(f"{best}.shard").cast("int").alias("shard")]
     if grown_weight is not None:
         cost = _cost(F.col(key), F.lit(len(weights)), F.lit(float(grown_weight)))
-        grown = F.when(cost < F.col("_best.cost"), F.lit(len(weights))).otherwise(F.col("_best.shard"))
+        grown = F.when(cost < F.col(f"{best}.cost"), F.lit(len(weights))).otherwise(F.col(f"{best}.shard"))
         out.append(grown.cast("int").alias("grown_shard"))
     return placed.select(*out)
 
@@ -63,14 +66,15 @@ def add_slots(records: DataFrame, key: str = "doc_id", tie: Sequence[str] = ())
     and in ``tie`` take their slots in any order.
     """
     columns = [c for c in records.columns if c != "slot"]
+    own, part, of, named, n, first, place = fresh(records, "digest", "part", "of", "named", "n", "first", "place")
     digest = _digest(F.col(key), F.lit("slot"))
-    sliced = records.select(*columns, digest.alias("_digest"), F.substring(digest, 1, SLICE_DIGITS).alias("_slice"))
-    counts = sliced.groupBy("shard", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    first = F.sum("_n").over(Window.partitionBy("_of").orderBy("_named")) - F.col("_n")
-    starts = counts.select(F.col("shard").alias("_of"), F.col("_slice").alias("_named"), "_n").withColumn("_first", first)
-    placed = sliced.join(starts, (F.col("shard") == F.col("_of")) & (F.col("_slice") == F.col("_named")))
-    place = F.row_number().over(Window.partitionBy("shard", "_slice").orderBy("_digest", *tie)) - 1
-    return placed.withColumn("_place", place).select(*columns, (F.col("_first") + F.col("_place")).alias("slot"))
+    sliced = records.select(*columns, digest.alias(own), F.substring(digest, 1, SLICE_DIGITS).alias(part))
+    counts = sliced.groupBy("shard", part).agg(F.count(F.lit(1)).alias(n))
+    before = F.sum(n).over(Window.partitionBy(of).orderBy(named)) - F.col(n)
+    starts = counts.select(F.col("shard").alias(of), F.col(part).alias(named), n).withColumn(first, before)
+    placed = sliced.join(starts, (F.col("shard") == F.col(of)) & (F.col(part) == F.col(named)))
+    within = F.row_number().over(Window.partitionBy("shard", part).orderBy(own, *tie)) - 1
+    return placed.withColumn(place, within).select(*columns, (F.col(first) + F.col(place)).alias("slot"))
 
 
 def write_shards(records: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultscope.llm.arrow_columns import text_slices, with_text_columns
+from faultscope.llm.names import fresh
 
 # Terms for groups of people, by what can be swapped. A neutral word is in each list, so that a mere
 # mention must score as a text without one.
@@ -261,5 +262,6 @@ def score_texts(documents: DataFrame, model: Model, text: str = "text", name: st
 
 def drop_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
-    scored = score_texts(documents, model, name="_toxicity")
-    return scored.filter(F.col("_toxicity") < threshold).select(*documents.columns)
+    [name] = fresh(documents, "toxicity")
+    scored = score_texts(documents, model, name=name)
+    return scored.filter(F.col(name) < threshold).select(*documents.columns)

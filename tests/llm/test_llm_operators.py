@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -351,6 +352,43 @@ def test_rows_that_share_an_id_replace_only_copies(spark):
     assert near_dedup.drop_near_duplicates(many).count() == 61
 
 
+# --- names of helper columns
+
+
+HELPERS = (
+    "_best _digest _slice _n _of _named _first _place _taken_id _copies _rows _times _doc _removed _more _toxicity _id _hash "
+    "best digest slice n of named first place taken copies rows times doc removed more toxicity number row overlaps marked _marked"
+).split()
+
+
+def test_columns_of_any_name_stay(spark):
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, 30)) for _ in range(12)]
+    rows = [(i, texts[i % 12] + "\n" + "a line that stands in all of them", f"s{i % 2}", len(texts[i % 12])) for i in range(16)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    items = spark.createDataFrame([(1, texts[3])], "item_id long, text string")
+    model = toxicity.Model(("v1",), (1.0,), -3.0)
+    cases = {
+        "drop_repeated_lines": line_dedup.drop_repeated_lines,
+        "drop_toxic": lambda df: toxicity.drop_toxic(df, model),
+        "decontaminate": lambda df: decontamination.decontaminate(df, items),
+        "drop_near_duplicates": near_dedup.drop_near_duplicates,
+        "repeat_documents": mixing.repeat_documents,
+        "assign_shards": lambda df: sharding.assign_shards(df, [1.0, 2.0], grown_weight=1.0),
+        "add_slots": lambda df: sharding.add_slots(df.withColumn("shard", F.lit(0))),
+    }
+    wide = base
+    for k, name in enumerate(HELPERS):
+        wide = wide.withColumn(name, F.concat(F.lit(f"{k} "), F.col("doc_id").cast("string")))
+    for name, function in cases.items():
+        plain = sorted((r.doc_id, r.text) for r in function(base).collect())
+        out = function(wide)
+        assert out.columns[: len(wide.columns)] == wide.columns, name
+        got = out.collect()
+        assert sorted((r.doc_id, r.text) for r in got) == plain and plain, name
+        assert all(r[helper] == f"{k} {r.doc_id}" for r in got for k, helper in enumerate(HELPERS)), name
+
+
 # --- sample
 
 
@@ -519,10 +557,10 @@ PAGES = {
     "and this is a long sentence about that.</div><div class='content'><h1>Title</h1><p>First &amp; paragraph text which is long "
     "enough.<p>Second\n one.<div class='ad'>Buy our product for a low price, really low, no kidding at all.</div><p>Third</div>"
     "<div class=comments><p>Nice article, I liked it very much indeed, thank you.</p></div></body>":
-        "Title\nFirst & paragraph text which is long enough.\nSecond one.\nThird",
+        "Title\n\nFirst & paragraph text which is long enough.\n\nSecond one.\n\nThird",
     "<article><p>a<b>b</b>&nbsp; c<!-- x > --> d<script>1<2</script>e</p><aside>no</aside><form>x<p>long</p></form><ul><li>one"
     "<li>two</ul><section class=comments><article class=comment><p>hi there</p></article></section></article><footer>f":
-        "ab c de\none\ntwo",
+        "ab c de\n\none\n\ntwo",
     "<article><p title='a > b'>x &lt;p&gt; y": "x <p> y",
     "<script>var t='</p>';": "",
     "<nav><a>x</a></nav>": "",
@@ -559,9 +597,9 @@ def test_wrappers(wrapper):
             if inner == paragraphs and within + beside:
                 continue
             html = f"<nav><a>x</a></nav><{wrapper}>{inner}{within}</{end}>{beside}<footer>{paragraphs}</footer>"
-            assert html_extraction.main_text(html).split("\n") == SENTENCES
+            assert html_extraction.main_text(html).split("\n\n") == SENTENCES
     assert html_extraction.main_text(f"<{wrapper}><article><p>Short.</p></article></{end}>") == "Short."
-    assert html_extraction.main_text(f"<article>{paragraphs}</article><{wrapper}><p>{'Box. ' * 30}</p></{end}>").split("\n") == SENTENCES
+    assert html_extraction.main_text(f"<article>{paragraphs}</article><{wrapper}><p>{'Box. ' * 30}</p></{end}>").split("\n\n") == SENTENCES
 
 
 def test_drawings_and_formulas():
@@ -575,12 +613,35 @@ def test_drawings_and_formulas():
         "<math><mrow>x<p>One</p></math><p>Two</p>": ["x", "One", "Two"],
         "<SVG Class='i'/>One<p>Two": ["One", "Two"],
     }.items():
-        assert html_extraction.main_text(f"<article>{page}</article><footer>no</footer>").split("\n") == texts
+        assert html_extraction.main_text(f"<article>{page}</article><footer>no</footer>").split("\n\n") == texts
 
 
 def test_long_page():
     body = "".join(f"<p>Paragraph number {i} of a long text.</p>" for i in range(5000))
-    assert html_extraction.main_text(f"<nav>{'<a>x</a>' * 1000}</nav><article>{body}</article>").count("\n") == 4999
+    assert html_extraction.main_text(f"<nav>{'<a>x</a>' * 1000}</nav><article>{body}</article>").count("\n\n") == 4999
+
+
+@pytest.mark.parametrize("blocks", ["<p>{long}</p><p>a</p>", "<div>{long}</div><div>b</div><p>c</p>", "<div><div>{long}</div>d</div>"])
+def test_cut_of_long_pages_is_fast(blocks):
+    """Long and short blocks in turn, without an article: many sources and sinks, and time in proportion to them."""
+    part = blocks.format(long="Words of a block that is as long as a sentence or two. " * 3)
+    page = html_extraction.page_blocks(part * 8000)
+    html_extraction.weigh_doubts(page)
+    costs = [html_extraction.terminal_costs(html_extraction.evidence(b)) for b in page]
+    gains = [lost - taken for lost, taken in costs]
+    assert min(gains) < 0 < max(gains) and len(gains) >= 16000
+    began = time.process_time()
+    html_extraction.minimum_cut(gains, html_extraction.smoothness_edges(page))
+    assert time.process_time() - began < 2
+
+
+def test_cut_of_long_runs_is_fast():
+    for n, period in ((8000, 2), (8000, 50), (8000, 4000)):
+        gains = [0.3 if i % period < period / 2 else -0.31 for i in range(n)]
+        edges = [(i, i + 1, 1.0) for i in range(n - 1)] + [(i, i + 2, 0.5) for i in range(0, n - 2, 3)]
+        began = time.process_time()
+        html_extraction.minimum_cut(gains, edges)
+        assert time.process_time() - began < 2
 
 
 def test_cut_is_minimal():
