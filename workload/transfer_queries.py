@@ -14,6 +14,7 @@ from faultscope.plans import issue_registration as registration
 from faultscope.plans import transfer_loading as plan
 from faultscope.session import scratch_path
 from faultscope.sources import files
+from faultscope.streaming import registration as sreg
 from workload import fixtures as fix
 from workload.fixtures import oracle
 
@@ -143,13 +144,17 @@ def categorise_issues(spark: SparkSession, folder: str) -> DataFrame:
     return categories
 
 
+def _templated(spark: SparkSession, folder: str) -> DataFrame:
+    return fix.messages(spark, folder).withColumn(
+        "t__error_message", F.regexp_replace("t__error_message", "(process|host 10.0.|/data/f) ?[0-9]+", "$1#")
+    )
+
+
 def register_issues(spark: SparkSession, folder: str) -> DataFrame:
     """Issues of both halves of the month registered one after the other into stored tables: the
     issues per category, and the category's amount."""
     path = scratch_path(spark, "registration")
-    log = fix.messages(spark, folder).withColumn(
-        "t__error_message", F.regexp_replace("t__error_message", "(process|host 10.0.|/data/f) ?[0-9]+", "$1#")
-    )
+    log = _templated(spark, folder)
     first = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
     stored = spark.createDataFrame([], registration.ISSUE_SCHEMA)
     categories = spark.createDataFrame([], registration.CATEGORY_SCHEMA)
@@ -165,6 +170,26 @@ def register_issues(spark: SparkSession, folder: str) -> DataFrame:
     return categories.join(issues, "regex", "left").select("regex", "amount", "n_issues")
 
 
+def stream_register(spark: SparkSession, folder: str, edges: tuple[str, ...] = ("2024-01-16",)) -> DataFrame:
+    """The log arriving as one file per part of the month, registered file by file against the stored index: as ``register_issues``."""
+    source, path = scratch_path(spark, "arriving"), scratch_path(spark, "registered")
+    log = _templated(spark, folder)
+    columns = F.struct(*[f.name for f in files.TRANSFER_FIELDS if f.name != "vo"]).alias("data")
+    bounds = [None, *[F.lit(e).cast("timestamp") for e in edges], None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = log if low is None else log.filter(F.col("ts") >= low)
+        part = part if high is None else part.filter(F.col("ts") < high)
+        # One file is one batch; files arrive in this order.
+        part.withColumn("timestamp_tr_comp", F.unix_millis("ts")).select(columns).coalesce(1).write.mode("append").json(source)
+    issues_of = lambda rows: tra.sum_by_key(tra.transfer_error_counts(rows))
+    sreg.register_stream(
+        spark, source, path, f"{path}/checkpoint", issues_of, "msg_id", now=lambda batch: F.lit(NOW), maxFilesPerTrigger=1
+    ).awaitTermination()
+    stored, categories = sreg.registered(spark, path)
+    issues = stored.groupBy(F.col("category").alias("regex")).agg(F.count("*").alias("n_issues"))
+    return categories.join(issues, "regex", "left").select("regex", "amount", "n_issues")
+
+
 def best_category(spark: SparkSession, folder: str) -> DataFrame:
     """Failed transfers against the first message stored about each page, by matching blocks."""
     log = fix.messages(spark, folder)
@@ -182,6 +207,7 @@ QUERIES = {
         failed_transfers, transfer_errors, site_fallback, log_issues, link_efficiency,
         link_efficiency_window, top_reason, link_issues, upsert_issues, category_amounts,
         search_issues, parse_date, similar_category, best_category, categorise_issues, register_issues,
+        stream_register,
     )
 }
 
