@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,67 @@ def test_boosted_importance_recovers_the_planted_value(spark):
     assert (top["feature"], top["value"]) == ("COMPUTINGSITE", "S2")
 
 
+def plain_boosting(rows, features, rounds, rate, l2=importance.LEAF_WEIGHT):
+    """Boosted stumps, split by split, over cells (values, t_failed, t_success, v_failed, v_success): importances and rounds kept."""
+    x = [[r[f] for f in features] for r in rows]
+    failed, n = (np.array(c, float) for c in ([r["t_failed"] for r in rows], [r["t_failed"] + r["t_success"] for r in rows]))
+    held = np.array([(r["v_failed"], r["v_success"]) for r in rows], float)
+    score, losses, splits = np.zeros(len(rows)), [], []
+    for number in range(rounds + 1):
+        losses.append((held[:, 0] * np.logaddexp(0, -score) + held[:, 1] * np.logaddexp(0, score)).sum())
+        p = 1 / (1 + np.exp(-score))
+        g, h = failed - n * p, n * p * (1 - p)
+        best = None
+        for k in range(len(features)):
+            for value in sorted({v[k] for v in x}):
+                inside = np.array([v[k] == value for v in x])
+                if 0 < n[inside].sum() < n.sum():
+                    gl, hl = g[inside].sum(), h[inside].sum()
+                    gr, hr = g.sum() - gl, h.sum() - hl
+                    gain = gl**2 / (hl + l2) + gr**2 / (hr + l2) - g.sum() ** 2 / (h.sum() + l2)
+                    rank = (-round(gain, importance.DECIMALS), k, value)
+                    if best is None or rank < best[0]:
+                        best = rank, gain, inside, rate * gl / (hl + l2), rate * gr / (hr + l2)
+        if number == rounds or best is None or best[1] <= 0:
+            break
+        (_, k, value), _, inside, a, b = best
+        score += np.where(inside, a, b)
+        splits.append((features[k], value, (a - b) ** 2 * n[inside].sum() * n[~inside].sum() / n.sum()))
+    kept = int(np.argmin(losses)) if held.sum() else len(splits)
+    weights = {}
+    for f, v, w in splits[:kept]:
+        weights[f, v] = weights.get((f, v), 0.0) + w
+    total = sum(weights.values())
+    return {k: 100 * w / total for k, w in weights.items() if total}, kept
+
+
+def test_boosting_is_that_of_single_rows(spark):
+    """Several slices at once, each like a plain version; slices of one kind have no rows."""
+    rng = random.Random(8)
+    rows = []
+    for name, cause in (("a", ("A", "1")), ("b", ("B", "2")), ("noise", None), ("few", ("A", "0"))):
+        for _ in range(12 if name == "few" else 80):
+            values = dict(A=str(rng.randrange(4)), B=str(rng.randrange(5)), C=rng.choice(["x", "Not specified"]))
+            bad = rng.random() < (0.8 if cause and values[cause[0]] == cause[1] else 0.2)
+            rows.append((name, *values.values(), rng.randrange(30) * bad, rng.randrange(30) * (not bad)))
+    rows += [("only", "1", "1", "x", 5, 0), ("only", "2", "1", "x", 7, 0)]
+    features = ["A", "B", "C"]
+    cells = spark.createDataFrame(rows, "slice string, A string, B string, C string, n_failed bigint, n_success bigint")
+    divided = importance.divided_cells(cells, features, 0.9).collect()
+    assert 0.05 < sum(r.v_failed + r.v_success for r in divided) / sum(r[-1] + r[-2] for r in rows) < 0.15
+    for rounds, rate in ((12, 0.3), (3, 0.01)):
+        got = importance.boost_cells(cells, features, rounds, rate).collect()
+        assert "only" not in {r.slice for r in got}
+        for name in ("a", "b", "noise", "few"):
+            want, kept = plain_boosting([r for r in divided if r.slice == name], features, rounds, rate)
+            mine = [r for r in got if r.slice == name]
+            assert {(r.feature, r.value): pytest.approx(r.importance) for r in mine} == want
+            assert {r.rounds for r in mine} == ({kept} if want else set())
+    top = max((r for r in got if r.slice == "a"), key=lambda r: r.importance)
+    assert (top.feature, top.value) == ("A", "1")
+    assert importance.boost_cells(cells.limit(0), features, 3).collect() == []
+
+
 def issue_frame(spark, maps, extra=""):
     rows = [(i, m, minutes(0), minutes(600)) for i, m in maps.items()]
     return spark.createDataFrame(rows, "issue_id bigint, features map<string,string>, window_start timestamp, window_end timestamp")
