@@ -29,6 +29,9 @@ METRICS_SCHEMA = "run string, k int, wsse double, silhouette double, seconds dou
 # Cluster of messages without any known word.
 NO_CLUSTER = -1
 
+# Numbers in all centroids of a model that is sent to the tasks: 160 MB.
+MOST_NUMBERS = 20_000_000
+
 
 @dataclass(frozen=True)
 class ClusterModel:
@@ -256,9 +259,15 @@ def nearest_centroid(
 ) -> DataFrame:
     """Adds ``cluster`` and ``distance`` of the nearest centroid (smallest cluster on ties).
 
-    The centroids are the K rows of a model, at most thousands of numbers; the vectors stream
-    past them in Arrow batches, one matrix product each. Zero vectors get cluster -1.
+    The centroids are the K rows of a model and go with the tasks, ``MOST_NUMBERS`` in all at most; the vectors stream
+    past them in Arrow batches, one matrix product each. Zero vectors get cluster -1, and all do where there is no centroid.
     """
+    held = centers.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()[0]
+    if held > MOST_NUMBERS:
+        raise ValueError(f"centroids of {held} numbers are more than a task should hold")
+    if not held:
+        none = F.lit(NO_CLUSTER).alias("cluster"), F.lit(None).cast("double").alias("distance")
+        return vectors.select(*vectors.columns, *none)
     rows = centers.orderBy("cluster").select("cluster", "centroid").collect()
     names = np.array([r["cluster"] for r in rows])
     matrix = np.array([r["centroid"] for r in rows], dtype=np.float64)

@@ -29,9 +29,11 @@ def overlapping_issues(
 
 
 def issue_features(issues: DataFrame, meta: DataFrame) -> DataFrame:
-    """Issues with their key/value rows as one ``features`` map; issues without any drop out."""
-    features = meta.groupBy("issue_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_set(F.struct("key", "value")))).alias("features")
+    """Issues with their key/value rows as one ``features`` map; issues without any drop out. Of several values of
+    a key the greatest counts."""
+    single = meta.groupBy("issue_id", "key").agg(F.max("value").alias("value"))
+    features = single.groupBy("issue_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("features")
     )
     return issues.join(features, "issue_id")
 

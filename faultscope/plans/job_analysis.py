@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from faultscope.operators import issues as iss
 from faultscope.operators import jobs as job
 from faultscope.session import cut_lineage, stored
-from faultscope.sources import stores
+from faultscope.sources import files, stores
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,7 @@ def run_job_cycle(
     now: datetime.datetime | None = None,
     site_col: str = "SITE",
 ) -> int:
-    """One cycle over the jobs of a window: open a session, analyse, store issues, features and
+    """One cycle over the jobs of a window, which end after its start and start before its end (see ``job_window``): open a session, analyse, store issues, features and
     ticks, stamp the session's end, and remove the sessions finished before. Returns the session's id.
 
     The end is stamped before the earlier sessions go, so a reader always finds a finished one;
@@ -134,7 +134,8 @@ def run_job_cycle(
     known = sessions.select("session_id", F.col("analysis_finished").isNotNull().alias("done")).collect()
     session_id = max((r["session_id"] for r in known), default=0) + 1
     stores.write_session(spark, path, session_id, start, end)
-    analysis = analyse_jobs(jobs.filter(F.col("ENDTIME").between(F.lit(start), F.lit(end))), settings, site_col)
+    window = files.job_window(jobs, start, end, label=None, has_modification_time=False, unstarted=True)
+    analysis = analyse_jobs(window, settings, site_col)
     stores.write_issue_store(analysis.issues, analysis.ticks, path, session_id)
     finished = now or datetime.datetime.now(datetime.timezone.utc)
     stores.write_session(spark, path, session_id, start, end, finished)

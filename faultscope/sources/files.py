@@ -136,12 +136,16 @@ def job_window(
     date_to: datetime.datetime,
     label: str | None = "managed",
     has_modification_time: bool = True,
+    unstarted: bool = False,
 ) -> DataFrame:
+    """Finished and failed jobs that end after the window's start and start before its end. With ``unstarted``, jobs that failed
+    before they started count by their end; else they drop out."""
+    begun = F.coalesce("STARTTIME", "ENDTIME") if unstarted else F.col("STARTTIME")
     condition = (
         F.col("JOBSTATUS").isin("failed", "finished")
         & F.col("ENDTIME").isNotNull()
         & (F.col("ENDTIME") > F.lit(date_from))
-        & (F.col("STARTTIME") < F.lit(date_to))
+        & (begun < F.lit(date_to))
     )
     if label is not None:
         condition &= F.col("PRODSOURCELABEL") == label

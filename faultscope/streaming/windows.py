@@ -39,8 +39,10 @@ def failure_windows(
     )
 
 
-def link_windows(transfers: DataFrame, hours: int = 1, lateness: str = "1 hour") -> DataFrame:
-    """Files done and in total per link in hourly windows."""
+def link_windows(transfers: DataFrame, hours: int = 1, lateness: str = "1 hour", state: str | None = None) -> DataFrame:
+    """Files done and in total per link in hourly windows, of one activity if its ``state`` is given."""
+    if state is not None:
+        transfers = transfers.filter(F.col("state") == state)
     return (
         transfers.withWatermark("ts", lateness)
         .groupBy("src_site", "dst_site", F.window("ts", f"{hours} hours").alias("window"))
@@ -51,6 +53,33 @@ def link_windows(transfers: DataFrame, hours: int = 1, lateness: str = "1 hour")
     )
 
 
+def reason_windows(transfers: DataFrame, activity: str, hours: int = 1, lateness: str = "1 hour") -> DataFrame:
+    """Failures of an activity per link, window and reason; the state is a number per reason that a link has in an open window."""
+    failed = transfers.filter((F.col("event_type") == f"{activity}-failed") & F.col("reason").isNotNull())
+    return (
+        failed.withWatermark("ts", lateness)
+        .groupBy("src_site", "dst_site", "reason", F.window("ts", f"{hours} hours").alias("window"))
+        .agg(F.count("*").alias("amount"))
+        .select("src_site", "dst_site", F.col("window.start").alias("hour"), "reason", "amount")
+    )
+
+
+def window_issues(
+    links: DataFrame, reasons: DataFrame, activity: str, min_files: int = tra.MIN_FILES, max_percent: float = tra.MAX_EFFICIENCY
+) -> DataFrame:
+    """Issues of inefficient links per window, with the most frequent reason there (the first by name on ties).
+
+    ``links`` and ``reasons`` are what the streams of ``link_windows`` and ``reason_windows`` have led to.
+    """
+    bad = tra.inefficient(links, min_files, max_percent).select("src_site", "dst_site", "hour")
+    rank = F.struct(-F.col("amount"), F.col("reason"))
+    top = reasons.groupBy("src_site", "dst_site", "hour").agg(F.min_by(F.struct("reason", "amount"), rank).alias("top"))
+    return bad.join(top, ["src_site", "dst_site", "hour"]).select(
+        "hour", F.col("top.reason").alias("message"), F.col("top.amount").alias("amount"), "dst_site", "src_site",
+        F.lit(f"{activity}-failure").alias("type"),
+    )
+
+
 def write_updates(
     stream: DataFrame,
     path: str,

@@ -19,6 +19,8 @@ from faultscope.plans.stages import (
 )
 from faultscope.session import cut_lineage, scratch_path
 from faultscope.sources import stores
+from faultscope.streaming import clustering as clu_stream
+from faultscope.streaming.windows import stream_files
 from workload import fixtures as fix
 from workload.fixtures import oracle
 from workload.text_queries import ABSTRACT_CTE, token_ctes
@@ -119,6 +121,25 @@ def updated_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return sized.withColumn("x", F.round("x", 4))
 
 
+FOLLOW = clu_stream.FollowSettings(threshold=0.5, new_clusters=3, decay=0.9)
+
+
+def stream_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Centroids of the first five labels that follow all vectors, which arrive in three files: their final state."""
+    source, path = scratch_path(spark, "arriving"), scratch_path(spark, "centroids")
+    vectors = fix.table(spark, folder, "embeddings").select("vec_id", "embedding")
+    for k in range(3):
+        vectors.filter(F.col("vec_id") % 3 == k).coalesce(1).write.mode("append").parquet(source)
+    store = clu_stream.CentroidStore(spark, path)
+    store.write(_centers(spark, folder).filter("cluster < 5"), -1)
+    stream = stream_files(spark, source, vectors.schema, maxFilesPerTrigger=1)
+    clu_stream.follow_stream(stream, path, f"{path}/checkpoint", "vec_id", "embedding", FOLLOW).awaitTermination()
+    sizes = store.predictions().groupBy(F.col("cluster").alias("given")).agg(F.count("*").alias("n_given"))
+    final = store.read().join(sizes, F.col("cluster") == F.col("given"), "left")
+    sized = final.select("cluster", F.round("size", 4).alias("size"), "n_given", F.posexplode("centroid").alias("dim", "x"))
+    return sized.withColumn("x", F.round("x", 4))
+
+
 # Smaller models than the defaults: 8 dimensions, few initial steps and iterations. The embedding
 # is trained in as many tasks as the session shuffles to.
 SETTINGS = plan.ClusterSettings(
@@ -225,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_mean, centroids, nearest_centroid, nearest_centroid_euclidean, cluster_quality,
-        best_k, metric_curve, predict_update, updated_centroids, word2vec_kmeans, training_metrics,
+        best_k, metric_curve, predict_update, updated_centroids, stream_clusters, word2vec_kmeans, training_metrics,
         message_analysis, clustering_run, token_stages, pipeline_clusters,
     )
 }

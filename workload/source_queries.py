@@ -133,6 +133,32 @@ def stream_link_efficiency(spark: SparkSession, folder: str) -> DataFrame:
     return stw.inefficient_windows(windows, 2, 20)
 
 
+def stream_link_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Issues of inefficient links per hour for both activities, from two streams each; the log arrives in two files, so the
+    second has late rows of the first's last hours."""
+    source = scratch_path(spark, "transfers")
+    events = fix.table(spark, folder, "events").select(*[c.split()[0] for c in EVENTS.split(", ")])
+    late = F.col("event_id") % 2 == 1
+    for part in (events.filter(~late), events.filter(late)):
+        part.coalesce(1).write.mode("append").parquet(source)
+    issues = None
+    for activity in ("transfer", "deletion"):
+        path = scratch_path(spark, "link-issues")
+        streams = {
+            "links": (lambda t: stw.link_windows(t, lateness="60 days", state=activity), ["src_site", "dst_site", "hour"]),
+            "reasons": (lambda t: stw.reason_windows(t, activity, lateness="60 days"), ["src_site", "dst_site", "hour", "reason"]),
+        }
+        final = {}
+        for name, (windows, keys) in streams.items():
+            arriving = stw.stream_files(spark, source, spark.createDataFrame([], EVENTS).schema, maxFilesPerTrigger=1)
+            out = f"{path}/{name}"
+            stw.write_updates(windows(fix.transfers_of(arriving)), out, f"{path}/checkpoint-{name}").awaitTermination()
+            final[name] = stw.read_updates(spark, out, keys)
+        found = stw.window_issues(final["links"], final["reasons"], activity, 1, 40)
+        issues = found if issues is None else issues.unionByName(found)
+    return issues
+
+
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """The log arriving as files, loaded as a stream, and the issue table it leads to."""
     source = scratch_path(spark, "arriving")
@@ -155,7 +181,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_scan, json_dir_scan, day_paths, typed_fetch, snapshot_load, registry_documents,
-        load_days, stream_ticks, stream_link_efficiency, stream_ingest, batch_ticks,
+        load_days, stream_ticks, stream_link_efficiency, stream_link_issues, stream_ingest, batch_ticks,
     )
 }
 
@@ -205,6 +231,18 @@ FROM events WHERE event_type = 'error' GROUP BY ALL""",
         """SELECT src_site, dst_site, date_trunc('hour', ts) AS hour, CAST(sum(files_done) AS BIGINT) AS files_done,
   CAST(sum(files_total) AS BIGINT) AS files_total FROM transfers GROUP BY ALL
 HAVING sum(files_total) > 2 AND 100.0 * sum(files_done) / sum(files_total) < 20""",
+    ),
+    "stream_link_issues": oracle(
+        "transfers",
+        """hours AS (SELECT *, date_trunc('hour', ts) AS hour FROM transfers),
+links AS (SELECT src_site, dst_site, hour, state FROM hours GROUP BY ALL
+  HAVING sum(files_total) > 1 AND 100.0 * sum(files_done) / sum(files_total) < 40),
+counts AS (SELECT src_site, dst_site, hour, event_type, reason, count(*) AS amount FROM hours
+  WHERE reason IS NOT NULL AND event_type LIKE '%-failed' GROUP BY ALL),
+first_reason AS (
+  SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY src_site, dst_site, hour, event_type ORDER BY amount DESC, reason) = 1)
+SELECT l.hour, reason AS message, amount, l.dst_site, l.src_site, l.state || '-failure' AS type FROM links l
+JOIN first_reason r ON r.src_site = l.src_site AND r.dst_site = l.dst_site AND r.hour = l.hour AND r.event_type = l.state || '-failed'""",
     ),
     "stream_ingest": oracle("messages site_registry", _loaded("regexp_replace(t__error_message, '[0-9]+', '#', 'g')")),
     "batch_ticks": oracle(
