@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultscope.operators import clustering as clu
+from faultscope.operators import cooccurrence as cooc
 from faultscope.operators import messages as msg
 from faultscope.plans import message_clustering as plan
 from faultscope.plans.stages import (
@@ -121,6 +122,34 @@ def updated_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return sized.withColumn("x", F.round("x", 4))
 
 
+def _pair_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Words beside words, counted for the first half of the month and then added up with the second."""
+    log = fix.messages(spark, folder)
+    tokens = F.filter(F.split(F.lower("t__error_message"), r"\s+"), lambda w: w != "")
+    first = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    path = scratch_path(spark, "pairs")
+    for name, half in (("first", first), ("second", ~first)):
+        said = log.filter(half).select(tokens.alias("tokens"))
+        cooc.pair_counts(said, "tokens", 3).write.parquet(f"{path}/{name}")
+    return cooc.add_counts(spark.read.parquet(f"{path}/first"), spark.read.parquet(f"{path}/second"))
+
+
+def pair_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _pair_counts(spark, folder)
+
+
+def shifted_ppmi(spark: SparkSession, folder: str) -> DataFrame:
+    rated = cooc.shifted_ppmi(_pair_counts(spark, folder), min_count=50, shift=1.5)
+    return rated.select("word", "context", F.round("value", 6).alias("value"))
+
+
+def word_directions(spark: SparkSession, folder: str) -> DataFrame:
+    """Words along the three leading directions of their PMI, without signs."""
+    rated = cooc.shifted_ppmi(_pair_counts(spark, folder), min_count=50, shift=1.5)
+    vectors = cooc.word_vectors(rated, 3, rounds=8)
+    return vectors.select("word", F.posexplode("vector").alias("dim", "x")).select("word", "dim", F.round(F.abs("x"), 4).alias("x"))
+
+
 FOLLOW = clu_stream.FollowSettings(threshold=0.5, new_clusters=3, decay=0.9)
 
 
@@ -200,12 +229,13 @@ def training_metrics(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def analysed(spark: SparkSession, folder: str) -> tuple[plan.ClusterResult, DataFrame]:
+    return plan.analyse_messages(fix.messages(spark, folder), settings=SETTINGS, n_rank=3)
+
+
 def message_analysis(spark: SparkSession, folder: str) -> DataFrame:
-    """From raw messages to the summary of their clusters: messages in it, and clusters without a first pattern."""
-    log = fix.messages(spark, folder)
-    _, summary = plan.analyse_messages(log, settings=SETTINGS, n_rank=3)
-    clusters = summary.groupBy("prediction").agg(F.max("n_messages").alias("n"), F.min("rank_pattern").alias("first"))
-    return clusters.agg(F.sum("n").alias("n_messages"), F.count_if(F.col("first") != 1).alias("n_without"))
+    """From raw messages to the summary of their clusters: the first three patterns, sources and destinations of each."""
+    return analysed(spark, folder)[1].drop("clust_UUID", "model_ref")
 
 
 def clustering_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,18 +265,23 @@ def token_stages(spark: SparkSession, folder: str) -> DataFrame:
     return Pipeline(stages=stages).fit(log).transform(log).select("msg_id", "kept_text", "pattern_text")
 
 
-def pipeline_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages in one of four clusters, or in -1."""
+def fitted_pipeline(spark: SparkSession, folder: str) -> tuple[PipelineModel, DataFrame]:
     log = fix.messages(spark, folder).select("msg_id", "t__error_message")
-    model = clustering_pipeline(4, SETTINGS).fit(log)
-    return model.transform(log).agg(F.count_if(F.col("prediction").between(-1, 3)).alias("n_messages"))
+    return clustering_pipeline(4, SETTINGS).fit(log), log
+
+
+def pipeline_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages in each of four clusters, and in -1."""
+    model, log = fitted_pipeline(spark, folder)
+    return model.transform(log).groupBy("prediction").agg(F.count("*").alias("n_messages"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         vector_mean, centroids, nearest_centroid, nearest_centroid_euclidean, cluster_quality,
-        best_k, metric_curve, predict_update, updated_centroids, stream_clusters, word2vec_kmeans, training_metrics,
+        best_k, metric_curve, predict_update, updated_centroids, stream_clusters,
+        pair_counts, shifted_ppmi, word_directions, word2vec_kmeans, training_metrics,
         message_analysis, clustering_run, token_stages, pipeline_clusters,
     )
 }
@@ -272,12 +307,30 @@ WITH metrics AS (
   SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS k, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 2) AS wsse,
     round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) / 100, 6) AS silhouette FROM events GROUP BY ALL)"""
 
+_PAIRS = r"""said AS (
+  SELECT msg_id, list_filter(string_split_regex(lower(t__error_message), '\s+'), lambda x: x <> '') AS t FROM messages),
+place AS (SELECT msg_id, unnest(t) AS word, unnest(range(len(t))) AS at FROM said),
+pairs AS (
+  SELECT a.word, b.word AS context, count(*) AS n FROM place a JOIN place b
+  ON a.msg_id = b.msg_id AND a.at <> b.at AND abs(a.at - b.at) <= 3 GROUP BY ALL)"""
+
 SQL = {
+    "pair_counts": oracle("messages", _PAIRS + " SELECT * FROM pairs"),
+    "shifted_ppmi": oracle(
+        "messages",
+        _PAIRS
+        + """,
+often AS (SELECT word FROM pairs GROUP BY word HAVING sum(n) >= 50),
+kept AS (SELECT * FROM pairs WHERE word IN (SELECT word FROM often) AND context IN (SELECT word FROM often)),
+totals AS (SELECT word, sum(n) AS total FROM kept GROUP BY word),
+rated AS (
+  SELECT k.word, context, ln(n::DOUBLE * (SELECT sum(n) FROM kept) / (a.total::DOUBLE * b.total)) - ln(1.5) AS value
+  FROM kept k JOIN totals a ON a.word = k.word JOIN totals b ON b.word = k.context)
+SELECT word, context, round(value, 6) AS value FROM rated WHERE value > 0""",
+    ),
     "word2vec_kmeans": "SELECT count(*) AS n_messages, count(*) AS n_nearest FROM events",
     "training_metrics": "SELECT 'search' AS run, k, true AS bounded_wsse, true AS same_silhouette FROM (VALUES (2), (4), (6)) v(k)",
-    "message_analysis": "SELECT count(*) AS n_messages, CAST(0 AS BIGINT) AS n_without FROM events",
     "clustering_run": "SELECT count(*) AS n_messages, count(*) AS n_same, CAST(2 AS BIGINT) AS n_runs, CAST(4 AS BIGINT) AS n_models FROM events",
-    "pipeline_clusters": "SELECT count(*) AS n_messages FROM events",
     "token_stages": oracle(
         "messages",
         token_ctes("messages", "msg_id", "t__error_message")
