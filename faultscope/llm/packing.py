@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -23,6 +24,9 @@ WORD_END = tuple(".!?…")
 ANYWHERE = frozenset("。！？｡")
 CLOSING = "\"'”’»)]}"
 SPECIAL = "<|"
+# Words whose pieces need no offsets: Latin letters, which neither normal forms nor lower case turn into several pieces (that
+# of U+0130 has a mark), and marks of ASCII behind them, which are one piece.
+PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[!-/:-@\[-`{-~]*").fullmatch
 CHUNK = 1 << 20
 
 
@@ -58,6 +62,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        entries = self.tokenizer.get_vocab()
+        # The last token of each piece that the tokenizer splits a word into.
+        self.closes = np.zeros(max(entries.values()) + 1, bool)
+        self.closes[[number for token, number in entries.items() if token.endswith("</w>")]] = True
         self.most = most
         self._clear()
 
@@ -90,6 +98,17 @@ class WordEncoder:
         word = np.searchsorted(first + sizes, ends)
         return np.array(found.ids, np.uint32), sizes, ends - first[word], np.bincount(word, minlength=len(words))
 
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for words that ``PLAIN`` matches, found by the tokens that close a piece."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        pieces = np.fromiter((1 if w[-1].isalpha() else 2 for w in words), np.int64, len(words))
+        upto = np.flatnonzero(self.closes[ids])[np.cumsum(pieces) - 1] + 1
+        sizes = np.diff(upto, prepend=0)
+        ended = np.zeros(len(words), bool)
+        marked = np.flatnonzero(pieces == 2)
+        ended[marked] = [words[k].rstrip(CLOSING).endswith(WORD_END) for k in marked.tolist()]
+        return ids, sizes, sizes[ended], ended.astype(np.int64)
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids and the sorted places (numbers of ids) where a sentence ends."""
         parts: list[list[tuple]] = [[] for _ in texts]
@@ -126,7 +145,12 @@ class WordEncoder:
             else:
                 words += chunk.replace("\n", " \n ").split(" ")
             bounds.append(len(words))
-        self._learn(list(set(words).difference(self.known, special)), self._encode)
+        plain: list[str] = []
+        rest: list[str] = []
+        for word in set(words).difference(self.known, special):
+            (plain if PLAIN(word) else rest).append(word)
+        self._learn(plain, self._encode_plain)
+        self._learn(rest, self._encode)
         for key in special:
             self._learn([key], lambda keys: self._encode(list(keys[0])))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
