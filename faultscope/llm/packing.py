@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import deque
@@ -171,6 +172,8 @@ class WordEncoder:
 @lru_cache(maxsize=1)
 def _encoder(vocabulary: str) -> WordEncoder:
     """The encoder of a Python worker, with the words that its earlier tasks have met."""
+    # A task has one core; the library would start a pool of threads, each with memory of its own.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordEncoder(vocabulary)
 
 
