@@ -174,18 +174,27 @@ def search_issues(
     ``order_by`` may start with ``-``; ties are in id order. ``page=None`` gives all rows.
     """
     found = issues
-    if issue_id is not None:
-        found = found.filter(F.col("id") == issue_id)
     if message is not None:
         found = found.filter(F.contains(F.lower("message"), F.lower(F.lit(message))))
+    found = filter_issues(found, issue_id, categories).orderBy(*sort_order(order_by))
+    if page is None:
+        return found
+    return found.offset((page - 1) * page_size).limit(page_size)
+
+
+def filter_issues(issues: DataFrame, issue_id: int | None, categories: list[int] | str | None) -> DataFrame:
+    """Issues by id and categories (list or comma-separated)."""
+    if issue_id is not None:
+        issues = issues.filter(F.col("id") == issue_id)
     if categories is not None:
         listed = categories.split(",") if isinstance(categories, str) else categories
-        found = found.filter(F.col("category").isin([int(c) for c in listed]))
+        issues = issues.filter(F.col("category").isin([int(c) for c in listed]))
+    return issues
+
+
+def sort_order(order_by: str) -> list[Column]:
+    """The column, descending after a ``-``, then the id."""
     column = order_by.lstrip("-")
     if column not in SORT_COLUMNS:
         raise ValueError(f"cannot order by {column}")
-    order = F.desc(column) if order_by.startswith("-") else F.asc(column)
-    found = found.orderBy(order, "id")
-    if page is None:
-        return found
-    return found.offset((page - 1) * page_size).limit(page_size)
+    return [F.desc(column) if order_by.startswith("-") else F.asc(column), F.asc("id")]

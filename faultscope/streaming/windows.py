@@ -31,9 +31,24 @@ def failure_windows(
     failures: DataFrame, keys: list[str], minutes: int = 15, lateness: str = "15 minutes"
 ) -> DataFrame:
     """Loss and number of failed jobs per key in tumbling windows."""
+    return _failure_sums(failures.withWatermark("ENDTIME", lateness), keys, minutes)
+
+
+def closed_failure_windows(
+    failures: DataFrame, keys: list[str], id_col: str, minutes: int = 15, lateness: str = "15 minutes"
+) -> DataFrame:
+    """The same for append mode: each window comes once, when the watermark has passed its end, and is final then.
+
+    A job that is reported again within the lateness counts once; rows behind the watermark are left out. The
+    state holds the open windows and the ids of one lateness.
+    """
+    once = failures.withWatermark("ENDTIME", lateness).dropDuplicatesWithinWatermark([id_col])
+    return _failure_sums(once, keys, minutes)
+
+
+def _failure_sums(failures: DataFrame, keys: list[str], minutes: int) -> DataFrame:
     return (
-        failures.withWatermark("ENDTIME", lateness)
-        .groupBy(*keys, F.window("ENDTIME", f"{minutes} minutes").alias("window"))
+        failures.groupBy(*keys, F.window("ENDTIME", f"{minutes} minutes").alias("window"))
         .agg(F.sum("LOSTWALLTIME").alias("walltime_loss"), F.count("*").alias("nfailed_jobs"))
         .select(*keys, F.col("window.start").alias("tick_time"), "walltime_loss", "nfailed_jobs")
     )

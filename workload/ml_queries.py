@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultscope.operators import clustering as clu
 from faultscope.operators import cooccurrence as cooc
 from faultscope.operators import messages as msg
+from faultscope.operators.k_search import search_shared
 from faultscope.plans import message_clustering as plan
 from faultscope.plans.stages import (
     Detokenizer,
@@ -229,6 +230,14 @@ def training_metrics(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def shared_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Models of four K over all embeddings, advanced together."""
+    features = _vectors(spark, folder).select(array_to_vector("embedding").alias("features"))
+    models = search_shared(features, [2, 3, 5, 8], max_iter=10)
+    rows = [(m.k, m.steps, round(m.wsse, 6), round(m.silhouette, 6)) for m in models]
+    return spark.createDataFrame(rows, "k int, steps int, wsse double, silhouette double")
+
+
 def analysed(spark: SparkSession, folder: str) -> tuple[plan.ClusterResult, DataFrame]:
     return plan.analyse_messages(fix.messages(spark, folder), settings=SETTINGS, n_rank=3)
 
@@ -281,7 +290,7 @@ QUERIES = {
     for f in (
         vector_mean, centroids, nearest_centroid, nearest_centroid_euclidean, cluster_quality,
         best_k, metric_curve, predict_update, updated_centroids, stream_clusters,
-        pair_counts, shifted_ppmi, word_directions, word2vec_kmeans, training_metrics,
+        pair_counts, shifted_ppmi, word_directions, word2vec_kmeans, training_metrics, shared_search,
         message_analysis, clustering_run, token_stages, pipeline_clusters,
     )
 }

@@ -87,6 +87,20 @@ def retention(spark: SparkSession, folder: str) -> DataFrame:
     return ticks.groupBy("issue_id").agg(F.count("*").alias("n_ticks"))
 
 
+def retention_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """What a stored tree of issues holds after the late ones are deleted, in all its tables; a child without its issue would be a row."""
+    path = scratch_path(spark, "retention")
+    session = F.floor(F.col("issue_id") / 300).cast("bigint")
+    tables = {"issues": fix.issues, "issue_meta": fix.issue_meta, "issue_ticks": fix.issue_ticks}
+    stores.write_tables({name: rows(spark, folder).withColumn("session_id", session) for name, rows in tables.items()}, path)
+    stores.delete_issues(spark, path, FROM)
+    left = stores.read_issue_store(spark, path)
+    counted = left["issues"].select("issue_id", "session_id", "observation_started")
+    for name, count in (("issue_ticks", "n_ticks"), ("issue_meta", "n_features")):
+        counted = counted.join(left[name].groupBy("issue_id").agg(F.count("*").alias(count)), "issue_id", "full_outer")
+    return counted
+
+
 def issue_store(spark: SparkSession, folder: str) -> DataFrame:
     """Issues written to the store and read back."""
     base = rep.issue_features(fix.issues(spark, folder), fix.issue_meta(spark, folder))
@@ -179,7 +193,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         issue_filter, issue_features, observation_rollup, merged_issues, issue_report,
-        issue_report_fails, issue_histogram, session_replace, retention, issue_store, json_report,
+        issue_report_fails, issue_histogram, session_replace, retention, retention_delete, issue_store, json_report,
         iso_json, key_violations, choice_violations, orphans, constraint_run,
     )
 }
@@ -260,6 +274,13 @@ WHERE day(observation_started) = (SELECT max(d) FROM session WHERE d < (SELECT m
         "issues",
         """SELECT t.issue_id, count(*) AS n_ticks FROM issue_ticks t JOIN issues i ON i.issue_id = t.issue_id
 WHERE observation_started <= TIMESTAMP '2024-01-05 00:00:00' GROUP BY t.issue_id""",
+    ),
+    "retention_delete": oracle(
+        "issues issue_meta",
+        """SELECT issue_id, issue_id // 300 AS session_id, observation_started,
+  (SELECT count(*) FROM issue_ticks t WHERE t.issue_id = i.issue_id) AS n_ticks,
+  (SELECT count(*) FROM issue_meta m WHERE m.issue_id = i.issue_id) AS n_features
+FROM issues i WHERE observation_started <= TIMESTAMP '2024-01-05 00:00:00'""",
     ),
     "issue_store": oracle(
         _S,

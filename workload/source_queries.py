@@ -14,10 +14,17 @@ from faultscope.plans import transfer_loading
 from faultscope.session import scratch_path
 from faultscope.sources import files
 from faultscope.streaming import windows as stw
+from faultscope.streaming.days import DayTable
 from workload import fixtures as fix
 from workload.fixtures import oracle
 
 LOG_COLUMNS = [f.name for f in files.TRANSFER_FIELDS if f.name != "vo"]
+TICK_COLUMNS = [
+    "concat('SITE_', user_id % 8) AS computingsite",
+    "ts AS ENDTIME",
+    "CASE WHEN event_type = 'error' THEN 'failed' ELSE 'finished' END AS JOBSTATUS",
+    "CAST(value AS DECIMAL(18,2)) AS LOSTWALLTIME",
+]
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -112,12 +119,7 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_ticks(spark: SparkSession, folder: str) -> DataFrame:
     """Failed jobs per site as a stream: the final state of all windows."""
-    events = _event_stream(spark, folder).selectExpr(
-        "concat('SITE_', user_id % 8) AS computingsite",
-        "ts AS ENDTIME",
-        "CASE WHEN event_type = 'error' THEN 'failed' ELSE 'finished' END AS JOBSTATUS",
-        "CAST(value AS DECIMAL(18,2)) AS LOSTWALLTIME",
-    )
+    events = _event_stream(spark, folder).selectExpr(*TICK_COLUMNS)
     ticks = stw.failure_windows(stw.failed_jobs(events), ["computingsite"])
     path = scratch_path(spark, "ticks")
     stw.write_updates(ticks, f"{path}/out", f"{path}/checkpoint").awaitTermination()
@@ -125,6 +127,28 @@ def stream_ticks(spark: SparkSession, folder: str) -> DataFrame:
     return final.withColumn("walltime_loss", F.col("walltime_loss").cast("double"))
 
 
+def closed_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """Failed jobs per site in windows that are over, in three files: the second repeats the last hour of the first and a third of its
+    own jobs, the last has jobs of the first days, which come too late. Read from the merged folders of some days."""
+    path = scratch_path(spark, "closed-ticks")
+    events = fix.table(spark, folder, "events").select(*[c.split()[0] for c in EVENTS.split(", ")])
+    late = (F.col("event_id") % 50 == 7) & (F.col("ts") < "2024-01-05")
+    first = events.filter((F.col("ts") < "2024-01-12") & ~late)
+    second = events.filter((F.col("ts") >= "2024-01-12") & (F.col("ts") < "2024-01-20"))
+    again = second.filter("event_id % 3 = 0").unionByName(first.filter(F.col("ts") >= "2024-01-11 23:00:00"))
+    last = events.filter((F.col("ts") >= "2024-01-20") | late)
+    for part in (first, second.unionByName(again), last):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/source")
+    arriving = stw.stream_files(spark, f"{path}/source", spark.createDataFrame([], EVENTS).schema, maxFilesPerTrigger=1)
+    jobs = arriving.selectExpr("event_id AS PANDAID", *TICK_COLUMNS)
+    ticks = stw.closed_failure_windows(stw.failed_jobs(jobs), ["computingsite"], "PANDAID")
+    table = DayTable(spark, f"{path}/ticks", "computingsite string, tick_time timestamp, walltime_loss decimal(28,2), nfailed_jobs bigint", "tick_time")
+    table.follow(ticks, f"{path}/checkpoint").awaitTermination()
+    table.compact()
+    final = table.read(datetime.date(2024, 1, 3), datetime.date(2024, 1, 31))
+    return final.withColumn("walltime_loss", F.col("walltime_loss").cast("double"))
+
+
 def stream_link_efficiency(spark: SparkSession, folder: str) -> DataFrame:
     transfers = fix.transfers_of(_event_stream(spark, folder))
     path = scratch_path(spark, "links")
@@ -181,7 +205,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_scan, json_dir_scan, day_paths, typed_fetch, snapshot_load, registry_documents,
-        load_days, stream_ticks, stream_link_efficiency, stream_link_issues, stream_ingest, batch_ticks,
+        load_days, stream_ticks, closed_ticks, stream_link_efficiency, stream_link_issues, stream_ingest, batch_ticks,
     )
 }
 
@@ -226,6 +250,12 @@ WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00
     "stream_ticks": """SELECT 'SITE_' || (user_id % 8) AS computingsite, time_bucket(INTERVAL 15 MINUTE, ts) AS tick_time,
   CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS walltime_loss, count(*) AS nfailed_jobs
 FROM events WHERE event_type = 'error' GROUP BY ALL""",
+    "closed_ticks": """WITH failed AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) AS tick_time FROM events
+  WHERE event_type = 'error' AND NOT (event_id % 50 = 7 AND ts < TIMESTAMP '2024-01-05 00:00:00'))
+SELECT 'SITE_' || (user_id % 8) AS computingsite, tick_time, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS walltime_loss,
+  count(*) AS nfailed_jobs FROM failed
+WHERE tick_time >= TIMESTAMP '2024-01-03 00:00:00' AND tick_time < TIMESTAMP '2024-02-01 00:00:00'
+  AND tick_time + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM failed) GROUP BY ALL""",
     "stream_link_efficiency": oracle(
         "transfers",
         """SELECT src_site, dst_site, date_trunc('hour', ts) AS hour, CAST(sum(files_done) AS BIGINT) AS files_done,

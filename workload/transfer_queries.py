@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import datetime
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultscope.functions import values
+from faultscope.operators import search
 from faultscope.operators import similarity as sml
 from faultscope.operators import transfers as tra
 from faultscope.plans import issue_registration as registration
 from faultscope.plans import transfer_loading as plan
-from faultscope.session import scratch_path
+from faultscope.session import cut_lineage, scratch_path
 from faultscope.sources import files
 from faultscope.streaming import registration as sreg
 from workload import fixtures as fix
 from workload.fixtures import oracle
 
+PARTS = ["HOST 10.0.7.1", "process 12 /DATA", "click 500", "r1", "no such part"]
 NOW = datetime.datetime(2024, 2, 1)
 
 
@@ -97,8 +100,8 @@ def category_amounts(spark: SparkSession, folder: str) -> DataFrame:
     return tra.add_category_amounts(categories, incoming.withColumnRenamed("message", "category"), F.lit(NOW))
 
 
-def search_issues(spark: SparkSession, folder: str) -> DataFrame:
-    issues = fix.messages(spark, folder).select(
+def _stored_issues(spark: SparkSession, folder: str) -> DataFrame:
+    return fix.messages(spark, folder).select(
         F.col("msg_id").alias("id"),
         F.col("t__error_message").alias("message"),
         (F.col("msg_id") % 7).alias("category"),
@@ -106,10 +109,39 @@ def search_issues(spark: SparkSession, folder: str) -> DataFrame:
         F.col("dst_site_name").alias("dst_site"),
         F.col("ts").alias("last_modified"),
     )
+
+
+def search_issues(spark: SparkSession, folder: str) -> DataFrame:
+    issues = _stored_issues(spark, folder)
     found = tra.search_issues(issues, message="transfer ERROR", categories="1,2,5", order_by="-last_modified", page=2)
     return found.select("id", "category", "last_modified")
 
 
+def _index(spark: SparkSession, folder: str) -> search.IssueIndex:
+    index = search.IssueIndex(spark, scratch_path(spark, "issue-index"), buckets=16)
+    index.build(_stored_issues(spark, folder))
+    return index
+
+
+def search_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages 1, 2 and 6 of a search through the index, each from its first key on, and the one that follows page 2."""
+    order = "-last_modified"
+    found = _index(spark, folder).search(message="transfer ERROR", categories="1,2,5")
+    bounds = cut_lineage(search.page_bounds(found, order))
+    pages = {number: search.page(found, bounds, number, order) for number in (1, 2, 6)}
+    last = pages[2].orderBy("last_modified", F.desc("id")).first()
+    pages[3] = search.next_page(found, last["last_modified"], last["id"], order) if last else found.limit(0)
+    rows = [page.select(F.lit(number).alias("page"), "id", "category", "last_modified") for number, page in pages.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+def search_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Issues whose message contains each of some parts, by the index: common, rare and short ones, and one that none has."""
+    index = _index(spark, folder)
+    rows = [index.search(message=part).select(F.lit(part).alias("part"), "id") for part in PARTS]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 def parse_date(spark: SparkSession, folder: str) -> DataFrame:
     events = fix.table(spark, folder, "events")
     texts = events.select(
@@ -206,7 +238,7 @@ QUERIES = {
     for f in (
         failed_transfers, transfer_errors, site_fallback, log_issues, link_efficiency,
         link_efficiency_window, top_reason, link_issues, upsert_issues, category_amounts,
-        search_issues, parse_date, similar_category, best_category, categorise_issues, register_issues,
+        search_issues, search_pages, search_parts, parse_date, similar_category, best_category, categorise_issues, register_issues,
         stream_register,
     )
 }
@@ -301,6 +333,16 @@ SELECT message AS category, CAST(sum(amount) AS BIGINT) AS amount, max(t) AS las
         """SELECT msg_id AS id, msg_id % 7 AS category, ts AS last_modified FROM messages
 WHERE t__error_message ILIKE '%transfer error%' AND msg_id % 7 IN (1, 2, 5) ORDER BY ts DESC, msg_id LIMIT 100 OFFSET 100""",
     ),
+    "search_pages": oracle(
+        "messages",
+        """found AS (SELECT msg_id AS id, msg_id % 7 AS category, ts AS last_modified, row_number() OVER (ORDER BY ts DESC, msg_id) - 1 AS place
+  FROM messages WHERE t__error_message ILIKE '%transfer error%' AND msg_id % 7 IN (1, 2, 5))
+SELECT CAST(place // 100 + 1 AS INT) AS page, id, category, last_modified FROM found WHERE place // 100 + 1 IN (1, 2, 3, 6)""",
+    ),
+    "search_parts": oracle(
+        "messages",
+        f"""SELECT part, msg_id AS id FROM messages, unnest({PARTS}) p(part) WHERE contains(lower(t__error_message), lower(part))""",
+    ),
     "parse_date": """
 WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%d.%m.%Y')
   WHEN 2 THEN strftime(ts, '%d/%m/%Y') ELSE strftime(ts, '%m-%Y') END AS text FROM events)
