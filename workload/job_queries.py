@@ -100,6 +100,16 @@ def job_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _lower(rows.select("PANDAID", "JEDITASKID", "JOBSTATUS", "ENDTIME", "SITE"))
 
 
+def job_scan_managed(spark: SparkSession, folder: str) -> DataFrame:
+    """The scan with its own predicates: managed jobs that were modified since the window's start."""
+    jobs = fix.jobs(spark, folder).withColumns({
+        "PRODSOURCELABEL": F.when(F.col("PANDAID") % 3 != 0, "managed").when(F.col("PANDAID") % 2 == 0, "user"),
+        "MODIFICATIONTIME": F.col("ENDTIME") + F.make_dt_interval(days=(F.col("PANDAID") % 5 - 2).cast("int")),
+    })
+    rows = files.job_scan(jobs, fix.tasks(spark, folder), FROM, TO)
+    return _lower(rows.select("PANDAID", "JEDITASKID", "PRODSOURCELABEL", "MODIFICATIONTIME", "SITE"))
+
+
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The job-to-task join shape on the large tables: all lines with their order."""
     lines = fix.table(spark, folder, "lineitem")
@@ -354,7 +364,7 @@ def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lost_walltime, feature_select, job_scan, order_lines, trailing_window, error_hash,
+        lost_walltime, feature_select, job_scan, job_scan_managed, order_lines, trailing_window, error_hash,
         error_signature, signature_frequency, top_signatures, signature_slice, signature_slice_rows,
         slice_cells, feature_scores, important_values, feature_pairs, feature_sets, error_strings,
         find_issues, find_issues_fine, issue_list, issue_rows, issue_antirows, issue_metrics, payload_class,
@@ -558,6 +568,13 @@ SQL = {
         _V,
         """SELECT pandaid, j.jeditaskid, jobstatus, endtime, site FROM jobs j JOIN tasks t ON t.jeditaskid = j.jeditaskid
 WHERE jobstatus IN ('failed', 'finished') AND endtime IS NOT NULL
+  AND endtime > TIMESTAMP '2024-01-10 00:00:00' AND starttime < TIMESTAMP '2024-01-20 00:00:00'""",
+    ),
+    "job_scan_managed": oracle(
+        _V,
+        """SELECT pandaid, j.jeditaskid, 'managed' AS prodsourcelabel, endtime + (pandaid % 5 - 2) * INTERVAL 1 DAY AS modificationtime, site
+FROM jobs j JOIN tasks t ON t.jeditaskid = j.jeditaskid
+WHERE pandaid % 3 <> 0 AND endtime + (pandaid % 5 - 2) * INTERVAL 1 DAY > TIMESTAMP '2024-01-10 00:00:00'
   AND endtime > TIMESTAMP '2024-01-10 00:00:00' AND starttime < TIMESTAMP '2024-01-20 00:00:00'""",
     ),
     "order_lines": """SELECT o_orderpriority, l_returnflag, count(*) AS n_lines, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,19 @@ def typed_fetch(spark: SparkSession, folder: str) -> DataFrame:
     return files.fetch(spark, "ORC", path)
 
 
+def fetch_formats(spark: SparkSession, folder: str) -> DataFrame:
+    """The same table by every type of file that ``fetch`` reads."""
+    path = scratch_path(spark, "formats")
+    orders = fix.table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    schema = orders.schema
+    found = []
+    for kind, options in (("JSON", {}), ("parquet", {}), ("ORC", {}), ("CSV", {"header": "true"})):
+        orders.write.options(**options).format(kind.lower()).save(f"{path}/{kind}")
+        read = files.fetch(spark, kind, f"{path}/{kind}", schema if kind in ("JSON", "CSV") else None, **options)
+        found.append(read.select(F.lit(kind).alias("format"), "o_orderkey", "o_orderpriority"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def snapshot_load(spark: SparkSession, folder: str) -> DataFrame:
     """A load that succeeds, then one whose source is gone and that falls back."""
     snapshot = scratch_path(spark, "snapshot")
@@ -100,6 +114,24 @@ def registry_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def registry_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The endpoints of both forms of the registry: protocols per site, and storage elements with protocols per site."""
+    pages = fix.table(spark, folder, "pages")
+    protocol = F.struct(F.concat(F.lit("p"), F.col("page_id") % 2).alias("name"), F.struct(F.col("url").alias("endpoint")).alias("body"))
+    two = pages.groupBy(F.floor(F.col("page_id") / 2).alias("pair")).agg(F.map_from_entries(F.array_sort(F.collect_list(protocol))).alias("protocols"))
+    plain = two.select(F.concat(F.lit("SITE_"), "pair").alias("site"), "protocols")
+    # Two elements with two protocols each at most.
+    grouped = two.groupBy(F.concat(F.lit("SITE_"), F.floor(F.col("pair") / 2)).alias("site")).agg(
+        F.collect_list(F.struct("protocols")).alias("elements")
+    )
+    found = []
+    for form, rows in (("protocols", plain), ("elements", grouped)):
+        path = scratch_path(spark, "registry")
+        rows.write.json(path)
+        found.append(files.read_registry(spark, path, form == "elements").select(F.lit(form).alias("form"), "site", "endpoint"))
+    return found[0].unionByName(found[1])
+
+
 def load_days(spark: SparkSession, folder: str) -> DataFrame:
     """Issues of one day of the log, from its folder."""
     base = scratch_path(spark, "log")
@@ -204,7 +236,7 @@ def batch_ticks(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        json_scan, json_dir_scan, day_paths, typed_fetch, snapshot_load, registry_documents,
+        json_scan, json_dir_scan, day_paths, typed_fetch, fetch_formats, snapshot_load, registry_documents, registry_forms,
         load_days, stream_ticks, closed_ticks, stream_link_efficiency, stream_link_issues, stream_ingest, batch_ticks,
     )
 }
@@ -239,6 +271,9 @@ SQL = {
 WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'""",
     ),
     "typed_fetch": "SELECT o_orderkey, o_orderpriority FROM orders",
+    "fetch_formats": "SELECT format, o_orderkey, o_orderpriority FROM orders, unnest(['JSON', 'parquet', 'ORC', 'CSV']) f(format)",
+    "registry_forms": """SELECT 'protocols' AS form, 'SITE_' || (page_id // 2) AS site, url AS endpoint FROM pages
+UNION ALL SELECT 'elements', 'SITE_' || (page_id // 4), url FROM pages""",
     "snapshot_load": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority",
     "registry_documents": oracle(
         "", rf"SELECT CAST(count(DISTINCT {_HOST.format('url')}) AS BIGINT) AS n_hosts FROM pages"
