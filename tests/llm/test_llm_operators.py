@@ -150,6 +150,35 @@ def _labelled(spark, rng, n=400):
     return df, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
 
 
+def test_weights_are_the_least_of_the_stated_loss():
+    rng = np.random.default_rng(11)
+    n, width = 60, 7
+    hot = rng.random((n, width)) < 0.35
+    y = (hot[:, 0] | (rng.random(n) < 0.2)).astype(int)
+    swaps = [([0], [1], 3), ([2, 3], [4], 1)]
+    settings = toxicity.Settings(rounds=4000, swap_penalty=0.7, shrinkage=0.01)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
+
+    def loss(v):
+        z = hot @ v[:-1] + v[-1]
+        change = [v[list(won)].sum() - v[list(lost)].sum() for lost, won, _ in swaps]
+        pull = sum(times * c * c for (*_, times), c in zip(swaps, change)) / 4
+        return (share * (np.logaddexp(0, z) - y * z)).sum() + 0.005 * (v[:-1] ** 2).sum() + 0.7 * pull
+
+    def slope(v, step=1e-5):
+        return np.array([(loss(v + step * e) - loss(v - step * e)) / (2 * step) for e in np.eye(len(v))])
+
+    weights, bias = toxicity.fit_weights([np.flatnonzero(r).tolist() for r in hot], y.tolist(), swaps, width, settings)
+    found = np.append(weights, bias)
+    # Steps of a fixed size leave a small slope.
+    assert np.abs(slope(found)).max() < 0.03 * np.abs(slope(np.zeros(width + 1))).max()
+    # The loss is convex, so a plain descent from elsewhere ends in the same place.
+    other = rng.normal(size=width + 1)
+    for _ in range(6000):
+        other -= 0.5 * slope(other)
+    assert np.abs(found - other).max() < 0.02 and loss(found) <= loss(other) + 1e-4
+
+
 def test_swaps_lower_scores_of_mentions(spark):
     df, labels = _labelled(spark, random.Random(1))
     fair = toxicity.train(df, labels)

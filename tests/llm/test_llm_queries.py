@@ -67,6 +67,46 @@ def test_fingerprints(spark):
         assert (r["near_edited"], r["near_next"]) == (containment(own, changed), containment(own, after))
 
 
+def plain_chunks(data):
+    """The chunks of a text, byte by byte: a rolling hash over all of it, and a boundary at seven zero bits from 16 bytes on, at three
+    from 64 on, at 256 in any case."""
+    from faultscope.llm.fingerprints import GEAR
+
+    gear = [int(g) for g in GEAR]
+    chunks, begin, rolled = [], 0, 0
+    for at, byte in enumerate(data):
+        rolled = ((rolled << 1) + gear[byte]) % 2**32
+        length = at + 1 - begin
+        if length >= 16 and rolled >> 25 == 0 or length >= 64 and rolled >> 29 == 0 or length == 256:
+            chunks.append(data[begin : at + 1])
+            begin = at + 1
+    return set(chunks + [data[begin:]]) - {b""}
+
+
+def test_fingerprints_by_a_plain_chunker(spark):
+    import xxhash
+
+    def shown(chunks):
+        return " ".join(f"{d:016x}{n:x}" for d, n in sorted((xxhash.xxh3_64_intdigest(c), len(c)) for c in chunks))
+
+    def held(a, b):
+        return sum(len(c) for c in a if c in b) / sum(len(c) for c in a) if a else float(not b)
+
+    texts = _documents(spark)
+    ids = sorted(texts)
+    rows = {r["doc_id"]: r for r in _rows(spark, "op5_fingerprints")}
+    likes = set()
+    for i, doc_id in enumerate(ids):
+        text, following = texts[doc_id], texts[ids[(i + 1) % len(ids)]]
+        half = len(text) // 2
+        own, edited, after = (plain_chunks(t.encode()) for t in (text, text[: len(text) - half] + following[:half], following))
+        r = rows[doc_id]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(own), shown(edited)), doc_id
+        assert abs(r["near_edited"] - held(own, edited)) < 1e-12 and abs(r["near_next"] - held(own, after)) < 1e-12
+        likes.add(round(r["near_edited"], 1))
+    assert len(likes) > 3
+
+
 def _components(sets, similarity=80):
     parent = {i: i for i in sets}
 
