@@ -206,6 +206,20 @@ def test_every_model_of_the_search_is_that_of_a_plain_run(spark, distance):
         assert model.silhouette == pytest.approx(clu.silhouette(given, distance))
 
 
+def test_the_query_gives_plain_runs(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    x = np.array([r[0] for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("embedding").collect()], float)
+    features = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").select(array_to_vector("v").alias("features"))
+    starts = k_search.start_centers(k_search.weighted_vectors(features), 8)
+    rows = {r["k"]: r for r in entry.queries()["shared_search"](spark, folder).collect()}
+    assert sorted(rows) == [2, 3, 5, 8]
+    for k, r in rows.items():
+        _, cost, _, steps = plain_lloyd(k_search.ready(x, "cosine"), starts[:k], "cosine", 1e-4, 10)
+        assert r["steps"] == steps and r["wsse"] == pytest.approx(cost, abs=1e-5)
+
+
 def test_models_share_their_scans(spark):
     _, features = clouds(spark)
 
