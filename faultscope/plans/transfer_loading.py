@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import datetime
+import functools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultscope.operators import transfers as tra
+from faultscope.operators.patterns import full_rank
+from faultscope.plans.issue_registration import register_issues
 from faultscope.sources import files
 
+ACTIVITIES = ("transfer", "deletion")
+
 
 def log_issues(log: DataFrame, registry: DataFrame) -> DataFrame:
     """Transfer issues of a flat log: grouped, with sites filled in, one row per issue key."""
@@ -46,3 +53,32 @@ def inefficiency_issues(
     links = tra.link_efficiency(transfers, as_of, hours, state=activity)
     reasons = tra.top_reasons(transfers, as_of, hours, event_type=activity)
     return tra.link_issues(tra.inefficient(links, min_files, max_percent), reasons, activity)
+
+
+def all_inefficiency_issues(
+    transfers: DataFrame, as_of: datetime.datetime | Column, hours: float = 1, activities: Sequence[str] = ACTIVITIES, **limits: float
+) -> DataFrame:
+    """The issues of ``inefficiency_issues`` for every activity; their types tell them apart."""
+    found = [inefficiency_issues(transfers, as_of, hours, activity, **limits) for activity in activities]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def register_links(
+    stored: DataFrame,
+    categories: DataFrame,
+    transfers: DataFrame,
+    as_of: datetime.datetime | Column,
+    now: Column,
+    hours: float = 1,
+    activities: Sequence[str] = ACTIVITIES,
+    **limits: float,
+) -> tuple[DataFrame, DataFrame]:
+    """The issue and the category table after the inefficient links of all activities are registered.
+
+    The issues arrive in the order of their keys, with ids behind those of all categories; see ``register_issues``.
+    """
+    issues = all_inefficiency_issues(transfers, as_of, hours, activities, **limits)
+    last = F.coalesce(categories.agg(F.max("id")).scalar(), F.lit(0))
+    placed = full_rank(issues.withColumn("_all", F.lit(0)), "_all", [F.col(c) for c in tra.ISSUE_KEY], "_place")
+    arriving = placed.withColumn("id", last + F.col("_place")).drop("_all", "_place")
+    return register_issues(stored, categories, arriving, now)

@@ -76,6 +76,21 @@ def link_issues(spark: SparkSession, folder: str) -> DataFrame:
     return transferred.unionByName(deleted)
 
 
+def register_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The issue table after the links of both activities that failed lately are registered, and each category's amount.
+
+    The table knew one link's issue before, with another amount, and the category of one reason.
+    """
+    transfers = fix.transfers(spark, folder)
+    before = [("reason view", "S1", "D1", "transfer-failure", 7, datetime.datetime(2024, 1, 1), "reason view")]
+    stored = spark.createDataFrame(before, registration.ISSUE_SCHEMA)
+    categories = spark.createDataFrame([(4, "reason view", 7)], registration.CATEGORY_SCHEMA)
+    limits = {"min_files": 20, "max_percent": 25}
+    table, grown = plan.register_links(stored, categories, transfers, _as_of(transfers), F.lit(NOW), 24 * 7, **limits)
+    sums = grown.select(F.col("regex").alias("category"), F.col("amount").alias("category_amount"))
+    return table.join(sums, "category").select(*tra.ISSUE_KEY, "amount", "last_modified", "category", "category_amount")
+
+
 def _by_day(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Stored issues from the first half of the month, incoming ones from the second."""
     log = fix.messages(spark, folder).withColumn(
@@ -237,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         failed_transfers, transfer_errors, site_fallback, log_issues, link_efficiency,
-        link_efficiency_window, top_reason, link_issues, upsert_issues, category_amounts,
+        link_efficiency_window, top_reason, link_issues, register_links, upsert_issues, category_amounts,
         search_issues, search_pages, search_parts, parse_date, similar_category, best_category, categorise_issues, register_issues,
         stream_register,
     )
@@ -313,6 +328,27 @@ first_reason AS (
   SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY src_site, dst_site, event_type ORDER BY amount DESC, reason) = 1)
 SELECT reason AS message, amount, l.dst_site, l.src_site, l.state || '-failure' AS type FROM links l
 JOIN first_reason r ON r.src_site = l.src_site AND r.dst_site = l.dst_site AND r.event_type = l.state || '-failed'""",
+    ),
+    "register_links": oracle(
+        "transfers",
+        """recent AS (SELECT * FROM transfers WHERE ts >= (SELECT max(ts) FROM transfers) - INTERVAL 7 DAY),
+links AS (SELECT src_site, dst_site, state FROM recent GROUP BY ALL
+  HAVING sum(files_total) > 20 AND 100.0 * sum(files_done) / sum(files_total) < 25),
+counts AS (SELECT src_site, dst_site, event_type, reason, count(*) AS amount FROM recent
+  WHERE reason IS NOT NULL AND event_type LIKE '%-failed' GROUP BY ALL),
+first_reason AS (
+  SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY src_site, dst_site, event_type ORDER BY amount DESC, reason) = 1),
+found AS (SELECT reason AS message, l.src_site, l.dst_site, l.state || '-failure' AS type, amount FROM links l
+  JOIN first_reason r ON r.src_site = l.src_site AND r.dst_site = l.dst_site AND r.event_type = l.state || '-failed'),
+stored AS (SELECT 'reason view' AS message, 'S1' AS src_site, 'D1' AS dst_site, 'transfer-failure' AS type, 7 AS amount),
+issues AS (
+  SELECT message, src_site, dst_site, type, coalesce(s.amount, f.amount) AS amount,
+    CASE WHEN f.amount IS NULL THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-02-01 00:00:00' END AS last_modified, f.amount IS NOT NULL AS came
+  FROM stored s FULL JOIN found f USING (message, src_site, dst_site, type)),
+sums AS (SELECT message, sum(amount) AS total FROM (
+  SELECT message, amount FROM issues WHERE came UNION ALL SELECT message, amount FROM stored) GROUP BY message)
+SELECT message, src_site, dst_site, type, amount, last_modified, message AS category, CAST(total AS BIGINT) AS category_amount
+FROM issues JOIN sums USING (message)""",
     ),
     "upsert_issues": oracle(
         "messages",
