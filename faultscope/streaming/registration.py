@@ -80,20 +80,23 @@ class CategoryStore:
         part = F.pmod("key", F.lit(PARTS)).cast("int")
         parts = [r[0] for r in keys.select(part).distinct().collect()]
         index = self.index_rows(parts, before).select("key", F.col("id").alias("category"), F.col("n_chars").alias("size"), "home")
+        sizes = keys.select(F.col("key").alias("_key"), "n_chars").distinct()
         # Texts that are similar above t differ in length by the factor (2 - t) / t at most.
         factor = (2 - self.threshold) / self.threshold
         fits = F.greatest("n_chars", "size") <= F.least("n_chars", "size") * factor
-        met = cut_lineage(keys.join(index, "key").filter(fits).select("key", "id", "category", "home"))
+        # A category that shares a key is there once per key, however many texts have it.
+        met = cut_lineage(index.join(sizes, (F.col("key") == F.col("_key")) & fits, "left_semi"))
         homes = [r[0] for r in met.select("home").distinct().collect()]
         ids = met.select("category").distinct()
         known = self.categories.read(homes, before).select("id", F.col("regex").alias("text"))
         known = cut_lineage(known.join(ids, known["id"] == ids["category"], "left_semi"))
         named = known.select(F.col("id").alias("category"), F.col("text").alias("regex"))
         equal = texts.join(named, F.col("text") == F.col("regex")).select("text", "regex", F.lit(1.0).alias("similarity"), F.col("category").alias("_order"))
-        rest = texts.join(named, F.col("text") == F.col("regex"), "left_anti")
-        grams = met.filter("key >= 0")
-        groups = grams.select("key", "id").distinct(), grams.select("key", F.col("category").alias("id")).distinct()
-        best = sml.best_matches(rest, known, self.threshold, "ratio", groups=(groups[0].join(rest.select("id"), "id", "left_semi"), groups[1]))
+        rest = cut_lineage(texts.join(named, F.col("text") == F.col("regex"), "left_anti"))
+        grams = [rows.filter("key >= 0").select("key", F.col(c).alias("id")).distinct() for rows, c in ((keys, "id"), (met, "category"))]
+        grams[0] = grams[0].join(rest.select("id"), "id", "left_semi")
+        groups = sml.cheaper(tuple(grams), sml.by_length(rest, known, self.threshold, "ratio"))
+        best = sml.best_matches(rest, known, self.threshold, "ratio", groups=groups)
         best = best.join(rest.select(F.col("id").alias("left_id"), "text"), "left_id").join(
             named.withColumnRenamed("category", "right_id"), "right_id"
         )
