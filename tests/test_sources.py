@@ -216,3 +216,20 @@ def test_registration_by_hand(spark):
     assert {r["message"]: r["category"] for r in stored.collect()} == by_hand
     assert {r["regex"]: r["amount"] for r in categories.collect()} == amounts
     assert {r["message"]: r["amount"] for r in stored.collect()} == stored_amounts
+
+
+def test_parts_arrive_in_many_files_and_one_batch(spark, tmp_path):
+    from workload import fixtures as fix
+
+    parts = [spark.range(k * 100, k * 100 + 40).repartition(4) for k in range(3)]
+    source, batches = str(tmp_path / "source"), []
+
+    def run():
+        stream = spark.readStream.schema("id bigint").parquet(source)
+        query = stream.writeStream.foreachBatch(lambda b, n: batches.append((n, sorted(r[0] for r in b.collect()), len(b.inputFiles()))))
+        query.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+
+    fix.arrive(parts, source, "parquet", run)
+    assert [(n, ids) for n, ids, _ in batches] == [(k, list(range(k * 100, k * 100 + 40))) for k in range(3)]
+    assert len(list((tmp_path / "source").glob("*.parquet"))) == 12
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"

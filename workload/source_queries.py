@@ -160,7 +160,7 @@ def stream_ticks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def closed_ticks(spark: SparkSession, folder: str) -> DataFrame:
-    """Failed jobs per site in windows that are over, in three files: the second repeats the last hour of the first and a third of its
+    """Failed jobs per site in windows that are over, in three batches: the second repeats the last hour of the first and a third of its
     own jobs, the last has jobs of the first days, which come too late. Read from the merged folders of some days."""
     path = scratch_path(spark, "closed-ticks")
     events = fix.table(spark, folder, "events").select(*[c.split()[0] for c in EVENTS.split(", ")])
@@ -169,13 +169,15 @@ def closed_ticks(spark: SparkSession, folder: str) -> DataFrame:
     second = events.filter((F.col("ts") >= "2024-01-12") & (F.col("ts") < "2024-01-20"))
     again = second.filter("event_id % 3 = 0").unionByName(first.filter(F.col("ts") >= "2024-01-11 23:00:00"))
     last = events.filter((F.col("ts") >= "2024-01-20") | late)
-    for part in (first, second.unionByName(again), last):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/source")
-    arriving = stw.stream_files(spark, f"{path}/source", spark.createDataFrame([], EVENTS).schema, maxFilesPerTrigger=1)
-    jobs = arriving.selectExpr("event_id AS PANDAID", *TICK_COLUMNS)
-    ticks = stw.closed_failure_windows(stw.failed_jobs(jobs), ["computingsite"], "PANDAID")
     table = DayTable(spark, f"{path}/ticks", "computingsite string, tick_time timestamp, walltime_loss decimal(28,2), nfailed_jobs bigint", "tick_time")
-    table.follow(ticks, f"{path}/checkpoint").awaitTermination()
+
+    def run() -> None:
+        arriving = stw.stream_files(spark, f"{path}/source", spark.createDataFrame([], EVENTS).schema)
+        jobs = arriving.selectExpr("event_id AS PANDAID", *TICK_COLUMNS)
+        ticks = stw.closed_failure_windows(stw.failed_jobs(jobs), ["computingsite"], "PANDAID")
+        table.follow(ticks, f"{path}/checkpoint").awaitTermination()
+
+    fix.arrive([first, second.unionByName(again), last], f"{path}/source", "parquet", run)
     table.compact()
     final = table.read(datetime.date(2024, 1, 3), datetime.date(2024, 1, 31))
     return final.withColumn("walltime_loss", F.col("walltime_loss").cast("double"))
@@ -190,29 +192,30 @@ def stream_link_efficiency(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_link_issues(spark: SparkSession, folder: str) -> DataFrame:
-    """Issues of inefficient links per hour for both activities, from two streams each; the log arrives in two files, so the
+    """Issues of inefficient links per hour for both activities, from two streams each; the log arrives in two parts, so the
     second has late rows of the first's last hours."""
     source = scratch_path(spark, "transfers")
     events = fix.table(spark, folder, "events").select(*[c.split()[0] for c in EVENTS.split(", ")])
     late = F.col("event_id") % 2 == 1
-    for part in (events.filter(~late), events.filter(late)):
-        part.coalesce(1).write.mode("append").parquet(source)
-    issues = None
-    for activity in ("transfer", "deletion"):
-        path = scratch_path(spark, "link-issues")
-        streams = {
-            "links": (lambda t: stw.link_windows(t, lateness="60 days", state=activity), ["src_site", "dst_site", "hour"]),
-            "reasons": (lambda t: stw.reason_windows(t, activity, lateness="60 days"), ["src_site", "dst_site", "hour", "reason"]),
-        }
-        final = {}
-        for name, (windows, keys) in streams.items():
-            arriving = stw.stream_files(spark, source, spark.createDataFrame([], EVENTS).schema, maxFilesPerTrigger=1)
-            out = f"{path}/{name}"
-            stw.write_updates(windows(fix.transfers_of(arriving)), out, f"{path}/checkpoint-{name}").awaitTermination()
-            final[name] = stw.read_updates(spark, out, keys)
-        found = stw.window_issues(final["links"], final["reasons"], activity, 1, 40)
-        issues = found if issues is None else issues.unionByName(found)
-    return issues
+    paths = {activity: scratch_path(spark, "link-issues") for activity in ("transfer", "deletion")}
+
+    def run() -> None:
+        for activity, path in paths.items():
+            arriving = fix.transfers_of(stw.stream_files(spark, source, spark.createDataFrame([], EVENTS).schema))
+            windows = {
+                "links": stw.link_windows(arriving, lateness="60 days", state=activity),
+                "reasons": stw.reason_windows(arriving, activity, lateness="60 days"),
+            }
+            for name, stream in windows.items():
+                stw.write_updates(stream, f"{path}/{name}", f"{path}/checkpoint-{name}").awaitTermination()
+
+    fix.arrive([events.filter(~late), events.filter(late)], source, "parquet", run)
+    link = ["src_site", "dst_site", "hour"]
+    issues = [
+        stw.window_issues(stw.read_updates(spark, f"{path}/links", link), stw.read_updates(spark, f"{path}/reasons", [*link, "reason"]), activity, 1, 40)
+        for activity, path in paths.items()
+    ]
+    return issues[0].unionByName(issues[1])
 
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
