@@ -284,31 +284,32 @@ def split_feature_name(name: Column) -> Column:
 
 def text_parts(text: Column) -> Column:
     """The words of a text and the white space between them, in turn."""
-    return F.regexp_extract_all(text, F.lit(f"([{OTHER_BLANKS} ]+|[^{OTHER_BLANKS} ]+)"), F.lit(1))
+    # The white space of Unicode and four separators: the blanks of ``words``, as one test per character.
+    return F.regexp_extract_all(text, F.lit(r"(?U)([\s\x1c-\x1f]+|[^\s\x1c-\x1f]+)"), F.lit(1))
 
 
 def place_ends(parts: Column, places: Column) -> Column:
     """Where in the parts the words at the sorted ``places`` stand, and the number of parts."""
     offset = F.when(F.get(parts, F.lit(0)).rlike(f"^[{OTHER_BLANKS} ]"), 1).otherwise(0)
-    return F.concat(F.transform(places, lambda p: p * 2 + offset), F.array(F.size(parts)))
+    return F.array_distinct(F.concat(F.transform(places, lambda p: p * 2 + offset), F.array(F.size(parts))))
 
 
 def mask_places(parts: Column, ends: Column) -> Column:
     """The text of these parts with the words at the places of ``ends`` (see ``place_ends``) replaced by
     a fixed mark, as far as they are in lower case.
 
-    What lies between two places is cut out as one slice, so the whole is one walk over the parts.
-    Both arguments must be columns, not expressions: they are looked into at every step.
+    The places become one flag per part, so the whole is one walk over the parts, however many places there
+    are. ``ends`` must be a column, not an expression: it is looked into at every step.
     """
 
     def stretch(end: Column, i: Column) -> Column:
-        begin = F.get(ends, i - 1)
-        word = F.get(parts, begin)
-        head = F.when(word == F.lower(word), F.lit(RARE_WORD_MASK)).otherwise(word)
-        rest = F.concat(head, F.array_join(F.slice(parts, begin + 2, end - begin - 1), ""))
-        return F.when(i == 0, F.array_join(F.slice(parts, F.lit(1), end), "")).otherwise(rest)
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get(ends, i - 1))
+        return F.concat(F.array_repeat(F.lit(False), (end - before - 1).cast("int")), F.array(F.lit(True)))
 
-    return F.array_join(F.transform(ends, stretch), "")
+    def masked(part: Column, sought: Column) -> Column:
+        return F.when(sought & (part == F.lower(part)), F.lit(RARE_WORD_MASK)).otherwise(part)
+
+    return F.array_join(F.zip_with(parts, F.flatten(F.transform(ends, stretch)), masked), "")
 
 
 def mask_numbers(text: Column) -> Column:

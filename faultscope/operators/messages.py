@@ -105,10 +105,16 @@ def mask_rare_words(frame: DataFrame, text_cols: list[str], id_col: str) -> Data
     A word is rare if its case-folded form occurs less than three times in its column; only
     lower-case words of more than three characters are replaced. ``id_col`` is an integer id.
 
-    A rare word stands at two places at most, and these are the smallest and the largest (row id,
-    place) of the aggregate that counts the word. Frequent words collapse before the shuffle and never
-    meet a join: the only join is on the unique row id, and brings each row its sorted places.
+    A rare word stands at two places at most. These are the places at the smallest and the largest row
+    id, or the first and the last place where both are in one row, of the aggregate that counts the word. Its
+    buffers are numbers, so words are added up by hash without a sort. Frequent words collapse before the
+    shuffle and never meet a join: the only join is on the row id, and brings each row its sorted places.
     """
+    # A row without id has no place to mask; its words count.
+    known = F.when(F.col("_id").isNotNull(), F.col("_place"))
+    one_row = F.col("least") == F.col("most")
+    first = F.struct(F.col("least").alias("_id"), F.when(one_row, F.col("top")).otherwise(F.col("at_least")).alias("_place"))
+    last = F.struct(F.col("most").alias("_id"), F.when(one_row, F.col("bottom")).otherwise(F.col("at_most")).alias("_place"))
     places = (
         _field_texts(frame, text_cols, F.col(id_col).alias("_id"))
         .filter(F.col("text") != NOT_SPECIFIED)
@@ -116,11 +122,15 @@ def mask_rare_words(frame: DataFrame, text_cols: list[str], id_col: str) -> Data
         .groupBy("field", "word")
         .agg(
             F.count("*").alias("n"),
-            F.min(F.struct("_id", "_place")).alias("first"),
-            F.max(F.struct("_id", "_place")).alias("last"),
+            F.min("_id").alias("least"),
+            F.max("_id").alias("most"),
+            F.min_by("_place", "_id").alias("at_least"),
+            F.max_by("_place", "_id").alias("at_most"),
+            F.min(known).alias("top"),
+            F.max(known).alias("bottom"),
         )
         .filter((F.col("n") < RARE_WORD_COUNT) & (F.length("word") >= RARE_WORD_LENGTH))
-        .select("field", F.explode(F.array_distinct(F.array("first", "last"))).alias("_at"))
+        .select("field", F.explode(F.array_distinct(F.array(first, last))).alias("_at"))
         .groupBy("_at._id")
         .agg(
             *[

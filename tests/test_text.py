@@ -154,3 +154,25 @@ def test_canonical_maps_and_merge(spark):
     ).first()
     assert row["same"]
     assert row["m"] == '[{"key":"x","value":[{"key":"t","value":1},{"key":"u","value":5}]},{"key":"y","value":[{"key":"v","value":5}]}]'
+
+
+def test_parts_split_at_the_blanks_of_words_and_nowhere_else(spark):
+    blanks = text.OTHER_BLANKS + " "
+    texts = [f"a{chr(c)}b" for c in range(0x3100)] + [f"a{c}{d}b" for c in blanks for d in blanks[:3]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.text_parts(F.col("t")).alias("parts"))
+    for t, parts in df.collect():
+        inner = t[1:-1]
+        assert parts == (["a", inner, "b"] if set(inner) <= set(blanks) else [t])
+
+
+def test_rare_words_keep_their_places(spark):
+    """Twice in one row, in rows with and without id, in rows that share an id, beside frequent words."""
+    rows = [(1, " twice here twice\tso"), (2, "often often  Often lonely"), (None, "nobody shared"), (3, "shared Upper"), (4, "double one"), (4, "double two"), (5, None)]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    mark = text.RARE_WORD_MASK
+    got = sorted((r[0] is None, r[0] or 0, r[1] or "") for r in msg.mask_rare_words(df, ["t"], "id").collect())
+    want = [(1, f" {mark} {mark} {mark}\tso"), (2, f"often often  Often {mark}"), (3, f"{mark} Upper"), (4, f"{mark} one"), (4, f"{mark} two"), (5, "")]
+    assert got == [(False, i, t) for i, t in want] + [(True, 0, "nobody shared")]
+    # Buffers of numbers are added up by hash; a sort per word would come with every other kind.
+    plan = msg.mask_rare_words(df, ["t"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
