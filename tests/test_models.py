@@ -141,3 +141,24 @@ def test_vectors_of_small_matrices(spark):
     got = {r.word: np.abs(r.vector) for r in cooc.word_vectors(rows, 4, rounds=3).collect()}
     assert sorted(np.round(got["a"], 6).tolist()) == [0, 0, 1, 1] == sorted(np.round(got["b"], 6).tolist())
     assert cooc.word_vectors(spark.createDataFrame([], schema), 4).collect() == []
+
+
+def test_pair_counts_of_both_directions(spark):
+    rows = [["a", "b", "a", None, "c"], ["b", "b"], [], None, ["x"]]
+    df = spark.createDataFrame([(r,) for r in rows], "tokens array<string>")
+    for window in (1, 2, 9):
+        want: dict = {}
+        for row in rows:
+            for i, w in enumerate(row or []):
+                for j, c in enumerate(row):
+                    if i != j and abs(i - j) <= window:
+                        want[w, c] = want.get((w, c), 0) + 1
+        assert {(r.word, r.context): r.n for r in cooc.pair_counts(df, "tokens", window).collect()} == want
+
+
+def test_the_counts_are_added_up_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(cooc, "stored", lambda df, name, plain=cooc.stored: kept.append(name) or plain(df, name))
+    counts = spark.createDataFrame([("a", "b", 9), ("b", "a", 9), ("a", "c", 1), ("c", "a", 1)], "word string, context string, n bigint")
+    assert {(r.word, r.context) for r in cooc.shifted_ppmi(counts, min_count=5).collect()} == {("a", "b"), ("b", "a")}
+    assert kept == ["pair-counts", "kept-pairs"]
