@@ -12,19 +12,26 @@ from faultscope.sources.stores import read_or_empty
 GRAM = 3
 # So many of the rarest grams of what is looked for are read; each match is verified anyway.
 RAREST = 4
-PARTS = {"grams": "text_id bigint, gram string, bucket int", "counts": "gram string, n bigint, bucket int"}
+# Grams of more than one text in so many are not listed with their texts, if there are as many texts as that at all: where a part has no other
+# gram, looking at each distinct text costs less than those lists.
+COMMON = 16
+MANY = 10_000
+PARTS = {"grams": "text_id bigint, gram string, bucket int", "counts": "gram string, n bigint, listed boolean, bucket int"}
+
+
+# Three characters from each place on; a place within a surrogate pair has none.
+ANY_GRAM = r"(?=([\x{0}-\x{d7ff}\x{e000}-\x{10ffff}]{%d}))" % GRAM
 
 
 def _grams(text: Column) -> Column:
     """The distinct grams of a text, none if it is shorter."""
-    places = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
-    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(GRAM)))))
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.regexp_extract_all(text, F.lit(ANY_GRAM), F.lit(1))))
 
 
 class IssueIndex:
     """Issues (``id, message`` and more) stored below ``path`` with an index of their messages, any case.
 
-    Equal messages are one text, whose number is the smallest id. Grams lie in ``buckets`` partitions, sorted, so a search reads
+    Equal messages are one text, whose number is the smallest id. Grams that few texts hold lie in ``buckets`` partitions, sorted, so a search reads
     the buckets of its rarest grams only, and of these the row groups that can hold them.
     """
 
@@ -39,11 +46,15 @@ class IssueIndex:
         texts = self._table("texts")
         joined = lower.join(texts, F.col("_lower") == F.col("text"), "left").drop("_lower", "text")
         joined.write.mode("overwrite").parquet(f"{self.path}/issues")
-        grams = texts.select("text_id", F.explode(_grams(F.col("text"))).alias("gram")).withColumn("bucket", self._bucket(F.col("gram")))
-        self._write(grams.repartition("bucket", F.pmod("text_id", F.lit(8))), "grams")
+        grams = texts.select("text_id", F.explode(_grams(F.col("text"))).alias("gram"))
         # Counts per gram collapse map-side; a gram that all texts hold is one row.
-        counts = self._table("grams").groupBy("bucket", "gram").agg(F.count("*").alias("n"))
+        listed = F.col("n") <= max(MANY, texts.count() // COMMON)
+        counts = grams.groupBy("gram").agg(F.count("*").alias("n")).select("gram", "n", listed.alias("listed"), self._bucket(F.col("gram")).alias("bucket"))
         self._write(counts.repartition("bucket"), "counts")
+        # At most COMMON times as many as a text has grams.
+        common = self._table("counts").filter("NOT listed").select(F.col("gram").alias("_common"))
+        rare = grams.join(common, F.col("gram") == F.col("_common"), "left_anti").withColumn("bucket", self._bucket(F.col("gram")))
+        self._write(rare.repartition("bucket", F.pmod("text_id", F.lit(8))), "grams")
 
     def matching_texts(self, part: str) -> DataFrame:
         """(text_id) of the texts that contain ``part``, in any case."""
@@ -57,7 +68,10 @@ class IssueIndex:
         counts = self._of_grams("counts", sought["grams"]).collect()
         if len(counts) < len(sought["grams"]):
             return texts.limit(0).select("text_id")
-        rare = [r["gram"] for r in sorted(counts, key=lambda r: (r["n"], r["gram"]))[:RAREST]]
+        rare = [r["gram"] for r in sorted(counts, key=lambda r: (r["n"], r["gram"])) if r["listed"]][:RAREST]
+        if not rare:
+            # Every gram is in many texts.
+            return texts.filter(verified).select("text_id")
         held = self._of_grams("grams", rare).groupBy("text_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(rare))
         return texts.join(held, "text_id", "left_semi").filter(verified).select("text_id")
 

@@ -240,3 +240,23 @@ def test_search_with_few_vectors(spark):
     assert all(m.wsse == pytest.approx(0) for m in models)
     with pytest.raises(ValueError, match="no vectors"):
         k_search.search_shared(same.limit(0), [2])
+
+
+def test_grams_are_all_three_characters_in_a_row(spark):
+    texts = ["", "ab", "abc", "abcabcd", "a\nb\r\n c", "ä\U0001f642\U0001f643b\U0001f642\U0001f643b", "\x00\x85 �\U0010ffff"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", search._grams(F.col("t")).alias("grams")).collect()
+    for t, grams in got:
+        assert grams == (list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))) if len(t) > 2 else None)
+
+
+def test_common_grams_are_counted_but_not_listed(spark, monkeypatch):
+    """A gram of all texts has no list of them, and parts made of such grams are still found."""
+    monkeypatch.setattr(search, "MANY", 2)
+    issues = spark.createDataFrame([(i, f"copy of file {i * 7919 % 100000:05d} failed") for i in range(64)], "id bigint, message string")
+    index = search.IssueIndex(spark, scratch_path(spark, "index"), buckets=4)
+    index.build(issues)
+    listed = {r[0] for r in index._table("grams").select("gram").distinct().collect()}
+    assert "cop" not in listed and "ile" not in listed and listed
+    for part in ("COPY of", "file 0", "5838 f", "of file 07919 failed", "le", "nothing"):
+        want = {i for i in range(64) if part.lower() in f"copy of file {i * 7919 % 100000:05d} failed"}
+        assert {r.id for r in index.search(message=part).collect()} == want
