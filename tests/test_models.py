@@ -5,10 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from faultscope.operators import clustering as clu
 from faultscope.operators import cooccurrence as cooc
 from faultscope.operators import messages as msg
+from faultscope.plans import message_clustering as plan
+from faultscope.plans.stages import clustering_pipeline
 from workload import fixtures as fix
 from workload import ml_queries
 
@@ -162,3 +165,40 @@ def test_the_counts_are_added_up_once(spark, monkeypatch):
     counts = spark.createDataFrame([("a", "b", 9), ("b", "a", 9), ("a", "c", 1), ("c", "a", 1)], "word string, context string, n bigint")
     assert {(r.word, r.context) for r in cooc.shifted_ppmi(counts, min_count=5).collect()} == {("a", "b"), ("b", "a")}
     assert kept == ["pair-counts", "kept-pairs"]
+
+
+def counted_log(spark, n=300):
+    """Messages behind a function that counts its calls, some without any word that the embedding knows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(text):
+        seen.add(1)
+        return text
+
+    rows = [(i, f"{'ab'[i % 2]}{i % 3} {'cd'[i % 2]}{i % 5} copy" if i % 10 else f"single{i}") for i in range(n)]
+    log = spark.createDataFrame(rows, "msg_id long, text string").select("msg_id", said("text").alias("t__error_message"))
+    return log, seen, n
+
+
+SMALL = plan.ClusterSettings(embedding_size=4, window=3, min_count=5, k_values=[2, 3], search_max_iter=3, final_init_steps=2, final_max_iter=3)
+
+
+def test_training_reads_the_messages_once_and_predictions_once(spark):
+    log, seen, n = counted_log(spark)
+    result = plan.cluster_messages(log, SMALL)
+    assert seen.value == n
+    rows = result.predictions.select("msg_id", "prediction").collect()
+    assert seen.value == 2 * n
+    assert len(rows) == n and all((r.prediction == clu.NO_CLUSTER) == (r.msg_id % 10 == 0) for r in rows)
+    inferred = plan.infer_clusters(log, result.word2vec, result.best.model, SMALL).select("msg_id", "prediction").collect()
+    assert sorted(inferred) == sorted(rows) and seen.value == 3 * n
+
+
+def test_pipeline_reads_the_messages_once_per_stage_that_learns(spark):
+    log, seen, n = counted_log(spark)
+    model = clustering_pipeline(2, SMALL).fit(log)
+    assert seen.value == 2 * n
+    rows = model.transform(log).select("msg_id", "prediction").collect()
+    assert seen.value == 3 * n
+    assert len(rows) == n and all((r.prediction == clu.NO_CLUSTER) == (r.msg_id % 10 == 0) for r in rows)
