@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -25,9 +26,9 @@ WORD_END = tuple(".!?…")
 ANYWHERE = frozenset("。！？｡")
 CLOSING = "\"'”’»)]}"
 SPECIAL = "<|"
-# Words whose pieces need no offsets: Latin letters, which neither normal forms nor lower case turn into several pieces (that
-# of U+0130 has a mark), and marks of ASCII behind them, which are one piece.
-PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[!-/:-@\[-`{-~]*").fullmatch
+# Words of two pieces at most, which need no offsets: Latin letters, which neither normal forms nor lower case turn into several
+# pieces (that of U+0130 has a mark), and marks of ASCII behind them, which are one piece.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)").fullmatch
 CHUNK = 1 << 20
 
 
@@ -53,8 +54,9 @@ class WordEncoder:
     """Token ids of texts, and the places where sentences end.
 
     The tokenizer drops white space and no token reaches over it, so a text's ids are those of
-    its words, one after the other. Each distinct word is encoded once by the library and
-    kept, ``most`` words at a time. Texts that may hold special strings are encoded as a whole.
+    its words, one after the other. Each distinct word is looked up once and kept, ``most`` words at a time. Plain words
+    are put together from their pieces, in lower case, which the library encodes once each and which are kept likewise; other
+    words are encoded as they are. Texts that may hold special strings are encoded as a whole.
     """
 
     def __init__(self, vocabulary: str, most: int = 500_000):
@@ -68,14 +70,8 @@ class WordEncoder:
         self.closes = np.zeros(max(entries.values()) + 1, bool)
         self.closes[[number for token, number in entries.items() if token.endswith("</w>")]] = True
         self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
         # Word 0 is the empty one, word 1 the end of a line.
-        self.known = {"": 0, "\n": 1}
-        self.ids, self.ends = _Lists(np.uint32), _Lists(np.int64)
-        self.ids.extend(np.empty(0, np.uint32), np.zeros(2, np.int64))
-        self.ends.extend(np.zeros(1, np.int64), np.array([0, 1]))
+        self.words, self.pieces = _Known(["", "\n"]), _Known([""])
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All words' ids, their number per word, all numbers of ids after which a sentence ends, their number per word."""
@@ -99,17 +95,23 @@ class WordEncoder:
         word = np.searchsorted(first + sizes, ends)
         return np.array(found.ids, np.uint32), sizes, ends - first[word], np.bincount(word, minlength=len(words))
 
-    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same for words that ``PLAIN`` matches, found by the tokens that close a piece."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        pieces = np.fromiter((1 if w[-1].isalpha() else 2 for w in words), np.int64, len(words))
-        upto = np.flatnonzero(self.closes[ids])[np.cumsum(pieces) - 1] + 1
-        sizes = np.diff(upto, prepend=0)
-        ended = np.zeros(len(words), bool)
-        marked = np.flatnonzero(pieces == 2)
-        ended[marked] = [words[k].rstrip(CLOSING).endswith(WORD_END) for k in marked.tolist()]
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for strings that the tokenizer does not split, found by the tokens that close a piece."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        sizes = np.diff(np.flatnonzero(self.closes[ids]) + 1, prepend=0)
+        ended = np.fromiter((p.rstrip(CLOSING).endswith(WORD_END) for p in pieces), bool, len(pieces))
         return ids, sizes, sizes[ended], ended.astype(np.int64)
 
+    def _encode_plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for plain words, given by their letters and their marks in turn."""
+        at = self.pieces.numbers_of(pieces)
+        if self.pieces.new:
+            self.pieces.extend(*self._encode_pieces(self.pieces.new))
+        ids, sizes = self.pieces.ids.take(at)
+        sizes = sizes.reshape(-1, 2).sum(axis=1)
+        n_ends = self.pieces.ends.sizes[at[1::2]]
+        return ids, sizes, sizes[n_ends > 0], n_ends
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids and the sorted places (numbers of ids) where a sentence ends."""
         parts: list[list[tuple]] = [[] for _ in texts]
@@ -124,42 +126,47 @@ class WordEncoder:
         self._encode_chunks(held, parts)
         return [_joined(p) for p in parts]
 
-    def _learn(self, words: list, encode: Callable) -> None:
-        if words:
-            ids, sizes, ends, n_ends = encode(words)
-            first = self.ids.n_lists
-            self.known.update(zip(words, range(first, first + len(words))))
-            self.ids.extend(ids, sizes)
-            self.ends.extend(ends, n_ends)
+    def _learn(self, words: list[str]) -> None:
+        """Keep the words that were met for the first time, in their order."""
+        plain, rest, pieces = [], [], []
+        for place, word in enumerate(words):
+            found = PLAIN(word)
+            if found:
+                plain.append(place)
+                letters, marks = found.groups()
+                pieces.append(letters.lower())
+                pieces.append(marks)
+            else:
+                rest.append(place)
+        encoded = [self._encode_plain(pieces)] if plain else []
+        if rest:
+            encoded.append(self._encode([words[place] for place in rest]))
+        if encoded:
+            self.words.extend(*map(np.concatenate, zip(*encoded)), np.array(plain + rest))
 
     def _encode_chunks(self, chunks: list[tuple[int, str]], parts: list[list[tuple]]) -> None:
         """Append (ids, sentence ends) of each chunk to the parts of its text."""
-        if len(self.known) > self.most or self.ids.n > 8 * self.most:
-            self._clear()
-        words: list = []
+        for known in (self.words, self.pieces):
+            if len(known.numbers) > self.most or known.ids.n > 8 * self.most:
+                known.clear()
+        words: list[str] = []
         bounds, special = [0], []
         for _, chunk in chunks:
             if SPECIAL in chunk:
-                # A key that no word has, for this call only.
-                special.append((chunk,))
-                words.append(special[-1])
+                special.append((len(words), chunk))
+                words.append("")
             else:
                 words += chunk.replace("\n", " \n ").split(" ")
             bounds.append(len(words))
-        plain: list[str] = []
-        rest: list[str] = []
-        for word in set(words).difference(self.known, special):
-            (plain if PLAIN(word) else rest).append(word)
-        self._learn(plain, self._encode_plain)
-        self._learn(rest, self._encode)
-        for key in special:
-            self._learn([key], lambda keys: self._encode(list(keys[0])))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        for key in special:
-            self.known.pop(key, None)
-        ids, sizes = self.ids.take(at)
+        at = self.words.numbers_of(words)
+        self._learn(self.words.new)
+        for place, chunk in special:
+            # A word that has no key, so that it is not found again.
+            at[place] = self.words.ids.n_lists
+            self.words.extend(*self._encode([chunk]))
+        ids, sizes = self.words.ids.take(at)
         before = np.concatenate([[0], np.cumsum(sizes)])
-        ends, n_ends = self.ends.take(at)
+        ends, n_ends = self.words.ends.take(at)
         ends += np.repeat(before[:-1], n_ends)
         id_bounds = before[bounds].tolist()
         end_bounds = np.concatenate([[0], np.cumsum(n_ends)])[bounds].tolist()
@@ -203,14 +210,14 @@ class _Lists:
         self.flat, self.n = np.empty(1024, kind), 0
         self.starts, self.sizes, self.n_lists = np.empty(1024, np.int64), np.empty(1024, np.int64), 0
 
-    def extend(self, numbers: np.ndarray, sizes: np.ndarray) -> None:
-        """Append lists of these sizes, whose numbers follow each other."""
+    def extend(self, numbers: np.ndarray, sizes: np.ndarray, places: np.ndarray | slice = slice(None)) -> None:
+        """Append lists of these sizes, whose numbers follow each other; ``places`` are those of the lists among the new ones."""
         self.flat = _grown(self.flat, self.n, len(numbers))
         self.flat[self.n : self.n + len(numbers)] = numbers
         self.starts, self.sizes = (_grown(x, self.n_lists, len(sizes)) for x in (self.starts, self.sizes))
         here = slice(self.n_lists, self.n_lists + len(sizes))
-        self.sizes[here] = sizes
-        self.starts[here] = self.n + np.cumsum(sizes) - sizes
+        self.sizes[here][places] = sizes
+        self.starts[here][places] = self.n + np.cumsum(sizes) - sizes
         self.n, self.n_lists = self.n + len(numbers), self.n_lists + len(sizes)
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,6 +226,43 @@ class _Lists:
         return self.flat[_ranges(self.starts[at], sizes)], sizes
 
 
+class _Numbers(dict):
+    """Numbers of strings: those that are not there yet get the next ones, from ``first`` on, and are listed in ``new``."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = self.first + len(self.new)
+        self.new.append(key)
+        return number
+
+
+class _Known:
+    """Strings with their ids and the places where sentences end."""
+
+    def __init__(self, given: list[str]):
+        self.given = given
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all strings but the given ones: a first that has no ids, and others that have none and end a sentence."""
+        self.numbers = _Numbers(zip(self.given, range(len(self.given))))
+        self.ids, self.ends = _Lists(np.uint32), _Lists(np.int64)
+        n_ends = np.arange(len(self.given)) > 0
+        self.extend(np.empty(0, np.uint32), np.zeros(len(self.given), np.int64), np.zeros(n_ends.sum(), np.int64), n_ends.astype(np.int64))
+
+    @property
+    def new(self) -> list[str]:
+        return self.numbers.new
+
+    def numbers_of(self, strings: list[str]) -> np.ndarray:
+        """The number of each string; ``new`` are those that have to be kept by ``extend``, in the order of their numbers."""
+        self.numbers.first, self.numbers.new = self.ids.n_lists, []
+        return np.fromiter(map(self.numbers.__getitem__, strings), np.int64, len(strings))
+
+    def extend(self, ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray, n_ends: np.ndarray, places: np.ndarray | slice = slice(None)) -> None:
+        self.ids.extend(ids, sizes, places)
+        self.ends.extend(ends, n_ends, places)
+
+
 def _grown(array: np.ndarray, used: int, more: int) -> np.ndarray:
     if used + more <= len(array):
         return array
@@ -269,24 +313,31 @@ def best_cuts(places: list[int], prices: list[int], costs: Costs, last: bool) ->
     ``places`` rise, by ``costs.length`` at most. A window from i to j costs its padding and the price of the cut at j. Without powers of two
     the padding is ``length - j + i``, so the best start of j is the least ``cost(i) + i`` of those that
     a window reaches: the front of a queue whose keys rise, which each place enters and leaves once. Powers of two are one
-    lookup each. If the stream ends here (``last``), its tail may also be powers of two.
+    lookup each, where the least cost within reach does not rule them out. If the stream ends here (``last``), its tail may also be powers of two.
     """
     length, short = costs.length, costs.short
     powers = [1 << k for k in range(length.bit_length()) if short <= 1 << k < length]
     best = {0: 0}
     came: dict[int, int] = {}
     queue: deque[tuple[int, int]] = deque([(0, 0)])
+    # The least cost in the stretch of ``length`` tokens that j lies in, and in the one before; they hold all that a power reaches.
+    stretch, earlier, lately = 0, 0, 0
     for j, price in zip(places, prices):
+        if j // length != stretch:
+            stretch, earlier, lately = j // length, lately, math.inf
         while queue[0][1] < j - length:
             queue.popleft()
         key, start = queue[0]
         least = key + length - j
-        for power in powers:
-            before = best.get(j - power)
-            if before is not None and before + short < least:
-                least, start = before + short, j - power
+        if earlier + short < least or lately + short < least:
+            for power in powers:
+                before = best.get(j - power)
+                if before is not None and before + short < least:
+                    least, start = before + short, j - power
         least += price
         best[j], came[j] = least, start
+        if least < lately:
+            lately = least
         key = least + j
         while queue and queue[-1][0] >= key:
             queue.pop()

@@ -269,6 +269,32 @@ def test_word_encoding():
     assert ends.tolist() == [len(whole.encode("中文。", add_special_tokens=False).ids)]
 
 
+def test_pieces_are_encoded_once():
+    """Words that differ in case and marks only cost the library one piece; every letter of plain words keeps its ids."""
+    import public_tokenizers
+
+    encoder = packing.WordEncoder(open(public_tokenizers.path(queries.PACKING_TOKENIZER)).read())
+    library, given = encoder.tokenizer, []
+
+    class Counting:
+        def encode(self, text, **options):
+            given.append(text)
+            return library.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counting()
+    letters = [c for c in map(chr, range(0x250)) if packing.PLAIN(c)]
+    texts = ["Wörter, wörter. WÖRTER wörter!) Wörter\nWÖRTER!)", "other wörter... Wörter,", " ".join(f"q{c}x, {c} {c}{c}." for c in letters)]
+    encoded = [e for text in texts for e in encoder.encode([text])]
+    for text, (ids, _) in zip(texts, encoded):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert " ".join(given).lower().split().count("wörter") == 1
+    assert len(encoded[0][1]) == 4 and len(encoded[1][1]) == 1
+
+
 def check_pieces(rows, texts, length):
     """Pieces cover each document once, sequences have no gaps."""
     whole = tokenizer()
