@@ -16,7 +16,7 @@ from faultscope.llm.arrow_columns import with_text_columns
 from faultscope.llm.names import fresh
 from faultscope.llm.words import ascii_words, mixed, odd_constants, shingle_set
 from faultscope.operators.components import connected_groups
-from faultscope.session import stored
+from faultscope.session import shuffled, stored
 
 TREES = 16
 # Hashes that two sets must share at least to be candidates, of 16 bits each: one long.
@@ -135,7 +135,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike, by joining each side's set."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.join(shuffled(left), "a").join(shuffled(right), "b")
     x, y = F.size("x"), F.size("y")
     both = both.filter(_alike(F.least(x, y), x, y, similarity))
     shared = F.size(F.array_intersect("x", "y"))
@@ -155,15 +155,15 @@ def regions(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"))
     extra = F.least(F.lit(4), F.ceil(F.log(F.col("n") / REGION) / np.log(FANOUT))).cast("int")
     cut = F.when(F.col("n") <= REGION, F.lit(0)).otherwise(F.expr("shiftrightunsigned(deeper, 16 * (4 - extra))"))
-    placed = members.join(sizes, ["tree", "label"]).withColumn("extra", extra)
+    placed = members.join(shuffled(sizes), ["tree", "label"]).withColumn("extra", extra)
     return placed.select("tree", "label", cut.cast("long").alias("deeper"), "node")
 
 
 def leader_pairs(placed: DataFrame, groups: DataFrame) -> DataFrame:
     """Each node beside the smallest node of its region's largest group, where it is not of that group: one pair per row."""
     keys = ["tree", "label", "deeper"]
-    rows = placed.join(groups, "node")
-    met = rows.join(_mixed(rows, keys).drop("n"), keys).filter("group != main")
+    rows = placed.join(shuffled(groups), "node")
+    met = rows.join(shuffled(_mixed(rows, keys).drop("n")), keys).filter("group != main")
     return met.select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("group").alias("ga"), F.col("main").alias("gb")).distinct()
 
 
@@ -184,9 +184,9 @@ def shingle_frequency(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["bucket", "n"])
 
     counts = sets.select("shingles").mapInArrow(count, "bucket long, n long")
-    rows = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(1 << BUCKET_BITS, np.int64)
-    frequency[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    frequency[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return frequency
 
 
@@ -218,9 +218,9 @@ def open_prefixes(placed: DataFrame, groups: DataFrame, sets: DataFrame, similar
     Two nodes that are alone in a region have met there as leader and other, and need no more.
     """
     keys = ["tree", "label"]
-    rows = placed.join(groups, "node")
-    nodes = rows.join(_mixed(rows, keys).filter("n > 2"), keys, "left_semi").select("node", "group").distinct()
-    own = stored(sets.join(nodes, "node").select("node", "group", "shingles"), "open-sets")
+    rows = placed.join(shuffled(groups), "node")
+    nodes = rows.join(shuffled(_mixed(rows, keys).filter("n > 2")), keys, "left_semi").select("node", "group").distinct()
+    own = stored(sets.join(shuffled(nodes), "node").select("node", "group", "shingles"), "open-sets")
     shared = own.sparkSession.sparkContext.broadcast(shingle_frequency(own))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,7 @@ def rare_pairs(prefixes: DataFrame, similarity: int) -> DataFrame:
     Nodes meet under their rarest shingles, a larger one with those that the smaller shows to it. Where all of a shingle's nodes are of
     one group there is nothing to do; elsewhere one of a pair is not of the largest group there.
     """
-    met = prefixes.join(_mixed(prefixes, ["shingle"]).select("shingle", "main"), "shingle")
+    met = prefixes.join(shuffled(_mixed(prefixes, ["shingle"]).select("shingle", "main")), "shingle")
     names = ["shingle", "node", "group", "size", "place", "bits", "main"]
     larger = met.select(*(F.col(c).alias(f"x_{c}") for c in names))
     smaller = met.filter("shown").select(*(F.col(c).alias(f"y_{c}") for c in names))
@@ -263,8 +263,8 @@ def rare_pairs(prefixes: DataFrame, similarity: int) -> DataFrame:
         & ((100 + similarity) * F.least(*least) >= similarity * (F.col("x_size") + F.col("y_size")))
         & ((100 + similarity) * apart_by <= (100 - similarity) * (F.col("x_size") + F.col("y_size")))
     )
-    apart = larger.filter("x_group != x_main").join(smaller, fits)
-    apart = apart.unionByName(larger.filter("x_group = x_main").join(smaller.filter("y_group != y_main"), fits))
+    apart = larger.filter("x_group != x_main").join(shuffled(smaller), fits)
+    apart = apart.unionByName(larger.filter("x_group = x_main").join(shuffled(smaller.filter("y_group != y_main")), fits))
     ends = [F.struct(F.col(f"{c}_node").alias("node"), F.col(f"{c}_group").alias("group")) for c in "xy"]
     pairs = apart.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()
     return pairs.select(
@@ -276,7 +276,7 @@ def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     """(node, group) after links between the groups ``ga`` and ``gb``."""
     ties = _groups(links.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
     ties = ties.select(F.col("node").alias("group"), F.col("group").alias("whole"))
-    return groups.join(ties, "group", "left").select("node", F.coalesce("whole", "group").alias("group"))
+    return groups.join(shuffled(ties), "group", "left").select("node", F.coalesce("whole", "group").alias("group"))
 
 
 def _groups(links: DataFrame) -> DataFrame:
@@ -324,14 +324,14 @@ def _grouped(documents: DataFrame, key: str, text: str, shingle_words: int, simi
     members = stored(ordered.mapInArrow(_neighbours, schema), "regions")
 
     firsts = known.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("first"))
-    wanted = members.groupBy("node").agg(F.count("before").alias("n")).join(firsts, "node").select("node", "first")
+    wanted = members.groupBy("node").agg(F.count("before").alias("n")).join(shuffled(firsts), "node").select("node", "first")
     sets = stored(_full_sets(documents, wanted, key, text, shingle_words), "sets")
 
     near = members.filter("before is not null").select(F.greatest("node", "before").alias("a"), F.least("node", "before").alias("b"), "depth")
     near = near.groupBy("a", "b").agg((F.count(F.lit(1)) < OFTEN).alias("seldom"), (-F.max("depth")).alias("depth"))
     nearest = near.groupBy("a").agg(F.min(F.struct("seldom", "depth", "b"))["b"].alias("b"))
     linked = _groups(confirmed(nearest, sets, similarity))
-    groups = wanted.select("node").join(linked, "node", "left").select("node", F.coalesce("group", "node").alias("group"))
+    groups = wanted.select("node").join(shuffled(linked), "node", "left").select("node", F.coalesce("group", "node").alias("group"))
     groups = stored(groups, "groups")
     placed = stored(regions(members), "placed")
     for _ in range(ROUNDS):
@@ -342,10 +342,10 @@ def _grouped(documents: DataFrame, key: str, text: str, shingle_words: int, simi
     found = stored(confirmed(rare_pairs(open_prefixes(placed, groups, sets, similarity), similarity), sets, similarity), "links")
     groups = merged(groups, found)
 
-    node_groups = firsts.join(groups, "node", "left").withColumn("whole", F.coalesce("group", "node"))
+    node_groups = firsts.join(shuffled(groups), "node", "left").withColumn("whole", F.coalesce("group", "node"))
     smallest = node_groups.groupBy("whole").agg(F.min("first").alias("component_id"))
-    named = node_groups.join(smallest, "whole").select(F.col("node").alias("digest"), "whole", "component_id")
-    rows = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
+    named = node_groups.join(shuffled(smallest), "whole").select(F.col("node").alias("digest"), "whole", "component_id")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(shuffled(named), "digest", "left")
     return rows.select("doc_id", "text_hash", "n_shingles", "whole", "component_id")
 
 

@@ -20,6 +20,7 @@ from faultscope.llm import (
     token_counts,
     toxicity,
 )
+from faultscope.operators import components
 from tests.llm.test_llm_queries import _components, word_sets
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -309,6 +310,30 @@ def test_filter_finds_all_links(monkeypatch, spark):
     assert {r.doc_id: r.component_id for r in got} == _components(word_sets(texts, 5))
 
 
+def test_rounds_broadcast_no_table(monkeypatch, spark):
+    """Joins between stored tables go by shuffles however small these are, and a round of the components has three joins."""
+    plans = {"round": []}
+
+    def noted(true):
+        def run(df, name="round"):
+            plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+            return true(df, *[name] * (name != "round"))
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "stored", noted(near_dedup.stored))
+    monkeypatch.setattr(components, "cut_lineage", noted(components.cut_lineage))
+    rng = random.Random(8)
+    base = words(rng, 80)
+    texts = {i: " ".join(base[: 80 - i % 9]) for i in range(40)}
+    got = near_dedup.near_duplicates(documents(spark, [(i, t, "a") for i, t in texts.items()])).collect()
+    assert {r.doc_id: r.component_id for r in got} == _components(word_sets(texts, 5))
+    assert {"round", "groups", "placed", "links", "open-sets", "prefixes"} <= plans.keys()
+    for name in plans.keys() - {"sets"}:
+        assert not any("Broadcast" in p for p in plans[name]), name
+    assert all(p.count("SortMergeJoin") <= 3 for p in plans["round"][1:])
+
+
 @pytest.mark.parametrize("similarity", [50, 80, 95])
 def test_sets_that_are_alike_share_a_rare_shingle(similarity):
     rng = np.random.default_rng(similarity)
